@@ -14,6 +14,7 @@ import hashlib
 import math
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -283,7 +284,7 @@ def scan(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", tex
     schema = "struct<base:string,spans:string,redacted:string>"
 
     @F.arrow_udf(schema)
-    def each(batches: "Iterator[pa.Array]") -> "Iterator[pa.Array]":  # noqa: F821
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         field = Field(shared.value)
         join = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
         for b in batches:

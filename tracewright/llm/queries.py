@@ -50,7 +50,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = pii.scan(docs, pii.fit(docs))
     kinds = F.transform(F.split("pii_base", ","), lambda s: F.split_part(s, F.lit(":"), F.lit(1)))
-    counts = [F.size(F.filter(kinds, lambda k, name=name: k == name)).cast("long").alias(f"n_{name}") for name in pii.KINDS]
+    of = lambda name: F.size(F.filter(kinds, lambda k: k == F.lit(name))).cast("long")
+    counts = [of(name).alias(f"n_{name}") for name in pii.KINDS]
     return out.select("doc_id", *counts, F.sha2("pii_base", 256).alias("base_sha256"), F.col("pii_spans").alias("spans"))
 
 

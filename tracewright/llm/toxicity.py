@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -220,7 +221,7 @@ class Shipped:
         shared = self.shared
 
         @F.arrow_udf("double")
-        def score(batches: "Iterator[pa.Array]") -> "Iterator[pa.Array]":  # noqa: F821
+        def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             scorer = Scorer(*shared.value)
             for b in batches:
                 yield pa.array([scorer.score(t) for t in b.to_pylist()], pa.float64())
