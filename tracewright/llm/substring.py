@@ -1,11 +1,13 @@
-"""Exact removal of long repeated passages, over a de Bruijn graph of token k-mers.
-
-A window of ``window`` words is an edge of the graph between the two (window - 1)-mers it covers. An
-edge met twice is repeated. Edges of all texts would be far more bytes than the texts, so they are
-thinned first, without loss: each window has an anchor, the k-mer in it with the least hash, and
-equal windows have equal anchors. Only windows whose anchor occurs twice can be repeated, and only they
-become edge rows, under a 128-bit hash. The repeated edges are joined back to their source coordinates,
-where consecutive ones compact into paths; a path's words are removed.
+"""Exact removal of long repeated passages, over a compacted de Bruijn graph of token k-mers.
+
+A window of ``window`` words is an edge of the graph between the two (window - 1)-mers it covers. Edges of
+all texts would be far more bytes than the texts, so they are compacted before they are shuffled. The
+anchor of a window is the k-mer in it with the least hash; equal windows have equal anchors, and
+consecutive windows with one anchor are a path without branches inside their text. Paths whose anchor occurs
+once are unique and never leave their task. The others are rows: the hash of the whole path, its source
+coordinates and the hashes of its edges. A path met twice is repeated as a whole. Only where a path met
+once shares its anchor with other paths are the edges compared one by one. Last, repeated paths and edges are
+joined to their source coordinates, and the words they cover go.
 """
 
 from __future__ import annotations
@@ -73,11 +75,27 @@ def anchors(h: np.ndarray, window: int = WINDOW, k: int = ANCHOR) -> tuple[np.nd
     return least, kmers[kmers == _slide(wide, w, np.maximum)]
 
 
-def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
-    """Flags of n words: consecutive starts compact to paths, each covers its words."""
+def paths(h: np.ndarray, is_candidate, window: int = WINDOW, k: int = ANCHOR):
+    """(anchor, path hash, first window, windows, has equal edges, edge hashes) of each candidate path of a text."""
+    least, _ = anchors(h, window, k)
+    first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+    size = np.diff(np.concatenate([first, [len(least)]]))
+    at = np.flatnonzero(is_candidate(least[first]))
+    if not len(at):
+        return
+    edges = rolled(h, window)
+    for i in at.tolist():
+        a, n = int(first[i]), int(size[i])
+        own = edges[a : a + n]
+        whole = own.tobytes()
+        yield least[a], xxhash.xxh64_intdigest(whole), a, n, n > 1 and len(set(own.tolist())) < n, whole
+
+
+def covered(n: int, starts: np.ndarray, lengths: np.ndarray, window: int) -> np.ndarray:
+    """Flags of n words: those in any of ``lengths`` windows from ``starts`` on."""
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + window, -1)
+    np.add.at(edge, starts + lengths + window - 1, -1)
     return np.cumsum(edge[:n]) > 0
 
 
@@ -85,74 +103,88 @@ def _split(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
+#: Bits of the filter of repeated anchors: a fixed size, whatever the corpus. A full filter costs time, not results.
+FILTER_BITS = 1 << 27
+
+
+def _filter(twice: DataFrame) -> np.ndarray:
+    """A bitmap of the low bits of repeated anchors; at most FILTER_BITS / 64 rows reach the driver."""
+    slot = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
+    got = twice.groupBy(F.shiftright(slot, 6).alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("b")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[got.column("i").to_numpy()] = got.column("b").to_numpy()
+    return bits.view(np.uint64)
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, text, n_words, n_removed, kept, kept_sha256)`` of every row; text is the input.
 
     Words are split at ASCII white space. A word goes if a window over it starts at two places or more,
     copies and the same document included. Rows are told apart by content, so null and repeated ids
-    keep their row; a text that several rows have, long enough for a window, loses everything. A null text has no words
-    and stays null. Texts of copies enter the graph once.
+    keep their row. A null text has no words and stays null. No group holds more than the paths of
+    one text; paths that a third of all texts share are counted with map-side combining.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("k64", F.xxhash64("text")).withColumn("key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    texts = rows.where("text is not null")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("key"))
 
-    def emit_counts(batches):
+    def emit_anchors(batches):
         for b in batches:
             found = [a for t in b.column(0).to_pylist() if len(w := _split(t)) >= window for a in (anchors(word_hashes(w), window, k)[1],)]
             if found:
                 h, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    def emit_anchors(batches):
+    twice = rows.select("text").mapInArrow(emit_anchors, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    shared = spark.sparkContext.broadcast(_filter(twice))
+
+    def emit_paths(batches):
+        bits = shared.value
+        known = lambda h: bits[(h & np.uint64(FILTER_BITS - 1)) >> np.uint64(6)] >> (h & np.uint64(63)) & np.uint64(1) > 0
         for b in batches:
-            hs, ks = [], []
+            out: list = []
             for t, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if len(w := _split(t)) >= window:
-                    hs.append(np.unique(anchors(word_hashes(w), window, k)[1]))
-                    ks.append(np.full(len(hs[-1]), key))
-            if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ks))], ["h", "k64"])
+                    out += [(*p, key) for p in paths(word_hashes(w), known, window, k)]
+            if out:
+                a, p, at, n, same, edges, key = zip(*out)
+                cols = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, p)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(same, pa.bool_()), pa.array(edges, pa.binary()), pa.array(key, pa.binary())], ["anchor", "path", "at", "n", "same", "edges", "key"])
 
-    twice = texts.select("text").mapInArrow(emit_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    seen = texts.select("text", "k64").mapInArrow(emit_anchors, "h long, k64 long")
-    flagged = seen.join(twice, "h").groupBy("k64").agg(F.collect_set("h").alias("hs"))
+    found = cut(rows.select("text", "key").mapInArrow(emit_paths, "anchor long, path long, at int, n int, same boolean, edges binary, key binary"), "paths")
+    kinds = cut(found.groupBy("anchor", "path").agg(F.count("*").alias("times"), F.max("same").alias("same")), "path-kinds")
+    repeated = found.select("anchor", "path", "key", "at", "n").join(kinds.where("times > 1").select("anchor", "path"), ["anchor", "path"]).select("key", "at", "n")
 
-    copies = rows.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("id")).alias("first")).where("copies > 1")
-    copies = cut(copies, "copies")
-    found = texts.join(flagged, "k64").join(copies, "key", "left").where("copies is null or first.id <=> id").select("text", "key", "hs")
+    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("times").alias("least"), F.max("same").alias("same")).where("least = 1 and (kinds > 1 or same)").select("anchor")
+    one = found.select("anchor", "key", "at", "edges").join(mixed, "anchor")
 
     def emit_edges(batches):
         for b in batches:
-            for text, key, hs in zip(*(b.column(i) for i in range(3))):
-                h = word_hashes(_split(text.as_py()))
-                of = anchors(h, window, k)[0]
-                at = np.flatnonzero(np.isin(of, np.asarray(hs.values).view(np.uint64)))
-                e1, e2 = rolled(h, window)[at], rolled(_mix(h + np.uint64(1)), window, _B2)[at]
-                yield pa.RecordBatch.from_arrays([pa.array(e1.view(np.int64)), pa.array(e2.view(np.int64)), pa.array([key.as_py()] * len(at), pa.binary()), pa.array(at.astype(np.int32))], ["e1", "e2", "key", "at"])
-
-    edges = cut(found.mapInArrow(emit_edges, "e1 long, e2 long, key binary, at int"), "edges")
-    repeated = edges.groupBy("e1", "e2").agg(F.count("*").alias("n")).where("n > 1").select("e1", "e2")
-    paths = edges.join(repeated, ["e1", "e2"]).groupBy("key").agg(F.collect_list("at").alias("starts"))
-    out = rows.join(paths, "key", "left").join(copies.select("key", "copies"), "key", "left").select("id", "text", "starts", "copies")
+            a, key, at, edges = (b.column(c) for c in ("anchor", "key", "at", "edges"))
+            own = [np.frombuffer(e, np.int64) for e in edges.to_pylist()]
+            if own:
+                size = np.array([len(e) for e in own])
+                start = np.repeat(at.to_numpy(), size) + np.concatenate([np.arange(n) for n in size])
+                each = pa.array(np.repeat(np.arange(len(own)), size))
+                yield pa.RecordBatch.from_arrays([a.take(each), pa.array(np.concatenate(own)), key.take(each), pa.array(start.astype(np.int32))], ["anchor", "edge", "key", "at"])
+
+    edges = cut(one.mapInArrow(emit_edges, "anchor long, edge long, key binary, at int"), "edges")
+    twice_met = edges.groupBy("anchor", "edge").agg(F.count("*").alias("times")).where("times > 1").select("anchor", "edge")
+    single = edges.join(twice_met, ["anchor", "edge"]).select("key", "at", F.lit(1).alias("n"))
+    spans = repeated.union(single).groupBy("key").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
+    out = rows.join(spans, "key", "left").select("id", "text", F.col("spans.at").alias("at"), F.col("spans.n").alias("n"))
 
     def remove(batches):
         for b in batches:
             got: list = [[] for _ in range(4)]
-            for text, starts, many in zip(b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
+            for text, at, n_at in zip(b.column(1).to_pylist(), b.column(2), b.column(3)):
                 words = _split(text)
-                n = len(words)
-                if many and n >= window:
-                    kept = []
-                elif starts.is_valid:
-                    gone = covered(n, np.asarray(starts.values).astype(np.int64), window)
+                kept = words
+                if at.is_valid:
+                    gone = covered(len(words), np.asarray(at.values).astype(np.int64), np.asarray(n_at.values).astype(np.int64), window)
                     kept = [w for w, g in zip(words, gone.tolist()) if not g]
-                else:
-                    kept = words
                 joined = b" ".join(kept)
-                for c, x in zip(got, (n, n - len(kept), joined.decode(), hashlib.sha256(joined).hexdigest())):
+                for c, x in zip(got, (len(words), len(words) - len(kept), joined.decode(), hashlib.sha256(joined).hexdigest())):
                     c.append(x)
             cols = [pa.array(c, t) for c, t in zip(got, (pa.int64(), pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["id", "text", "n_words", "n_removed", "kept", "kept_sha256"])
