@@ -5,7 +5,7 @@ its word shingles. For containment of the whole set the prefix of a window, its
 rarity in the corpus, need have one element only: the rarest shingle. Documents' shingles are joined
 to those of the benchmark once; the matches give the rarity and, joined to the prefixes, the candidates.
 The shingle's place fixes where the window would start; length and position bounds prune; last, the words
-there are compared with the window's words.
+there, which a matched shingle brings along, are compared with the window's words.
 """
 
 from __future__ import annotations
@@ -35,6 +35,29 @@ def _shingles(w: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: _shingle(w, i, size))
 
 
+def _met(split: DataFrame, wanted: DataFrame, sizes: list[int], window: int) -> DataFrame:
+    """``(key, n, pos, h, first, around)``: the wanted shingles of the texts ``split`` (key, w), with the words around them.
+
+    ``around`` starts at word ``first`` and holds every window that could cover the shingle. Where the wanted
+    shingles are few enough for a broadcast, the words come from the row at hand. Beyond that shingles are
+    shuffled without words, and only the matches fetch theirs.
+    """
+    small = wanted.count() <= BROADCAST_UP_TO
+    first = lambda s: F.greatest(F.col("pos") - (window - s), F.lit(0))
+    around = lambda s: F.slice("w", first(s) + 1, F.col("pos") - first(s) + window)
+    met = None
+    for s in sizes:
+        own = split.where(F.size("w") >= s)
+        shingles = own.select("key", F.size("w").alias("n"), *(["w"] if small else []), F.posexplode(_shingles(F.col("w"), s)).alias("pos", "h"))
+        if small:
+            one = shingles.join(F.broadcast(wanted), "h")
+        else:
+            one = shingles.join(wanted, "h").distinct().join(own.dropDuplicates(["key"]), "key")
+        one = one.select("key", "n", "pos", "h", first(s).alias("first"), around(s).alias("around"))
+        met = one if met is None else met.union(one)
+    return met
+
+
 def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``(id, key, n_words, n_hit, item_ids)`` of every row of ``docs``; item_ids: sorted strings.
 
@@ -54,34 +77,26 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int =
         own = windows.where(F.least("len", F.lit(shingle)) == s)
         parts.append(own.select("words", "len", F.posexplode(_shingles(F.col("w"), s)).alias("off", "h")))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
+    none = F.array().cast("array<string>")
     if not parts:
-        return rows.select("id", "key", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"))
+        return rows.select("id", "key", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), none.alias("item_ids"))
     of = parts[0]
     for p in parts[1:]:
         of = of.union(p)
     of = cut(of, "shingles")
     wanted = cut(of.select("h").distinct(), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_UP_TO else wanted
-
-    split = rows.select("key", words(F.col("text")).alias("w"))
-    met = None
-    for s in sizes:
-        own = split.where(F.size("w") >= s).select("key", F.size("w").alias("n"), F.posexplode(_shingles(F.col("w"), s)).alias("pos", "h")).join(wanted, "h")
-        met = own if met is None else met.union(own)
-    met = cut(met, "met")
+    met = cut(_met(rows.select("key", words(F.col("text")).alias("w")), wanted, sizes, window), "met")
 
     rarity = met.groupBy("h").agg(F.count("*").alias("df"))
     prefix = of.join(rarity, "h", "left").groupBy("words", "len").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "off")).alias("p")).select("words", "len", "p.h", "p.off")
     start = F.col("pos") - F.col("off")
-    candidates = met.join(prefix, "h").where((start >= 0) & (start + F.col("len") <= F.col("n"))).select("key", start.alias("start"), "len", "words").distinct()
-    candidates = cut(candidates.groupBy("key").agg(F.collect_list(F.struct("start", "len", "words")).alias("c")), "candidates")
-
-    found = rows.join(candidates, "key", "left").select("id", "key", words(F.col("text")).alias("w"), "c")
-    true = F.filter("c", lambda c: F.array_join(F.slice(F.col("w"), c["start"] + 1, c["len"]), " ") == c["words"])
-    found = found.select("id", "key", F.size("w").cast("long").alias("n_words"), F.when(F.col("c").isNotNull(), true).alias("c"))
-    places = F.flatten(F.transform("c", lambda c: F.sequence(c["start"], c["start"] + c["len"] - 1)))
-    found = cut(found.select("id", "key", "n_words", F.coalesce(F.size(F.array_distinct(places)), F.lit(0)).cast("long").alias("n_hit"), F.transform("c", lambda c: c["words"]).alias("hits")), "found")
-    found = found.withColumn("n_hit", F.greatest("n_hit", F.lit(0)))  # size of null is -1 in some settings
-    listed = found.where("n_hit > 0").select("key", F.explode("hits").alias("words")).distinct().join(item.where("item is not null").select("item", "words"), "words")
+    candidates = met.join(prefix, "h").where((start >= 0) & (start + F.col("len") <= F.col("n")))
+    candidates = candidates.where(F.array_join(F.slice("around", start - F.col("first") + 1, F.col("len")), " ") == F.col("words"))
+    hits = cut(candidates.select("key", start.alias("start"), "len", "words").distinct(), "hits")
+
+    places = F.flatten(F.collect_list(F.sequence("start", F.col("start") + F.col("len") - 1)))
+    counts = hits.select("key", "start", "len").distinct().groupBy("key").agg(F.size(F.array_distinct(places)).cast("long").alias("n_hit"))
+    listed = hits.select("key", "words").distinct().join(item.where("item is not null").select("item", "words"), "words")
     listed = listed.groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
-    return found.join(listed, "key", "left").select("id", "key", "n_words", "n_hit", F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+    found = rows.select("id", "key", F.size(words(F.col("text"))).cast("long").alias("n_words")).join(counts.join(listed, "key", "left"), "key", "left")
+    return found.select("id", "key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"))
