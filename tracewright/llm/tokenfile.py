@@ -8,9 +8,11 @@ the end of the file and decompresses only the frames that it wants.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,38 +28,77 @@ from .common import cut, new_path, small_batches
 #: Fixed values of the seekable Zstandard format.
 SKIPPABLE, SEEK_MAGIC, DOCS_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 _FOOTER = struct.Struct("<IBI")
-#: Distinct chunks that a task remembers; beyond that it starts anew.
-REMEMBER = 400_000
+#: Distinct chunks (about 200 bytes each) that a Python worker remembers; beyond that it starts anew.
+REMEMBER = 800_000
+
+
+#: The steps before the model, and the split pattern, of a tokenizers file whose plain words may go to the model at once.
+_STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 class Encoder:
     """Ids of whole texts, as bytes of little-endian uint32.
 
     The pre-tokenizer of a word-level vocabulary never joins text across white space, so each distinct
-    chunk is encoded once and remembered. Texts with separators that only Python counts as white
-    space are encoded whole.
+    chunk is encoded once and remembered. Where the file's normalizer and pre-tokenizer are of the
+    kind named in ``_STEPS``, Latin letters followed by plain marks are two pieces for the model,
+    which spares such chunks the steps before it; all others take the full way. Texts with
+    separators that only Python counts as white space are encoded whole.
     """
 
     _odd = re.compile("[\x1c-\x1f]")
+    _plain = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!#$%&*+,./:;=?^_~|-]*)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.of, self.known = Tokenizer.from_file(path), {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.of.encode_batch(texts, add_special_tokens=False)]
+        self.of.encode_special_tokens = False
+        kind = json.loads(self.of.to_str())
+        before, split = (kind.get(k) or {} for k in ("normalizer", "pre_tokenizer"))
+        before, split = before.get("normalizers") or [], split.get("pretokenizers") or []
+        self.direct = ([x["type"] for x in before], [x["type"] for x in split]) == _STEPS and split[0]["pattern"] == {"Regex": _SPLIT} and not split[1]["add_prefix_space"]
+        self.model = self.of.model
+        #: Bytes above 126 of UTF-8, as the byte-level alphabet spells the letters that ``_plain`` has.
+        spelled = {}
+        if self.direct:
+            for c in map(chr, range(0xC0, 0x100)):
+                spelled[ord(c)] = self.of.pre_tokenizer.pre_tokenize_str(c)[0][0] if c.isalpha() else c
+        self.spelled = spelled
+
+    def _full(self, text: str) -> bytes:
+        return np.array(self.of.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, chunk: str) -> bytes:
+        m = self._plain.fullmatch(chunk) if self.direct else None
+        if m:
+            pieces = self.model.tokenize(m[1].lower().translate(self.spelled))
+            if m[2]:
+                pieces += self.model.tokenize(m[2])
+            got = struct.pack(f"<{len(pieces)}I", *(t.id for t in pieces))
+        else:
+            got = self._full(chunk)
+        self.known[chunk] = got
+        return got
 
     def encode(self, text: str) -> bytes:
         if self._odd.search(text):
-            return self._ids([text])[0]
+            return self._full(text)
+        if len(self.known) > REMEMBER:
+            self.known.clear()
+        get, learn = self.known.get, self._learn
         chunks = text.split()
-        if new := list(set(chunks) - self.known.keys()):
-            if len(self.known) > REMEMBER:
-                self.known.clear()
-                new = list(set(chunks))
-            self.known.update(zip(new, self._ids(new)))
-        return b"".join(map(self.known.__getitem__, chunks))
+        out = [get(c) for c in chunks]
+        if None in out:
+            out = [learn(c) if x is None else x for c, x in zip(chunks, out)]
+        return b"".join(out)
+
+
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """The encoder of a Python worker, which outlives the task."""
+    return Encoder(path)
 
 
 def _skippable(magic: int, body: bytes) -> bytes:
@@ -88,7 +129,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col:
 
     def each(batches):
         task = TaskContext.get()
-        part, encoder, zip_one = task.partitionId(), Encoder(tokenizer), zstandard.ZstdCompressor(level=level, write_checksum=True).compress
+        part, encode, zip_one = task.partitionId(), encoder(tokenizer).encode, zstandard.ZstdCompressor(level=level, write_checksum=True).compress
         end, ids, sizes = struct.pack("<I", end_id), [], []
         fs, top = _filesystem(folder)
         fs.create_dir(top)
@@ -96,7 +137,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col:
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 out = out or fs.open_output_stream(temp)
-                raw = encoder.encode(text) + end
+                raw = encode(text) + end
                 out.write(frame := zip_one(raw))
                 ids.append(i)
                 sizes.append((len(frame), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
