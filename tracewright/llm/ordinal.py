@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, first_by_hash, small_batches
 
 DIM = 1 << 15
 #: Labelled rows that the model is fitted on, at most (the first by a hash of the id).
@@ -102,7 +102,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id"
     """
     small_batches(docs.sparkSession)
     rows = ratings.select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("y")).dropna().where(F.col("y").between(0, grades - 1)).distinct()
-    rows = cut(rows.orderBy(F.xxhash64("id"), "id", "y").limit(sample_rows), "ratings")
+    rows = cut(first_by_hash(rows, sample_rows, "id", "y"), "ratings")
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(rows), "id").select("y", "text")
 
     def each(batches):

@@ -10,7 +10,6 @@ the same spans respelled, with all other candidates as the alternative.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import defaultdict
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import first_by_hash, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 GROUPS = 8
@@ -263,14 +262,11 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-_TRIGGERS = r"@|[0-9][ ().\-]{0,2}[0-9]|(?i:\[at\]|\(at\)| at [a-z0-9-]+ dot )"
-
-
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, sample_chars: int = 20_000) -> dict[str, float]:
     """Weights from at most ``sample_rows`` documents with triggers, of at most ``sample_chars`` characters each."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= sample_chars)
-    rows = rows.where(F.col("text").rlike(r"@|[0-9]{4}|\+[0-9]")).orderBy(F.xxhash64("id"), "text").limit(sample_rows)
-    return train([r[0] for r in rows.select("text").collect()]).w
+    rows = rows.where(F.col("text").rlike(r"@|[0-9]{4}|\+[0-9]"))
+    return train([r[0] for r in first_by_hash(rows, sample_rows, "id", "text").select("text").collect()]).w
 
 
 def scan(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,7 +292,3 @@ def scan(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", tex
 
     out = docs.withColumn("pii_found", each(F.col(text_col)))
     return out.withColumns({"pii_base": F.col("pii_found.base"), "pii_spans": F.col("pii_found.spans"), "pii_redacted": F.col("pii_found.redacted")}).drop("pii_found")
-
-
-def sha256(s: str) -> str:
-    return hashlib.sha256(s.encode()).hexdigest()

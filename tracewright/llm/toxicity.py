@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, first_by_hash, small_batches
 
 #: Slots of the hashed trigram table: its size doesn't depend on the alphabets met.
 SLOTS = 1 << 18
@@ -181,8 +181,8 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     counts = np.zeros(SLOTS)
     for r in slots:
         counts[r[0]] = r[1]
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().distinct().orderBy(F.xxhash64("id"), "id", "y").limit(sample_rows)
-    rows = cut(rows, "labelled")
+    rows = labelled.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().distinct()
+    rows = cut(first_by_hash(rows, sample_rows, "id", "y"), "labelled")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(rows), "id")
     texts = cut(texts.groupBy(F.md5("text").alias("key")).agg(F.first("text").alias("text"), F.max("y").alias("y")), "labelled-texts")
     share = F.pmod(F.crc32("key"), F.lit(3)) < 2
