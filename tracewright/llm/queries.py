@@ -84,14 +84,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages of ``corpus_pipeline``."""
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_quality, op4_tokens, op5_pii, op6_simhash, op7_embeddings, op8_warc, op9_substring, op10_decontamination, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_quality, op4_tokens, op5_pii, op6_simhash, op7_embeddings, op8_warc, op9_substring, op10_decontamination)}
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 _ITEM_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
