@@ -114,3 +114,129 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     classes = rooted.groupBy("root").agg(F.min("least").alias("component"))
     label = rooted.join(classes, "root").select("fp", "component")
     return fps.join(label, "fp").select("id", "fp", "component")
+
+
+# --- similarities far below equality -----------------------------------------------------------
+
+#: Words of 64 bits of a wide fingerprint; each is a segment of the ring, and each gives a min-wise value.
+WIDE = 8
+#: Rows of a bucket whose pairs are all compared.
+ALL_PAIRS = 8
+
+
+def radius_of(least: float, bits: int = 64 * WIDE, deviations: float = 1.5) -> int:
+    """Differing bits that two sets of a Jaccard similarity of ``least`` are expected to have, and some standard deviations more."""
+    share = np.arccos(2 * least / (1 + least)) / np.pi
+    return int(bits * share + deviations * np.sqrt(bits * share * (1 - share)))
+
+
+def shingles(text: str, words_each: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles."""
+    words = text.encode().lower().split()
+    if not words:
+        return np.array([], "<u8")
+    each = zip(*(words[i:] for i in range(words_each))) if len(words) >= words_each else [words]
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    return np.unique(np.array([digest(join(s), SEED) for s in each], dtype="<u8"))
+
+
+def wide(text: str, words_each: int = 5) -> tuple[list[int], list[int]]:
+    """(the words of a 512-bit SimHash, the least value of each word's hash) over a text's word shingles; no words: zeros."""
+    h = shingles(text, words_each)
+    if not len(h):
+        return [0] * WIDE, [0] * WIDE
+    fp, least = [], []
+    for i in range(WIDE):
+        x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (i + 1) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones = np.bincount((x.view(np.uint8).reshape(-1, 8) + np.arange(8) * 256).ravel(), minlength=2048).reshape(8, 256) @ _BITS
+        fp.append(int(np.packbits(2 * ones.ravel() > len(x), bitorder="little").view("<i8")[0]))
+        least.append(int(x.min().view(np.int64)))
+    return fp, least
+
+
+def _within(a: str, b: str, radius: int):
+    """Pigeonring test of two wide fingerprints: a start with short chains in their budgets, then the whole distance."""
+    d = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(WIDE)]
+    starts = F.lit(False)
+    for i in range(WIDE):
+        chain, so_far = F.lit(True), F.lit(0)
+        for j in (1, 2, 3):
+            so_far = so_far + d[(i + j - 1) % WIDE]
+            chain &= so_far <= j * radius // WIDE
+        starts |= chain
+    return starts & (sum(d[1:], d[0]) <= radius)
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, least: float = 0.8) -> DataFrame:
+    """``(id, component)`` of every row with an id: the smallest id reachable over links.
+
+    Links: wide fingerprints within :func:`radius_of` ``least`` bits, and sets of shingles that are alike to ``least``
+    or more, verified exactly (but for 32-bit hashes). The ring's segments can't be join keys at such
+    radii (each would have few bits), so candidates share two neighbouring min-wise values of the same
+    shingles; of pairs at a similarity of 0.8 or more, 99.5 % and more do. Small buckets compare all pairs. A larger one compares with
+    its leader, the text that shares values with most others, and what the leader doesn't take is dealt to
+    finer buckets by a further value, so no group is ever paired out. Equal fingerprints are one node.
+    Texts without words share one.
+    """
+    radius = radius_of(least)
+    small_batches(docs.sparkSession)
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def each(batches):
+        for b in batches:
+            got = [wide(t, words_each) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[k] for g in got], pa.list_(pa.int64())) for k in (0, 1))], ["id", "f", "m"])
+
+    texts = rows
+    rows = cut(rows.mapInArrow(each, "id long, f array<long>, m array<long>"), "wide")
+    nodes = cut(rows.groupBy("f").agg(F.min("id").alias("node"), F.min_by("m", "id").alias("m")), "wide-nodes")
+
+    pairs = F.array(*(F.struct(F.lit(i).alias("at"), F.xxhash64(F.lit(i), F.col("m")[i], F.col("m")[(i + 1) % WIDE]).alias("key")) for i in range(WIDE)))
+    keys = nodes.select("node", F.explode(pairs).alias("k")).select("node", "k.at", "k.key")
+    n = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = cut(keys.join(n, "key"), "wide-met")
+    weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
+    left = cut(met.join(nodes.join(weight, "node"), "node").select("node", "f", "m", "weight", "at", "key", "n"), "wide-left")
+    edges = []
+    for depth in range(2, WIDE + 1):
+        a, b = (left.where(f"n <= {ALL_PAIRS}").select("key", F.col("node").alias(x), F.col("f").alias(f"f{x}")) for x in "ab")
+        edges.append(a.join(b, "key").where("a < b").where(_within("fa", "fb", radius)).select("a", "b"))
+        large = left.where(f"n > {ALL_PAIRS}")
+        leader = large.groupBy("key").agg(F.max_by(F.struct("node", "f"), F.struct("weight", -F.col("node"))).alias("x")).select("key", F.col("x.node").alias("b"), F.col("x.f").alias("fb"))
+        held = cut(large.join(leader, "key").where("node <> b").withColumn("near", _within("f", "fb", radius)), "wide-held")
+        edges.append(held.where("near").select(F.col("node").alias("a"), "b"))
+        rest = held.where("not near").select("node", "f", "m", "weight", "at", F.xxhash64("key", F.element_at("m", F.pmod(F.col("at") + depth, F.lit(WIDE)) + 1)).alias("key"))
+        left = cut(rest.join(rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "wide-left")
+        if left.isEmpty():
+            break
+    found = edges[0]
+    for e in edges[1:]:
+        found = found.union(e)
+    linked = components(_verified(cut(found.distinct(), "wide-edges"), texts, words_each, least), "similar")
+    label = nodes.join(linked, "node", "left").select("f", F.coalesce("root", "node").alias("component"))
+    return rows.join(label, "f").select("id", "component")
+
+
+def _verified(edges: DataFrame, texts: DataFrame, words_each: int, least: float) -> DataFrame:
+    """Edges (a, b) whose texts (id, text) have a Jaccard similarity of ``least`` or more; only texts of edges are read again."""
+    ends = edges.select("a").union(edges.select("b")).distinct().withColumnRenamed("a", "id")
+
+    def sets(batches):
+        for b in batches:
+            own = [(shingles(t, words_each) >> np.uint64(32)).astype("<u4").tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], ["id", "s"])
+
+    def alike(batches):
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = (np.unique(np.frombuffer(v, "<u4")) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    own = cut(texts.join(ends, "id").dropDuplicates(["id"]).mapInArrow(sets, "id long, s binary"), "wide-sets")
+    pairs = edges.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    return pairs.mapInArrow(alike, "a long, b long")
