@@ -155,7 +155,9 @@ def read(spark: SparkSession, path: str | list[str], schema: Schema | None = Non
     source = spark.read.option("lineSep", "\n").text(path)
     files = sorted(source.inputFiles())
     lines = source.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"))
-    head = [bytes(r[0]) for r in spark.read.option("lineSep", "\n").text(files[0]).where("_metadata.file_block_start = 0").limit(4096).select(F.col("value").cast("binary")).collect()] if files else []
+    first = spark.read.option("lineSep", "\n").text(files[0]).where("_metadata.file_block_start < 65536") if files else None
+    head = first.select("_metadata.file_block_start", F.col("value").cast("binary")).limit(4096).collect() if files else []
+    head = [bytes(line) for _, line in sorted(head, key=lambda r: r[0])]  # stable: lines of a block are in order
     if not head:
         raise EmptyInput(str(path))
     head[0] = head[0].removeprefix(BOM)
