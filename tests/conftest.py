@@ -9,7 +9,9 @@ from pyspark.sql import SparkSession
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
-SMALL = "/root/testdata/sf0.001"
+sys.path.insert(0, str(ROOT / "tests"))
+
+from helpers import SMALL  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -21,13 +23,6 @@ def spark():
     s.stop()
 
 
-def norm(rows, columns):
-    def one(x):
-        return "\\N" if x is None or x != x else f"{x:.9g}" if isinstance(x, float) else str(x)
-
-    return sorted(tuple(one(r[c]) for c in sorted(columns)) for r in rows)
-
-
 @pytest.fixture(scope="session")
 def duck():
     import duckdb

@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SMALL, norm
+from helpers import SMALL, norm
 from tracewright.plans.queries import QUERIES, SQL
 
 
