@@ -71,7 +71,7 @@ def _hash(cells: np.ndarray, seed: int) -> np.ndarray:
 def _meet(a, b, same: bool, block: int, width: int, least: float, rot: np.ndarray):
     """Indices of the linked pairs of two parts of a cell that this block is the first to find, one home row at least in each."""
     (ia, xa, ha), (ib, xb, hb) = a, b
-    ra, rb, hits = xa @ rot, xb @ rot, []
+    ra, rb, hits = xa @ rot, xb @ rot, [np.zeros((2, 0), np.int64)]  # a part may be empty
     for at in range(0, len(ia), 64):
         cut_ = slice(at, at + 64)
         ok = ha[cut_, None] | hb[None, :]
