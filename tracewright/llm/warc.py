@@ -43,7 +43,8 @@ def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payloa
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     first = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(first.select("digest", "first"), "digest", "left").select("id", "url", "payload", "digest", F.when(F.col("first") != F.col("id"), F.col("first")).alias("refers_to"))
+    first = cut(first.select("digest", "first"), "first-payloads")  # so that a frequent payload's rows can be split in the join
+    return rows.join(first, "digest", "left").select("id", "url", "payload", "digest", F.when(F.col("first") != F.col("id"), F.col("first")).alias("refers_to"))
 
 
 def _identifier(*of) -> str:
