@@ -13,17 +13,18 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Every round re-links neighbours to the smallest one and halves, roughly, the height of the
     forest; rows never exceed the number of edges. A hub is met only in aggregates with map-side
-    combining and in joins whose other side has one row for each key. Null ends are left out; loops
+    combining and in joins whose other side has one row for each key and is written first, so that
+    Spark can split the hub's partition. Null ends are left out; loops
     and repeated edges do no harm; no edges give no rows.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     seen = None
     while True:
         both = e.union(e.select("v", "u")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = cut(large, name)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.union(least).distinct(), name)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()

@@ -76,7 +76,7 @@ def links(distinct: DataFrame, radius: int = 2, segments: int = 5, pairs_up_to:
     chain = lambda i, j: [parts[(i + k) % segments] for k in range(j)]
     keys = F.array(*(F.struct(F.lit(i).alias("at"), F.col("fp").bitwiseAND(F.lit(_mask(chain(i, equal)))).alias("key")) for i in range(segments)))
     rows = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.at", "k.key")
-    met = rows.groupBy("at", "key").agg(F.count("*").alias("n")).where("n > 1")
+    met = cut(rows.groupBy("at", "key").agg(F.count("*").alias("n")).where("n > 1"), "ring-keys")
     rows = cut(rows.join(met, ["at", "key"]), "ring")
 
     a, b = (rows.where(f"n <= {pairs_up_to}").select("at", "key", F.col("fp").alias(x)) for x in "ab")
@@ -111,7 +111,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     nodes = fps.groupBy("fp").agg(F.min("id").alias("least"))
     found = components(links(nodes.select("fp"), radius), "simhash").withColumnRenamed("node", "fp")
     rooted = nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    classes = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    classes = cut(rooted.groupBy("root").agg(F.min("least").alias("component")), "classes")
     label = rooted.join(classes, "root").select("fp", "component")
     return fps.join(label, "fp").select("id", "fp", "component")
 
@@ -195,7 +195,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     pairs = F.array(*(F.struct(F.lit(i).alias("at"), F.xxhash64(F.lit(i), F.col("m")[i], F.col("m")[(i + 1) % WIDE]).alias("key")) for i in range(WIDE)))
     keys = nodes.select("node", F.explode(pairs).alias("k")).select("node", "k.at", "k.key")
-    n = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    n = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "wide-keys")
     met = cut(keys.join(n, "key"), "wide-met")
     weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
     left = cut(met.join(nodes.join(weight, "node"), "node").select("node", "f", "m", "weight", "at", "key", "n"), "wide-left")
@@ -205,10 +205,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         edges.append(a.join(b, "key").where("a < b").where(_within("fa", "fb", radius)).select("a", "b"))
         large = left.where(f"n > {ALL_PAIRS}")
         leader = large.groupBy("key").agg(F.max_by(F.struct("node", "f"), F.struct("weight", -F.col("node"))).alias("x")).select("key", F.col("x.node").alias("b"), F.col("x.f").alias("fb"))
+        leader = cut(leader, "wide-leaders")
         held = cut(large.join(leader, "key").where("node <> b").withColumn("near", _within("f", "fb", radius)), "wide-held")
         edges.append(held.where("near").select(F.col("node").alias("a"), "b"))
         rest = held.where("not near").select("node", "f", "m", "weight", "at", F.xxhash64("key", F.element_at("m", F.pmod(F.col("at") + depth, F.lit(WIDE)) + 1)).alias("key"))
-        left = cut(rest.join(rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "wide-left")
+        n = cut(rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "wide-keys")
+        left = cut(rest.join(n, "key"), "wide-left")
         if left.isEmpty():
             break
     found = edges[0]
