@@ -169,7 +169,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, id_co
                 yield pa.RecordBatch.from_arrays([a.take(each), pa.array(np.concatenate(own)), key.take(each), pa.array(start.astype(np.int32))], ["anchor", "edge", "key", "at"])
 
     edges = cut(one.mapInArrow(emit_edges, "anchor long, edge long, key binary, at int"), "edges")
-    twice_met = edges.groupBy("anchor", "edge").agg(F.count("*").alias("times")).where("times > 1").select("anchor", "edge")
+    # written, so that the join has a shuffle of its own whose large partitions can be split
+    twice_met = cut(edges.groupBy("anchor", "edge").agg(F.count("*").alias("times")).where("times > 1").select("anchor", "edge"), "twice-met")
     single = edges.join(twice_met, ["anchor", "edge"]).select("key", "at", F.lit(1).alias("n"))
     spans = repeated.union(single).groupBy("key").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
     out = rows.join(spans, "key", "left").select("id", "text", F.col("spans.at").alias("at"), F.col("spans.n").alias("n"))
