@@ -98,5 +98,5 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int =
     counts = hits.select("key", "start", "len").distinct().groupBy("key").agg(F.size(F.array_distinct(places)).cast("long").alias("n_hit"))
     listed = hits.select("key", "words").distinct().join(item.where("item is not null").select("item", "words"), "words")
     listed = listed.groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
-    found = rows.select("id", "key", F.size(words(F.col("text"))).cast("long").alias("n_words")).join(counts.join(listed, "key", "left"), "key", "left")
+    found = rows.select("id", "key", F.size(words(F.col("text"))).cast("long").alias("n_words")).join(cut(counts.join(listed, "key", "left"), "per-text"), "key", "left")
     return found.select("id", "key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"))
