@@ -102,6 +102,31 @@ def test_similar_groups_equal_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def jaccard_roots(texts):
+    grams = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else {()} for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])]
+    return roots(len(texts), near), grams
+
+
+def test_a_hot_group_alike_by_halves_loses_no_links(spark):
+    """Some 150 texts that are 0.75 to 0.85 alike, few of them linked to any one leader."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, texts = [word() for _ in range(300)], []
+    for _ in range(150):
+        own = list(base)
+        for at in rng.sample(range(5, 295), rng.randint(3, 8)):
+            own[at] = word()
+        texts.append(" ".join(own))
+    want, grams = jaccard_roots(texts)
+    alike = [len(grams[i] & grams[j]) / len(grams[i] | grams[j]) for i in range(150) for j in range(i)]
+    assert sum(0.75 <= x <= 0.85 for x in alike) > 1000 and len({*want[:150]}) > 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for rows in (20, 500):  # split and whole buckets
+        got = {r["id"]: r["component"] for r in simhash.similar_groups(df, part_rows=rows).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def test_repeats_across_path_borders(spark):
     """Passages that begin and end anywhere, overlap and repeat inside one text, against a count of all windows."""
     rng = random.Random(5)

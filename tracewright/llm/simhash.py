@@ -120,8 +120,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
 #: Words of 64 bits of a wide fingerprint; each is a segment of the ring, and each gives a min-wise value.
 WIDE = 8
-#: Rows of a bucket whose pairs are all compared.
-ALL_PAIRS = 8
+#: Shingles below which a fingerprint says too little: pairs with such a set skip its test.
+FEW = 0
+#: Rows of a bucket that meet in one task; a larger bucket is split and its parts meet two by two.
+PART_ROWS = 500
 
 
 def radius_of(least: float, bits: int = 64 * WIDE, deviations: float = 1.5) -> int:
@@ -140,9 +142,8 @@ def shingles(text: str, words_each: int = 5) -> np.ndarray:
     return np.unique(np.array([digest(join(s), SEED) for s in each], dtype="<u8"))
 
 
-def wide(text: str, words_each: int = 5) -> tuple[list[int], list[int]]:
-    """(the words of a 512-bit SimHash, the least value of each word's hash) over a text's word shingles; no words: zeros."""
-    h = shingles(text, words_each)
+def wide(h: np.ndarray) -> tuple[list[int], list[int]]:
+    """(the words of a 512-bit SimHash, the least value of each word's hash) over a set of shingles; none: zeros."""
     if not len(h):
         return [0] * WIDE, [0] * WIDE
     fp, least = [], []
@@ -169,16 +170,25 @@ def _within(a: str, b: str, radius: int):
     return starts & (sum(d[1:], d[0]) <= radius)
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, least: float = 0.8) -> DataFrame:
+def _may_be_alike(radius: int, least: float):
+    """The cheap tests of a pair (na, fa), (nb, fb): sizes of the sets, then the fingerprints unless a set is small."""
+    small, large = F.least("na", "nb"), F.greatest("na", "nb")
+    return (small >= F.lit(least) * large - 1e-6) & ((small < FEW) | _within("fa", "fb", radius))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, least: float = 0.8, part_rows: int = PART_ROWS) -> DataFrame:
     """``(id, component)`` of every row with an id: the smallest id reachable over links.
 
-    Links: wide fingerprints within :func:`radius_of` ``least`` bits, and sets of shingles that are alike to ``least``
-    or more, verified exactly (but for 32-bit hashes). The ring's segments can't be join keys at such
-    radii (each would have few bits), so candidates share two neighbouring min-wise values of the same
-    shingles; of pairs at a similarity of 0.8 or more, 99.5 % and more do. Small buckets compare all pairs. A larger one compares with
-    its leader, the text that shares values with most others, and what the leader doesn't take is dealt to
-    finer buckets by a further value, so no group is ever paired out. Equal fingerprints are one node.
-    Texts without words share one.
+    Links: sets of shingles that are alike to ``least`` or more, verified exactly (but for 32-bit hashes) before
+    anything depends on them. The ring's segments of a wide fingerprint can't be join keys at such radii (each would
+    have few bits), so candidates share one of eight min-wise values of the same shingles; a pair at a similarity of
+    0.8 shares none with a probability of 0.2 ** 8. Fingerprints only prune.
+
+    Each row of a bucket meets the bucket's leader first, the text that shares values with most others. That
+    joins most rows of a group of copies. Of buckets that still have rows of several components, all pairs of two
+    components are compared: a bucket of more than ``part_rows`` rows is split, its largest component apart
+    from the rest, and parts meet two by two in groups of their own. ``part_rows`` changes the cost, never the result.
+    Equal sets are one node, texts without words another.
     """
     radius = radius_of(least)
     small_batches(docs.sparkSession)
@@ -186,59 +196,119 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def each(batches):
         for b in batches:
-            got = [wide(t, words_each) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[k] for g in got], pa.list_(pa.int64())) for k in (0, 1))], ["id", "f", "m"])
+            sets = [shingles(t, words_each) for t in b.column(1).to_pylist()]
+            got = [wide(h) for h in sets]
+            u = [xxhash.xxh3_64_intdigest(h.tobytes()) - 2**63 for h in sets]
+            own = [np.unique(h >> np.uint64(32)).astype("<u4").tobytes() for h in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(u, pa.int64()), pa.array([len(h) for h in sets], pa.int32()), *(pa.array([g[k] for g in got], pa.list_(pa.int64())) for k in (0, 1)), pa.array(own, pa.binary())], ["id", "u", "size", "f", "m", "s"])
 
-    texts = rows
-    rows = cut(rows.mapInArrow(each, "id long, f array<long>, m array<long>"), "wide")
-    nodes = cut(rows.groupBy("f").agg(F.min("id").alias("node"), F.min_by("m", "id").alias("m")), "wide-nodes")
+    rows = cut(rows.mapInArrow(each, "id long, u long, size int, f array<long>, m array<long>, s binary"), "wide")
+    nodes = rows.groupBy("u").agg(F.min("id").alias("node"), F.min_by(F.struct("size", "f", "m"), "id").alias("x"))
+    nodes = cut(nodes.select("u", "node", "x.*"), "wide-nodes")
 
-    pairs = F.array(*(F.struct(F.lit(i).alias("at"), F.xxhash64(F.lit(i), F.col("m")[i], F.col("m")[(i + 1) % WIDE]).alias("key")) for i in range(WIDE)))
-    keys = nodes.select("node", F.explode(pairs).alias("k")).select("node", "k.at", "k.key")
+    keys = nodes.where("size > 0").select("u", F.posexplode("m").alias("at", "value")).select("u", "at", F.xxhash64("at", "value").alias("key"))
     n = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "wide-keys")
     met = cut(keys.join(n, "key"), "wide-met")
-    weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
-    left = cut(met.join(nodes.join(weight, "node"), "node").select("node", "f", "m", "weight", "at", "key", "n"), "wide-left")
-    edges = []
-    for depth in range(2, WIDE + 1):
-        a, b = (left.where(f"n <= {ALL_PAIRS}").select("key", F.col("node").alias(x), F.col("f").alias(f"f{x}")) for x in "ab")
-        edges.append(a.join(b, "key").where("a < b").where(_within("fa", "fb", radius)).select("a", "b"))
-        large = left.where(f"n > {ALL_PAIRS}")
-        leader = large.groupBy("key").agg(F.max_by(F.struct("node", "f"), F.struct("weight", -F.col("node"))).alias("x")).select("key", F.col("x.node").alias("b"), F.col("x.f").alias("fb"))
-        leader = cut(leader, "wide-leaders")
-        held = cut(large.join(leader, "key").where("node <> b").withColumn("near", _within("f", "fb", radius)), "wide-held")
-        edges.append(held.where("near").select(F.col("node").alias("a"), "b"))
-        rest = held.where("not near").select("node", "f", "m", "weight", "at", F.xxhash64("key", F.element_at("m", F.pmod(F.col("at") + depth, F.lit(WIDE)) + 1)).alias("key"))
-        n = cut(rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "wide-keys")
-        left = cut(rest.join(n, "key"), "wide-left")
-        if left.isEmpty():
+    weight = cut(met.groupBy("u").agg(F.sum("n").alias("weight")), "wide-weights")
+    left = cut(met.join(nodes.drop("node").join(weight, "u"), "u").select("u", "size", "f", "m", "weight", "at", "key", "n"), "wide-left")
+    whole, found = left.columns, None
+    lead, others = left, left
+    for turn in (1, 2):
+        leader = lead.groupBy("key").agg(F.max_by(F.struct("u", "size", "f"), F.struct("weight", "u")).alias("x"))
+        leader = cut(leader.select("key", F.col("x.u").alias("b"), F.col("x.size").alias("nb"), F.col("x.f").alias("fb")), "wide-leaders")
+        near = others.withColumnsRenamed({"size": "na", "f": "fa"}).join(leader, "key").where("u <> b").where(_may_be_alike(radius, least))
+        near = cut(near.select(F.least("u", "b").alias("a"), F.greatest("u", "b").alias("b")).distinct(), "wide-edges")
+        new = cut(_verified(near, rows, nodes, least), "wide-links")
+        found = new if found is None else found.union(new)
+        linked = cut(components(found, "similar"), "similar")
+        left = left.select(*whole).join(linked.withColumnRenamed("node", "u"), "u", "left").withColumn("comp", F.coalesce("root", "u")).drop("root")
+        # of buckets of two, the only pair has met
+        sizes = left.where("n > 2").groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.max("c").alias("c"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
+        left = cut(left.join(cut(sizes, "wide-open"), "key"), "wide-left")
+        lead = others = left.where(f"n > {part_rows}")
+        lead = lead.where("comp <> most")
+        if lead.isEmpty():
             break
-    found = edges[0]
-    for e in edges[1:]:
-        found = found.union(e)
-    linked = components(_verified(cut(found.distinct(), "wide-edges"), texts, words_each, least), "similar")
-    label = nodes.join(linked, "node", "left").select("f", F.coalesce("root", "node").alias("component"))
-    return rows.join(label, "f").select("id", "component")
+    if not left.isEmpty():
+        found = found.union(cut(_pairs_of_parts(left, rows, nodes, radius, least, part_rows), "wide-links"))
+        linked = cut(components(found, "similar"), "similar")
+    rooted = nodes.join(linked.withColumnRenamed("node", "u"), "u", "left").select("u", "node", F.coalesce("root", "u").alias("root"))
+    classes = cut(rooted.groupBy("root").agg(F.min("node").alias("component")), "similar-classes")
+    label = cut(rooted.join(classes, "root").select("u", "component"), "similar-labels")
+    return rows.select("id", "u").join(label, "u").select("id", "component")
 
 
-def _verified(edges: DataFrame, texts: DataFrame, words_each: int, least: float) -> DataFrame:
-    """Edges (a, b) whose texts (id, text) have a Jaccard similarity of ``least`` or more; only texts of edges are read again."""
-    ends = edges.select("a").union(edges.select("b")).distinct().withColumnRenamed("a", "id")
+def _sets(wanted: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(u, s)`` of the nodes ``wanted`` (u, no repeats): the set of the row that stands for each."""
+    ends = wanted.join(nodes.select("u", F.col("node").alias("id")), "u")
+    return rows.select("u", "id", "s").join(ends, ["u", "id"]).dropDuplicates(["u"]).select("u", "s")
+
+
+def _alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= least * (len(x) + len(y) - both)
 
-    def sets(batches):
-        for b in batches:
-            own = [(shingles(t, words_each) >> np.uint64(32)).astype("<u4").tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], ["id", "s"])
+
+def _verified(edges: DataFrame, rows: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) whose sets have a Jaccard similarity of ``least`` or more."""
 
     def alike(batches):
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = (np.unique(np.frombuffer(v, "<u4")) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= least * (len(x) + len(y) - both))
+            ok = [_alike(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), least) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    own = cut(texts.join(ends, "id").dropDuplicates(["id"]).mapInArrow(sets, "id long, s binary"), "wide-sets")
+    own = cut(_sets(edges.select(F.explode(F.array("a", "b")).alias("u")).distinct(), rows, nodes), "wide-sets")
     pairs = edges.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     return pairs.mapInArrow(alike, "a long, b long")
+
+
+def _pairs_of_parts(left: DataFrame, rows: DataFrame, nodes: DataFrame, radius: int, least: float, part_rows: int) -> DataFrame:
+    """Links (a, b) that connect what the links between two components in a bucket of ``left`` connect.
+
+    ``most`` is a bucket's largest component, of ``c`` rows: pairs inside it aren't looked at, so its parts meet only others.
+    """
+    apart = (F.col("n") > part_rows) & (F.col("comp") == F.col("most"))
+    minor = F.when(F.col("n") > part_rows, F.ceil((F.col("n") - F.col("c")) / part_rows)).otherwise(1).cast("int")
+    major = F.when(F.col("n") > part_rows, F.ceil(F.col("c") / part_rows)).otherwise(0).cast("int")
+    sent = left.withColumns({"minor": minor, "major": major}).withColumn("h", F.xxhash64("u"))
+    sent = sent.withColumn("mine", F.when(apart, F.col("minor") + F.pmod("h", F.greatest("major", F.lit(1)))).otherwise(F.pmod("h", "minor")).cast("int"))
+    sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(apart, F.col("minor") - 1).otherwise(F.col("minor") + F.col("major") - 1))))
+    sent = sent.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
+    tasks = 1 + left.where(f"n <= {part_rows}").count() // (2 * part_rows)
+    bin_ = F.when(F.col("n") > part_rows, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(tasks)))
+    sent = sent.select(bin_.alias("bin"), "key", "at", "low", "high", "mine", "u", "comp", "f", "m")
+    own = cut(_sets(left.select("u").distinct(), rows, nodes), "wide-sets")
+
+    def meet(t: pa.Table) -> pa.Table:
+        groups: dict = {}
+        for i, key in enumerate(t.column("key").to_pylist()):
+            groups.setdefault(key, []).append(i)
+        u, comp, at, mine = (t.column(c).to_numpy() for c in ("u", "comp", "at", "mine"))
+        low, high = (t.column(c)[0].as_py() for c in ("low", "high"))
+        f, m = (np.array(t.column(c).to_pylist(), np.int64) for c in ("f", "m"))
+        sets = [np.frombuffer(x, "<u4") for x in t.column("s").to_pylist()]
+        size, out = np.array(list(map(len, sets))), []
+        for g in groups.values():
+            g = np.array(g)
+            a, b = (g[mine[g] == x] for x in (low, high))
+            k, own_now, now = at[g[0]], comp[a], comp[b]
+            for x, i in enumerate(a):
+                ok = now != own_now[x]
+                if low == high:
+                    ok[: x + 1] = False
+                j = np.flatnonzero(ok)
+                large, small = np.maximum(size[b[j]], size[i]), np.minimum(size[b[j]], size[i])
+                j = j[small >= least * large - 1e-6]
+                j = j[(m[b[j], :k] != m[i, :k]).all(1)]  # others meet in an earlier bucket
+                far = np.bitwise_count((f[b[j]] ^ f[i]).view(np.uint64)).sum(1, dtype=np.int64)  # of signed numbers it counts the absolute value
+                near = (far <= radius) | (np.minimum(size[b[j]], size[i]) < FEW)
+                j = j[near][np.argsort(far[near], kind="stable")]
+                for y in j:
+                    if now[y] != own_now[x] and _alike(sets[i], sets[b[y]], least):
+                        out.append((u[i], u[b[y]]))
+                        old, new = now[y], own_now[x]
+                        now[now == old] = new
+                        own_now[own_now == old] = new
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return sent.join(own, "u").groupBy("bin", "low", "high").applyInArrow(meet, "a long, b long")
