@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -109,7 +110,7 @@ def jaccard_roots(texts):
 
 
 def test_a_hot_group_alike_by_halves_loses_no_links(spark):
-    """Some 150 texts that are 0.75 to 0.85 alike, few of them linked to any one leader."""
+    """Some 150 texts that are 0.75 to 0.85 alike, few of them linked to any one leader; and short texts at 0.8."""
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     base, texts = [word() for _ in range(300)], []
@@ -118,6 +119,9 @@ def test_a_hot_group_alike_by_halves_loses_no_links(spark):
         for at in rng.sample(range(5, 295), rng.randint(3, 8)):
             own[at] = word()
         texts.append(" ".join(own))
+    for _ in range(60):
+        own = [word() for _ in range(8)]
+        texts += [" ".join(own), " ".join(own + [word()])]
     want, grams = jaccard_roots(texts)
     alike = [len(grams[i] & grams[j]) / len(grams[i] | grams[j]) for i in range(150) for j in range(i)]
     assert sum(0.75 <= x <= 0.85 for x in alike) > 1000 and len({*want[:150]}) > 1
@@ -127,6 +131,15 @@ def test_a_hot_group_alike_by_halves_loses_no_links(spark):
         assert [got[i] for i in range(len(texts))] == want
 
 
+def test_the_fingerprints_throw_away_no_pairs_at_the_threshold():
+    rng, radius = np.random.default_rng(2), simhash.radius_of(0.8)
+    for a, b in ((64, 80), (80, 100), (200, 250)):
+        for _ in range(200):
+            h = rng.integers(0, 2**64, size=b, dtype=np.uint64)
+            x, y = (np.array(simhash.wide(s)[0], np.int64).view(np.uint64) for s in (h[:a], h))
+            assert np.bitwise_count(x ^ y).sum() <= radius
+
+
 def test_repeats_across_path_borders(spark):
     """Passages that begin and end anywhere, overlap and repeat inside one text, against a count of all windows."""
     rng = random.Random(5)

@@ -121,12 +121,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 #: Words of 64 bits of a wide fingerprint; each is a segment of the ring, and each gives a min-wise value.
 WIDE = 8
 #: Shingles below which a fingerprint says too little: pairs with such a set skip its test.
-FEW = 0
+FEW = 64
 #: Rows of a bucket that meet in one task; a larger bucket is split and its parts meet two by two.
 PART_ROWS = 500
 
 
-def radius_of(least: float, bits: int = 64 * WIDE, deviations: float = 1.5) -> int:
+def radius_of(least: float, bits: int = 64 * WIDE, deviations: float = 6.0) -> int:
     """Differing bits that two sets of a Jaccard similarity of ``least`` are expected to have, and some standard deviations more."""
     share = np.arccos(2 * least / (1 + least)) / np.pi
     return int(bits * share + deviations * np.sqrt(bits * share * (1 - share)))
@@ -182,7 +182,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Links: sets of shingles that are alike to ``least`` or more, verified exactly (but for 32-bit hashes) before
     anything depends on them. The ring's segments of a wide fingerprint can't be join keys at such radii (each would
     have few bits), so candidates share one of eight min-wise values of the same shingles; a pair at a similarity of
-    0.8 shares none with a probability of 0.2 ** 8. Fingerprints only prune.
+    0.8 shares none with a probability of 0.2 ** 8. Fingerprints only prune, at six standard deviations.
 
     Each row of a bucket meets the bucket's leader first, the text that shares values with most others. That
     joins most rows of a group of copies. Of buckets that still have rows of several components, all pairs of two
