@@ -31,6 +31,14 @@ def test_spaced_letters_are_one_token():
     assert "idiot" in toxicity.tokens("you i d i o t there") and "a" in toxicity.tokens("a word")
 
 
+@pytest.mark.parametrize("text", ["you are a i d i o t", "i s a y y o u a r e a n i d i o t", "y o u a r e a 1 d 1 0 t", "".join(c * 9 for c in "idiot"), "i.......d.......i........o........t.....", " ".join("thegooseisthegooseisthegooseisthegooseandanidiot"), "the.silly.goose.is.a.t0tal.id10t.and.lies.about"])
+def test_insults_in_long_and_spaced_runs_count(channel, text):
+    scorer = toxicity.Scorer(np.zeros(1), {"idiot": 5.0}, 1.0, 0.0)
+    scorer.channel = channel
+    assert scorer.evidence(text) > 0
+    assert scorer.evidence("a b c d e f g h i j k l m n o p and 24be64439e3e49cf46b2d7c90f3602a3d0b907ffaa") == 0
+
+
 def test_scores_of_held_out_rows(spark):
     got = queries.op1_toxicity(spark, DATA).join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").where("held_out").collect()
     hits = [(r["score"], r["toxic"]) for r in got]

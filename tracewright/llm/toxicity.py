@@ -31,6 +31,8 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "
 _SEPARATORS = set(".-_*~·, ")
 #: Natural-log costs of the channel: a stand-in, a dropped separator, a repetition of two and of more, a literal non-letter.
 STAND_IN, DROP, TWICE, MORE, LITERAL = 0.7, 0.3, 5.0, 0.2, 9.0
+#: Costs of a word's edge in a run of words: at a separator, and between two letters.
+EDGE, GLUED = 0.5, 2.0
 _STARTS = (4, 5, 6)
 
 
@@ -101,40 +103,96 @@ class Channel:
             best, before = new, ch
         return min((cost - self._next(a, b, 0), text) for (a, b), (cost, text) in best.items())[1]
 
+    def words(self, token: str) -> str:
+        """The likeliest words of a run without certain word edges, a blank between two; time in proportion to its length.
+
+        As :meth:`_decode`, but a word may end before any letter, more cheaply at a separator, and
+        separators don't end a repetition.
+        """
+        best = {(0, 0): (0.0, None)}  # state: cost, (before, letter)
+        before, run, gap = "", 0, True
+        for ch in token:
+            if ch in _SEPARATORS:
+                gap = True
+                continue
+            run = run + 1 if ch == before else 1
+            options = [(c, STAND_IN) for c in LEET.get(ch, "")]
+            options.append((ch, 0.0) if ch.isalpha() else ("", LITERAL))
+            edges = {}
+            for (a, b), (cost, text) in best.items():
+                ended = cost + (EDGE if gap else GLUED) - (self._next(a, b, 0) if b else math.inf)
+                if b and ended < edges.get((b, 0), (math.inf,))[0]:
+                    edges[(b, 0)] = (ended, (text, " "))
+            new: dict = {}
+            for (a, b), (cost, text) in [*best.items(), *edges.items()]:
+                for c, price in options:
+                    if c:
+                        state, price, longer = (b, ord(c)), price - self._next(a, b, ord(c)), (text, c)
+                    else:
+                        state, longer = (a, b), text
+                    if cost + price < new.get(state, (math.inf,))[0]:
+                        new[state] = (cost + price, longer)
+                    if c and run > 1 and b == ord(c):
+                        drop = cost + (TWICE if run == 2 and ch.isalpha() else MORE)
+                        if drop < new.get((a, b), (math.inf,))[0]:
+                            new[(a, b)] = (drop, text)
+            best, before, gap = new, ch, False
+        text, out = min(((cost - self._next(a, b, 0), text) for (a, b), (cost, text) in best.items()), key=lambda x: x[0])[1], []
+        while text:
+            text, c = text
+            out.append(c)
+        return "".join(reversed(out)).strip()
+
 
 _DECOR = re.compile(r"^([^\w\s])\1+|([^\w\s])\2+$")
 _EDGE = "\"'`.,;:?)]}[{<>=/\\%&#^~*_-"
 _NOISE = re.compile(r"[^\W\d_]*(?:[\d@$!|+(€£._*~·-]|([^\W\d_])\1\1)")
+_REPEATED = re.compile(r"([^\W_])\1{3,}")
+_GAPS = re.compile(r"[.\-_*~·,]{2,}")
 _SPACED = re.compile(r"(?<!\S)[\w@$!|+](?:[ .*_-][\w@$!|+]){2,}(?!\S)")
 
 
 def restore(token: str, channel: Channel) -> str:
-    """The word that a lower-case token stands for; tokens of over 40 characters are no words and stay."""
+    """The word that a lower-case token stands for; of a run with blanks, or one still over 40 characters without its repetitions, the words."""
     core = _DECOR.sub("", token).strip(_EDGE).rstrip("!")
     if core.isalpha() and not (len(core) > 2 and _NOISE.search(core)):
         return core
-    if len(core) > 40 or not any(map(str.isalpha, core)):
+    if not any(map(str.isalpha, core)):
         return core
+    if len(core) > 40:
+        core = _REPEATED.sub(r"\1\1\1", _GAPS.sub(lambda m: m.group()[0], core))
+    if " " in core or len(core) > 40:
+        return channel.words(core)
     return channel.decode(core)
 
 
 def tokens(text: str) -> set[str]:
-    """Distinct lower-case tokens of a text, runs of single characters as one token each."""
+    """Distinct lower-case tokens of a text, runs of single characters as one token each and, with blanks, as a run of words."""
     low = text.lower()
-    return set(low.split()).union(m.group().replace(" ", "") for m in _SPACED.finditer(low))
+    runs = [m.group() for m in _SPACED.finditer(low)]
+    return set(low.split()).union((r.replace(" ", "") for r in runs), (re.sub("[ .*_-]", " ", r) for r in runs))
 
 
-def features(word: str) -> list[str]:
-    return [word] + [f"^{word[:n]}" for n in _STARTS if len(word) > n]
+def features(words: str) -> list[str]:
+    return [f for word in words.split() for f in [word, *(f"^{word[:n]}" for n in _STARTS if len(word) > n)]]
 
 
 class Scorer:
     def __init__(self, counts: np.ndarray, weights: dict[str, float], slope: float, offset: float):
         self.channel, self.weights, self.slope, self.offset, self.known = Channel(counts), weights, slope, offset, {}
 
-    def _weight(self, token: str) -> tuple[str, float]:
-        word = restore(token, self.channel)
-        return word, max((self.weights.get(f, 0.0) for f in features(word)), default=0.0) if word else 0.0
+    def _weights(self, token: str) -> list[tuple[str, float]]:
+        """The restored words of a token that are evidence; in a run of words also those that its likeliest edges cut."""
+        text = restore(token, self.channel)
+        found = {word: w for word in text.split() if (w := max(self.weights.get(f, 0.0) for f in features(word)))}
+        if " " in token or len(token) > 40:
+            letters, at = text.replace(" ", ""), 0
+            while at < len(letters) - 3:
+                word = next((x for n in range(24, 3, -1) if (x := letters[at : at + n]) in self.weights), None)
+                if word:
+                    found[word] = self.weights[word]
+                at += len(word) if word else 1
+        return list(found.items())
 
     def evidence(self, text: str) -> float:
         found, known = {}, self.known
@@ -143,9 +201,8 @@ class Scorer:
         for t in tokens(text):
             w = known.get(t)
             if w is None:
-                w = known[t] = self._weight(t)
-            if w[1]:
-                found[w[0]] = w[1]
+                w = known[t] = self._weights(t)
+            found.update(w)
         return sum(found.values())
 
     def score(self, text: str | None) -> float:
