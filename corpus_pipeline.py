@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import decontam, packing, pii, simhash, toxicity
-from tracewright.llm.common import new_path, table
+from tracewright.llm.common import cut, new_path, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -20,12 +20,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts whose five-word shingles are alike to 0.8 or more the document with the smallest id stays.
 
-    Documents without words and without an id have no group that could stand for them; they stay.
+    Texts without words are one group. Rows are told apart by a key of their own, so copies without ids are
+    dropped like others; a row without an id stays only where its group has no id.
     """
-    found = simhash.similar_groups(docs, words_each=5, least=0.8).where("id <> component").select(F.col("id").alias("doc_id")).distinct()
-    empty = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "") == ""
-    kept = docs.where(~empty | F.col("doc_id").isNull()).join(found, "doc_id", "left_anti")
-    return kept.union(docs.where(empty & F.col("doc_id").isNotNull())).select(*COLUMNS)
+    keyed = cut(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    groups = simhash.similar_groups(keyed, "_row", words_each=5, least=0.8).withColumnRenamed("id", "_row")
+    groups = groups.join(keyed.select("_row", "doc_id"), "_row")
+    first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("x"), F.count("*").alias("n"))
+    first = cut(first.where("n > 1").select("component", F.col("x._row").alias("stays")), "first-of-groups")
+    gone = groups.join(first, "component").where("_row <> stays").select("_row")
+    return keyed.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -196,3 +196,13 @@ def test_pipeline_stages(spark):
     out = p.run(spark, data)
     assert {"doc_id", "bin_id"} <= set(out.columns)
     assert ids(out) < ids(docs) and out.groupBy("bin_id").agg(F.sum("n_tokens").alias("n")).where("n > 2048").count() == 0
+
+
+def test_blank_texts_and_copies_without_ids_leave_one(spark):
+    import corpus_pipeline as p
+
+    text, other = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))
+    rows = [(3, ""), (2, None), (9, " \t"), (None, ""), (None, text), (None, text), (None, other), (7, text), (7, other), (None, "alone"), (None, "alone")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in p.drop_near_copies(spark, df, SMALL).collect()), key=str)
+    assert got == sorted([(2, None), (7, text), (7, other), (None, "alone")], key=str)
