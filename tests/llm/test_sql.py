@@ -90,3 +90,12 @@ def test_vectors_in_crowded_cells(spark):
     want = {i: int(n) - 1 for i, n in enumerate((u @ u.T >= 0.98).sum(1))}
     for cell_rows in (3, 2000):
         assert {r["id"]: r["n_links"] for r in embeddings.near_duplicates(df, cell_rows=cell_rows).collect()} == want
+
+
+def test_groups_of_a_dominant_cell_stay_small(spark):
+    """A cell of 6,000 rows beside 200 cells of 10: no call gets more than two parts of a cell."""
+    sent = spark.range(8000).selectExpr("if(id < 6000, 1, id % 200 + 2) AS cell", "id AS node")
+    sizes = sent.groupBy("cell").count().withColumnRenamed("count", "rows")
+    got = embeddings.dealt(sent, sizes, 100)
+    assert got.groupBy("bin", "low", "high").count().agg({"count": "max"}).first()[0] < 400
+    assert got.where("cell = 1").select("low", "high").distinct().count() == 60 * 61 // 2

@@ -103,6 +103,21 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
+def dealt(sent: DataFrame, sizes: DataFrame, cell_rows: int) -> DataFrame:
+    """Rows (cell, node, ...) of the cells in ``sizes`` (cell, rows), once for each group (bin, low, high) they belong to.
+
+    Whole cells share bins of some 2 * ``cell_rows`` rows; two parts of a split cell are a group of their own, so
+    a group stays near that size whatever the size of the cell.
+    """
+    parts = F.ceil(F.col("rows") / cell_rows).cast("int")
+    whole = sizes.where(parts == 1).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    sent = sent.join(sizes.select("cell", parts.alias("parts")), "cell").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sent = sent.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other")).drop("other")
+    bins = F.pmod(F.xxhash64("cell"), F.lit(max(1, whole // (2 * cell_rows))))
+    return sent.withColumn("bin", F.when(F.col("parts") == 1, bins).otherwise(F.col("cell"))).drop("parts")
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", width: int = 8, dims: int = 3, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``(id, n_links, component)`` of every row; ids are expected to be unique.
 
@@ -138,13 +153,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     sent = nodes.mapInArrow(spread, "cell long, block int, home boolean, label string, node long, copies long, raw binary")
     sizes = nodes.mapInArrow(lambda bs: (b.select(["cell", "home"]) for b in spread(bs)), "cell long, home boolean").groupBy("cell").agg(F.count("*").alias("rows"), F.max("home").alias("any_home"))
     sizes = cut(sizes.where("rows > 1 and any_home"), "cells")
-    total = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    parts = F.ceil(F.col("rows") / cell_rows).cast("int")
-    sent = sent.join(sizes.select("cell", parts.alias("parts")), "cell").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    sent = sent.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other")).drop("other", "parts")
-    tasks = max(1, total // (2 * cell_rows))
-    sent = sent.withColumn("bin", F.pmod(F.xxhash64("cell", "low", "high"), F.lit(tasks)))
+    sent = dealt(sent, sizes, cell_rows)
 
     def join(t: pa.Table) -> pa.Table:
         groups: dict = {}
@@ -177,7 +186,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
             rotations[dim] = rotation(dim)
         return rotations[dim]
 
-    found = cut(sent.groupBy("bin").applyInArrow(join, "node long, n long, root long"), "links")
+    found = cut(sent.groupBy("bin", "low", "high").applyInArrow(join, "node long, n long, root long"), "links")
     linked = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "vectors")
     stats = nodes.join(found.groupBy("node").agg(F.sum("n").alias("n")), "node", "left").join(linked, "node", "left")
     stats = stats.select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("component"))
