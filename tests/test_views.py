@@ -130,3 +130,11 @@ def test_follow(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["host"] for r in spark.table("followed").collect()} == {"web01", "web03"}
+
+
+def test_places_of_the_whole_order(spark):
+    """Every row has its place, beyond a page and over several partitions: hot keys, text after numbers, both zeros."""
+    df = spark.range(5000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN '7' WHEN id % 7 = 0 THEN concat('t', id % 10) WHEN id % 11 = 0 THEN if(id % 2 = 0, '-0.0', '0.0') ELSE cast(id % 100 AS string) END AS x").repartition(7)
+    view = from_table(df, "id", ["x"]).sort(("x", False))
+    got = {r["pos"]: r["_row_id"] for r in view.placed().collect()}
+    assert [got[i] for i in range(5000)] == [r["_row_id"] for r in view.ordered().collect()]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -41,6 +43,22 @@ class View:
         """
         return self.ordered().offset(max(0, offset)).limit(max(0, min(limit, most)))
 
+    def placed(self) -> DataFrame:
+        """All rows with ``pos``, their place in the order from 0: sorted by range, written, and numbered by partition.
+
+        The driver sees one row a partition. The written table stays in the shared folder.
+        """
+        from pyspark.sql import Window
+
+        spark = self.df.sparkSession
+        path = f"{shared_dir(spark)}/tables/ordered-{uuid.uuid4().hex}"
+        ids = self.ordered().withColumn("_part", F.spark_partition_id())
+        ids.withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).write.parquet(path)
+        rows = spark.read.parquet(path)
+        before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        first = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_first"))
+        return rows.join(F.broadcast(first), "_part").withColumn("pos", F.col("_first") + F.col("_at")).drop("_part", "_at", "_first")
+
     def count(self) -> int:
         return self.df.count()
 
@@ -97,6 +115,16 @@ class View:
         return self.df.select(ROW)
 
 
+def shared_dir(spark) -> str:
+    """``spark.checkpoint.dir``, or a folder of this machine where the master is local and it isn't set."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    return found.rstrip("/")
+
+
 def add_tags(tags: DataFrame, view: View) -> DataFrame:
     """Marks together with the rows of a view."""
     return tags.select(ROW).union(view.tags()).distinct()

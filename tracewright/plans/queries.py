@@ -125,6 +125,15 @@ def _sorted(name: str, table: str, sorts: list[list[tuple[str, bool]]], limit: i
 
     query(name, f"SELECT row_number() OVER (ORDER BY {_order(keys, key)}) - 1 AS pos, {key} AS _row_id, {', '.join(f'{_text(c)} AS {c}' for c in columns)} FROM {table} QUALIFY pos < {limit}")(run)
 
+    # the whole order beside its first page
+    def whole(spark, d):
+        v = view(spark, d, table)
+        for new in sorts:
+            v = v.sort(*new)
+        return v.placed().select("pos", ROW, *columns)
+
+    query(f"{name}_whole", f"SELECT row_number() OVER (ORDER BY {_order(keys, key)}) - 1 AS pos, {key} AS _row_id, {', '.join(f'{_text(c)} AS {c}' for c in columns)} FROM {table}")(whole)
+
 
 def _with_places(page: DataFrame, v: View) -> DataFrame:
     """Places of the rows of one page, which is bounded by its limit."""
