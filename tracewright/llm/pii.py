@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -20,18 +21,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_by_hash, small_batches
+from .common import cut, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 GROUPS = 8
-#: Documents that the field is trained on, at most (the first by a hash of the id among those with triggers).
-SAMPLE_ROWS = 2_000
+#: Pieces of texts that the field is trained on, at most, and the characters of a piece, at most.
+SAMPLE_PIECES, PIECE_CHARS = 3_000, 2_000
+#: What a piece has that is of use: a sign of an address or a number.
+_TRIGGER = r"@|[0-9]{4}|\+[0-9]"
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_GROUP = re.compile(r"[0-9]+")
 
 
 def luhn(digits: str) -> bool:
@@ -40,7 +44,7 @@ def luhn(digits: str) -> bool:
 
 
 def _digits(s: str) -> str:
-    return "".join(c for c in s if "0" <= c <= "9")
+    return "".join(_GROUP.findall(s))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -61,7 +65,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             end = at + 1
         at = text.find("@", end)
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m.group().split("."))):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         if 16 <= len(d := _digits(m.group())) <= 19 and luhn(d):
@@ -74,38 +78,39 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 _AT = re.compile(r" ?(?:\[at\]|\(at\)|\{at\}) ?| at (?=[A-Za-z0-9-]+ dot )", re.I)
 _DOT_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?: ?(?:\[dot\]|\(dot\)|\{dot\}|\[\.\]) ?| dot |\.)[A-Za-z0-9-]+)+", re.I)
-_AT_SIGN = re.compile(r"@")
-_ZONE = re.compile(r"[+(]*[0-9](?:[ ().\-\[\]/]{0,3}[0-9])+")
-_GROUP = re.compile(r"[0-9]+")
+_ZONE = re.compile(r"(?:\+\(?|\(\+?)?[0-9](?:[ ().\-\[\]/]{0,3}[0-9])+")
+
 
+def candidates(text: str) -> Iterator[list[tuple[str, int, int]]]:
+    """Lists of candidates (kind, start, end), one for each zone: a respelled address, or digits near one another.
 
-def zones(text: str):
-    """Lists of candidates (kind, start, end) that may overlap one another, in the order of the text."""
+    Time and candidates are in proportion to the text. A number may begin with a plus, a bracket or both.
+    """
+    end = 0
     for m in _AT.finditer(text):
-        own = text[max(0, m.start() - 64) : m.start()]
-        start = m.start() - (len(own) - len(own.rstrip(_LOCAL)))
+        own = text[end : m.start()]  # what a match holds isn't part of a name, so none reaches back further
+        end, start = m.end(), m.start() - (len(own) - len(own.rstrip(_LOCAL)))
         d = _DOT_DOMAIN.match(text, m.end())
         if d and start < m.start():
             yield [("email", start, d.end())]
     for m in _ZONE.finditer(text):
-        groups = [g.span() for g in _GROUP.finditer(text, *m.span())]
         if m.end() - m.start() < 7:
             continue
-        found = []
-        for i, (start, _) in enumerate(groups):
-            n, begins = 0, [start]
-            while begins[-1] > m.start() and text[begins[-1] - 1] in "+(" and (i == 0 or begins[-1] > groups[i - 1][1]):
-                begins.append(begins[-1] - 1)
+        groups, found, free = [g.span() for g in _GROUP.finditer(text, *m.span())], [], m.start()
+        for i, (start, stop) in enumerate(groups):
+            signs = start
+            while signs > free and start - signs < 2 and text[signs - 1] in "+(" and text[signs - 1] not in text[signs:start]:
+                signs -= 1
+            free, n = stop, 0
             for a, b in groups[i : i + GROUPS]:
                 n += b - a
                 if n > 19:
                     break
-                for s in begins:
-                    if 7 <= n <= 15:
-                        found.append(("phone", s, b))
-                if 16 <= n <= 19:
+                if 7 <= n <= 15:
+                    found += [("phone", s, b) for s in range(start, signs - 1, -1)]
+                if n >= 16:
                     found.append(("card", start, b))
-                if 4 <= n <= 12 and groups[min(i + 3, len(groups) - 1)] == (a, b) and i + 3 < len(groups):
+                if 4 <= n <= 12 and i + 3 < len(groups) and groups[i + 3] == (a, b):
                     found.append(("ip", start, b))
         if found:
             yield found
@@ -217,7 +222,9 @@ def train(texts: list[str], rounds: int = 4, rate: float = 0.3) -> Field:
     for t in texts:
         for turn in range(3):
             new, gold = respelled(t, turn)
-            zone_data += [(new[max(0, z[0][1] - 40) : z[-1][2] + 40], [(k, a - max(0, z[0][1] - 40), b - max(0, z[0][1] - 40)) for k, a, b in z], [c in gold for c in z]) for z in zones(new) if len(z) <= 400]
+            for z in candidates(new):
+                at = max(0, min(a for _, a, _ in z) - 40)
+                zone_data.append((new[at : max(b for _, _, b in z) + 40], [(k, a - at, b - at) for k, a, b in z], [c in gold for c in z]))
     w: dict[str, float] = defaultdict(float)
     seen: dict[str, float] = defaultdict(lambda: 1e-6)
     field = Field(w)
@@ -235,21 +242,28 @@ def train(texts: list[str], rounds: int = 4, rate: float = 0.3) -> Field:
 
 
 def find(text: str, field: Field) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """(base spans, all spans), by kind and start. Added spans never overlap base ones."""
+    """(base spans, all spans), by kind and start. Added spans overlap neither base ones nor one another.
+
+    One program over all candidates of the text that are clear of base spans.
+    """
     base = base_spans(text)
-    added: list = []
-    for z in zones(text):
-        free = [c for c in z if not any(a < c[2] and c[1] < b for _, a, b in base if abs(a - c[1]) < 512)] if base else z
-        if free:
-            added += field.best(text, free)
-    if not added:
+    begins: list[int] = []
+    stops: list[int] = []
+    for _, a, b in sorted(base, key=lambda s: s[1]):  # what base spans cover, as runs
+        if stops and a < stops[-1]:
+            stops[-1] = max(stops[-1], b)
+        else:
+            begins.append(a)
+            stops.append(b)
+
+    def clear(start: int, end: int) -> bool:
+        i = bisect_left(begins, end) - 1  # the last run that begins before the end
+        return i < 0 or stops[i] <= start
+
+    free = [c for z in candidates(text) for c in z if clear(c[1], c[2])]
+    if not free:
         return base, base
-    taken, kept = 0, []
-    for c in sorted(added, key=lambda c: c[1]):
-        if c[1] >= taken:
-            kept.append(c)
-            taken = c[2]
-    return base, sorted(base + kept, key=lambda s: (KINDS.index(s[0]), s[1]))
+    return base, sorted(base + field.best(text, free), key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -262,11 +276,22 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, sample_chars: int = 20_000) -> dict[str, float]:
-    """Weights from at most ``sample_rows`` documents with triggers, of at most ``sample_chars`` characters each."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= sample_chars)
-    rows = rows.where(F.col("text").rlike(r"@|[0-9]{4}|\+[0-9]"))
-    return train([r[0] for r in first_by_hash(rows, sample_rows, "id", "text").select("text").collect()]).w
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_pieces: int = SAMPLE_PIECES, piece_chars: int = PIECE_CHARS) -> dict[str, float]:
+    """Weights from at most ``sample_pieces`` pieces with triggers.
+
+    Texts of any length are cut at white space into pieces of at most ``piece_chars`` characters, so that what the driver
+    gets has a bound. Documents are taken by a hash of their id; where too few have triggers, more of them are.
+    """
+    rows = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("h"), F.col(text_col).alias("text"))
+    share = min(1.0, 2 * sample_pieces / max(rows.count(), 1))
+    pieces = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{piece_chars}}}(?!\S)|.{{1,{piece_chars}}}"), F.lit(0))
+    while True:
+        some = rows if share >= 1 else rows.where(F.col("h") < F.lit(int((share - 0.5) * 2**64)))
+        found = cut(some.select("h", F.posexplode(pieces).alias("i", "piece")).where(F.col("piece").rlike(_TRIGGER)), "pii-pieces")
+        if share >= 1 or (n := found.count()) >= sample_pieces:
+            break
+        share = min(1.0, share * max(2.0, 1.3 * sample_pieces / max(n, 1)))
+    return train([r[0] for r in found.orderBy(F.xxhash64("h", "i"), "h", "i", "piece").limit(sample_pieces).select("piece").collect()]).w
 
 
 def scan(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
