@@ -3,11 +3,13 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from helpers import SMALL
 from tracewright.llm import queries, simhash, substring, toxicity
+from tracewright.llm.common import Scratch
 from tracewright.llm.graph import components
 
 
@@ -140,12 +142,21 @@ def test_the_fingerprints_throw_away_no_pairs_at_the_threshold():
             assert np.bitwise_count(x ^ y).sum() <= radius
 
 
-def test_repeats_across_path_borders(spark):
-    """Passages that begin and end anywhere, overlap and repeat inside one text, against a count of all windows."""
-    rng = random.Random(5)
+def kept_words(texts, window=35):
+    """Words that a count of all windows leaves."""
+    count = {}
+    for t in texts:
+        for i in range(len(t) - window + 1):
+            count[tuple(t[i : i + window])] = count.get(tuple(t[i : i + window]), 0) + 1
+    gone = [{i + j for i in range(len(t) - window + 1) if count[tuple(t[i : i + window])] > 1 for j in range(window)} for t in texts]
+    return [" ".join(w for i, w in enumerate(t) if i not in g) for t, g in zip(texts, gone)]
+
+
+def passages(seed):
+    """Texts of passages that begin and end anywhere, overlap, repeat inside one text, branch and run in circles."""
+    rng = random.Random(seed)
     word = lambda: rng.choice("abcdefgh") * rng.randint(1, 3)
-    pool = [[word() for _ in range(rng.randint(30, 90))] for _ in range(5)]
-    texts = []
+    pool, texts = [[word() for _ in range(rng.randint(30, 90))] for _ in range(5)], []
     for _ in range(40):
         t = []
         for _ in range(rng.randint(0, 4)):
@@ -153,18 +164,34 @@ def test_repeats_across_path_borders(spark):
             a = rng.randrange(len(p))
             t += p[a : a + rng.randint(1, 60)] + [word() for _ in range(rng.randint(0, 20))]
         texts.append(t)
-    texts += [["x"] * 80, ["y"] * 35, ["z"] * 34, []]
-    count = {}
-    for t in texts:
-        for i in range(len(t) - 34):
-            count[tuple(t[i : i + 35])] = count.get(tuple(t[i : i + 35]), 0) + 1
-    want = []
-    for t in texts:
-        gone = {i + j for i in range(len(t) - 34) if count[tuple(t[i : i + 35])] > 1 for j in range(35)}
-        want.append(" ".join(w for i, w in enumerate(t) if i not in gone))
+    return [*texts, ["x"] * 80, ["y"] * 35, ["z"] * 34, [], ["p", "q"] * 100, ["q", "p"] * 60 + pool[0], ["p", "q", "r"] * 40 + ["s"] * 3, pool[0] + ["x"] * 50 + pool[1], pool[2], pool[2]]
+
+
+@pytest.mark.parametrize("seed, anchors", [(5, 4_000_000), (6, 0)])
+def test_repeats_equal_a_count_of_all_windows(spark, monkeypatch, seed, anchors):
+    """Anchors by a filter and by a join; every text three times over in one run makes copies of all."""
+    monkeypatch.setattr(substring, "FILTER_UP_TO", anchors)
+    texts = passages(seed)
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r["id"]: r["kept"] for r in substring.remove_repeats(df).collect()}
-    assert [got[i] for i in range(len(texts))] == want
+    assert [got[i] for i in range(len(texts))] == kept_words(texts)
+
+
+def test_paths_are_whole_and_read_at_their_sources(spark):
+    """A path met nowhere as a whole is put together from two sources; a circle is one path; a branch ends paths."""
+    word = lambda c, n: [f"{c}{i}" for i in range(n)]
+    long, stem, left, right = word("l", 200), word("s", 60), word("f", 60), word("r", 60)
+    texts = [long[:120], long[20:110] + ["end"], long[60:200], ["up"] + long[80:190], ["o", "p", "q"] * 30, ["no"] + ["p", "q", "o"] * 30]
+    texts += [stem + left, stem + right, ["1"] + stem + left, ["2"] + stem + right]
+    df = spark.createDataFrame([(" ".join(t), bytes([i]) * 32) for i, t in enumerate(texts)], "text string, key binary")
+    spans = [r.asDict() for r in substring.repeated_spans(df, 35, 17, Scratch(spark)).collect()]
+    assert all(substring._holds([w.encode() for w in texts[s["key"][0]]], s, 35) for s in spans)
+    of = lambda i: sorted((s["at"], s["n"], s["off"], s["cycle"]) for s in spans if s["key"] == bytes([i]) * 32)
+    assert of(0) == [(20, 66, 0, 0)] and of(2) == [(0, 96, 40, 0)] and of(3) == [(1, 76, 60, 0)]  # from l20 to l189
+    assert [s[3] for i in (4, 5) for s in of(i)] == [3, 3] and of(4)[0][:2] == (0, 56)
+    assert [s[:3] for s in of(8)] == [(1, 26, 0), (27, 60, 0)] and {s["at"] for s in spans if s["key"] == bytes([9]) * 32} == {1, 27}
+    wrong = dict(next(s for s in spans if not s["cycle"]), expected="other words")
+    assert not substring._holds([w.encode() for w in texts[wrong["key"][0]]], wrong, 35)
 
 
 def test_pipeline_stages(spark):

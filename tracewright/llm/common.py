@@ -44,6 +44,30 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one operator's steps, like :func:`cut`; ``drop`` deletes those that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """A table that stays, since the result reads it."""
+        return cut(df, name)
+
+    def drop(self) -> None:
+        context = self.spark.sparkContext
+        for path in self.paths:  # by the file system that Spark wrote them with
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths = []
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the memory of a Python worker by rows and bytes of a batch."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
