@@ -22,6 +22,54 @@ def channel():
     return toxicity.Channel(counts)
 
 
+def all_readings(channel, token, runs):
+    """Every way through the lattice of a token with its cost, none left out; ``runs``: with word edges."""
+    from tracewright.llm.toxicity import DROP, EDGE, GLUED, LEET, LITERAL, MORE, STAND_IN, TWICE, _SEPARATORS
+
+    def go(i, a, b, before, run, gap, cost, text):
+        if i == len(token):
+            yield cost - channel._next(a, b, 0), text
+            return
+        ch = token[i]
+        if runs and ch in _SEPARATORS:
+            yield from go(i + 1, a, b, before, run, True, cost, text)
+            return
+        run = run + 1 if ch == before else 1
+        starts = [(a, b, cost, text)]
+        if runs and b:
+            starts.append((b, 0, cost + (EDGE if gap else GLUED) - channel._next(a, b, 0), text + " "))
+        for x, y, paid, said in starts:
+            for c, price in [*((c, STAND_IN) for c in LEET.get(ch, "")), (ch, 0.0) if ch.isalpha() else ("", DROP if ch in _SEPARATORS and not runs else LITERAL)]:
+                if c:
+                    yield from go(i + 1, y, ord(c), ch, run, False, paid + price - channel._next(x, y, ord(c)), said + c)
+                else:
+                    yield from go(i + 1, x, y, ch, run, False, paid + price, said)
+                if c and run > 1 and y == ord(c):
+                    yield from go(i + 1, x, y, ch, run, False, paid + (TWICE if run == 2 and ch.isalpha() else MORE), said)
+
+    return go(0, 0, 0, "", 0, True, 0.0, "")
+
+
+@pytest.mark.parametrize("token", ["1d10t", "idiiot", "i.d.i.0t", "iidd", "g00se", "llie", "1|1", "a!!s", "goo-se", "t0tal1"])
+def test_decoding_is_the_best_of_all_readings(channel, token):
+    best = min(all_readings(channel, token, False))
+    got = channel._decode(token)
+    assert got in {text for cost, text in all_readings(channel, token, False) if cost <= best[0] + 1e-9}
+
+
+@pytest.mark.parametrize("token", ["id 1ot", "a id10t", "i d i o", "the g00", "li es", "aa b"])
+def test_words_are_the_best_of_all_readings(channel, token):
+    best = min(all_readings(channel, token, True))
+    assert channel.words(token) in {text.strip() for cost, text in all_readings(channel, token, True) if cost <= best[0] + 1e-9}
+
+
+@pytest.mark.parametrize("text, hit", [("you id iot there", True), ("you 1d iot there", True), ("total idi ot", True), ("idiiot", True), ("iddiot", True), ("the goose", False), ("id", False)])
+def test_parted_and_doubled_words_count(channel, text, hit):
+    scorer = toxicity.Scorer(np.zeros(1), {"idiot": 5.0}, 1.0, 0.0)
+    scorer.channel = channel
+    assert (scorer.evidence(text) > 0) is hit
+
+
 @pytest.mark.parametrize("noisy, plain", [("1d10t", "idiot"), ("i.d.i.o.t", "idiot"), ("g00se", "goose"), ("idiiiiiot", "idiot"), ("idiot!!!", "idiot"), ("goose", "goose"), ("2024", "2024"), ("", "")])
 def test_restored_words(channel, noisy, plain):
     assert toxicity.restore(noisy, channel) == plain

@@ -146,16 +146,26 @@ class Channel:
 
 _DECOR = re.compile(r"^([^\w\s])\1+|([^\w\s])\2+$")
 _EDGE = "\"'`.,;:?)]}[{<>=/\\%&#^~*_-"
-_NOISE = re.compile(r"[^\W\d_]*(?:[\d@$!|+(€£._*~·-]|([^\W\d_])\1\1)")
+_NOISE = re.compile(r"[\d@$!|+(€£._*~·-]")
+_TWICE = re.compile(r"([^\W\d_])\1")
 _REPEATED = re.compile(r"([^\W_])\1{3,}")
 _GAPS = re.compile(r"[.\-_*~·,]{2,}")
 _SPACED = re.compile(r"(?<!\S)[\w@$!|+](?:[ .*_-][\w@$!|+]){2,}(?!\S)")
+#: A letter for each stand-in, to look for words that a blank parts; the lattice then decides.
+_FOLD = str.maketrans({c: letters[0] for c, letters in LEET.items()})
 
 
 def restore(token: str, channel: Channel) -> str:
-    """The word that a lower-case token stands for; of a run with blanks, or one still over 40 characters without its repetitions, the words."""
-    core = _DECOR.sub("", token).strip(_EDGE).rstrip("!")
-    if core.isalpha() and not (len(core) > 2 and _NOISE.search(core)):
+    """The word that a lower-case token stands for; of a run with blanks, or one still over 40 characters without its repetitions, the words.
+
+    Tokens of letters without a doubled one have one path through the lattice and are kept as they are.
+    """
+    core = token
+    if not core.isalpha():
+        if len(core) > 1 and (core[0] == core[1] or core[-1] == core[-2]):
+            core = _DECOR.sub("", core)
+        core = core.strip(_EDGE).rstrip("!")
+    if len(core) < 3 or not (_TWICE.search(core) if core.isalpha() else _NOISE.search(core) or _TWICE.search(core)):
         return core
     if not any(map(str.isalpha, core)):
         return core
@@ -173,18 +183,40 @@ def tokens(text: str) -> set[str]:
     return set(low.split()).union((r.replace(" ", "") for r in runs), (re.sub("[ .*_-]", " ", r) for r in runs))
 
 
+def parted(text: str, whole: set[str]) -> set[tuple[str, str]]:
+    """Neighbouring tokens of a text that are one of the words ``whole`` without the blank between them."""
+    low = text.lower()
+    plain = low.translate(_FOLD).split()
+    found = set(map(str.__add__, plain, plain[1:])) & whole
+    if not found:
+        return set()
+    own = low.split()
+    return {(a, b) for a, b, x, y in zip(own, own[1:], plain, plain[1:]) if x + y in found}
+
+
 def features(words: str) -> list[str]:
     return [f for word in words.split() for f in [word, *(f"^{word[:n]}" for n in _STARTS if len(word) > n)]]
 
 
 class Scorer:
     def __init__(self, counts: np.ndarray, weights: dict[str, float], slope: float, offset: float):
-        self.channel, self.weights, self.slope, self.offset, self.known = Channel(counts), weights, slope, offset, {}
+        self.channel, self.weights, self.slope, self.offset = Channel(counts), weights, slope, offset
+        self.whole = {f for f in weights if f[0] != "^" and len(f) > 3}
+        self.known: set[str] = set()
+        self.telling: dict[str, list[tuple[str, float]]] = {}
+
+    def _weight(self, word: str) -> float:
+        got, get = self.weights.get(word, 0.0), self.weights.get
+        for n in _STARTS:
+            if len(word) <= n:
+                break
+            got = max(got, get("^" + word[:n], 0.0))
+        return got
 
     def _weights(self, token: str) -> list[tuple[str, float]]:
         """The restored words of a token that are evidence; in a run of words also those that its likeliest edges cut."""
         text = restore(token, self.channel)
-        found = {word: w for word in text.split() if (w := max(self.weights.get(f, 0.0) for f in features(word)))}
+        found = {word: w for word in text.split() if (w := self._weight(word))}
         if " " in token or len(token) > 40:
             letters, at = text.replace(" ", ""), 0
             while at < len(letters) - 3:
@@ -195,14 +227,20 @@ class Scorer:
         return list(found.items())
 
     def evidence(self, text: str) -> float:
-        found, known = {}, self.known
-        if len(known) > 300_000:
-            known.clear()
-        for t in tokens(text):
-            w = known.get(t)
-            if w is None:
-                w = known[t] = self._weights(t)
-            found.update(w)
+        if len(self.known) > 300_000:
+            self.known.clear()
+            self.telling.clear()
+        own = tokens(text)
+        new = own - self.known
+        for t in new:
+            if w := self._weights(t):
+                self.telling[t] = w
+        self.known |= new
+        found = {x: w for t in own & self.telling.keys() for x, w in self.telling[t]}
+        for a, b in parted(text, self.whole):
+            for word in self.channel.words(f"{a} {b}").split():
+                if w := self._weight(word):
+                    found[word] = w
         return sum(found.values())
 
     def score(self, text: str | None) -> float:
