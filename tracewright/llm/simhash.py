@@ -179,8 +179,8 @@ def _may_be_alike(radius: int, least: float):
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, least: float = 0.8, part_rows: int = PART_ROWS) -> DataFrame:
     """``(id, component)`` of every row with an id: the smallest id reachable over links.
 
-    Links: sets of shingles that are alike to ``least`` or more, verified exactly (but for 32-bit hashes) before
-    anything depends on them. The ring's segments of a wide fingerprint can't be join keys at such radii (each would
+    Links: sets of shingles that are alike to ``least`` or more, verified exactly, by the 64-bit hashes of
+    the shingles, before anything depends on them. The ring's segments of a wide fingerprint can't be join keys at such radii (each would
     have few bits), so candidates share one of eight min-wise values of the same shingles; a pair at a similarity of
     0.8 shares none with a probability of 0.2 ** 8. Fingerprints only prune, at six standard deviations.
 
@@ -199,7 +199,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             sets = [shingles(t, words_each) for t in b.column(1).to_pylist()]
             got = [wide(h) for h in sets]
             u = [xxhash.xxh3_64_intdigest(h.tobytes()) - 2**63 for h in sets]
-            own = [np.unique(h >> np.uint64(32)).astype("<u4").tobytes() for h in sets]
+            own = [h.tobytes() for h in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(u, pa.int64()), pa.array([len(h) for h in sets], pa.int32()), *(pa.array([g[k] for g in got], pa.list_(pa.int64())) for k in (0, 1)), pa.array(own, pa.binary())], ["id", "u", "size", "f", "m", "s"])
 
     rows = cut(rows.mapInArrow(each, "id long, u long, size int, f array<long>, m array<long>, s binary"), "wide")
@@ -211,7 +211,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = cut(keys.join(n, "key"), "wide-met")
     weight = cut(met.groupBy("u").agg(F.sum("n").alias("weight")), "wide-weights")
     left = cut(met.join(nodes.drop("node").join(weight, "u"), "u").select("u", "size", "f", "m", "weight", "at", "key", "n"), "wide-left")
-    whole, found = left.columns, None
+    whole, linked = left.columns, None
     lead, others = left, left
     for turn in (1, 2):
         leader = lead.groupBy("key").agg(F.max_by(F.struct("u", "size", "f"), F.struct("weight", "u")).alias("x"))
@@ -219,8 +219,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         near = others.withColumnsRenamed({"size": "na", "f": "fa"}).join(leader, "key").where("u <> b").where(_may_be_alike(radius, least))
         near = cut(near.select(F.least("u", "b").alias("a"), F.greatest("u", "b").alias("b")).distinct(), "wide-edges")
         new = cut(_verified(near, rows, nodes, least), "wide-links")
-        found = new if found is None else found.union(new)
-        linked = cut(components(found, "similar"), "similar")
+        linked = cut(components(_with(linked, new), "similar"), "similar")
         left = left.select(*whole).join(linked.withColumnRenamed("node", "u"), "u", "left").withColumn("comp", F.coalesce("root", "u")).drop("root")
         # of buckets of two, the only pair has met
         sizes = left.where("n > 2").groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.max("c").alias("c"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
@@ -230,14 +229,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if lead.isEmpty():
             break
     if not left.isEmpty():
-        found = found.union(cut(_pairs_of_parts(left, rows, nodes, radius, least, part_rows), "wide-links"))
-        linked = cut(components(found, "similar"), "similar")
+        new = cut(_pairs_of_parts(left, rows, nodes, radius, least, part_rows), "wide-links")
+        linked = cut(components(_with(linked, new), "similar"), "similar")
     rooted = nodes.join(linked.withColumnRenamed("node", "u"), "u", "left").select("u", "node", F.coalesce("root", "u").alias("root"))
     classes = cut(rooted.groupBy("root").agg(F.min("node").alias("component")), "similar-classes")
     label = cut(rooted.join(classes, "root").select("u", "component"), "similar-labels")
     return rows.select("id", "u").join(label, "u").select("id", "component")
 
 
+def _with(linked: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect what ``new`` edges and the classes ``linked`` (node, root) connect."""
+    return new if linked is None else linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new)
+
+
 def _sets(wanted: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(u, s)`` of the nodes ``wanted`` (u, no repeats): the set of the row that stands for each."""
     ends = wanted.join(nodes.select("u", F.col("node").alias("id")), "u")
@@ -254,7 +258,7 @@ def _verified(edges: DataFrame, rows: DataFrame, nodes: DataFrame, least: float)
 
     def alike(batches):
         for b in batches:
-            ok = [_alike(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), least) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            ok = [_alike(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), least) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     own = cut(_sets(edges.select(F.explode(F.array("a", "b")).alias("u")).distinct(), rows, nodes), "wide-sets")
@@ -286,7 +290,7 @@ def _pairs_of_parts(left: DataFrame, rows: DataFrame, nodes: DataFrame, radius:
         u, comp, at, mine = (t.column(c).to_numpy() for c in ("u", "comp", "at", "mine"))
         low, high = (t.column(c)[0].as_py() for c in ("low", "high"))
         f, m = (np.array(t.column(c).to_pylist(), np.int64) for c in ("f", "m"))
-        sets = [np.frombuffer(x, "<u4") for x in t.column("s").to_pylist()]
+        sets = [np.frombuffer(x, "<u8") for x in t.column("s").to_pylist()]
         size, out = np.array(list(map(len, sets))), []
         for g in groups.values():
             g = np.array(g)
