@@ -5,8 +5,8 @@ start at two source coordinates or more are the graph. A node with one edge in a
 branch; edges that meet at such nodes are one path. Compaction has two steps: edges that follow one
 another at their first source coordinates are a segment, and segments are chained by joins that double the
 distance looked back in every round. The words of a path are read at its segments' source coordinates. Each stretch of
-repeated edges in a text is a walk on the graph; it is placed on its path by joins of its two ends, and its
-own words are compared with the words of the path before any of them goes.
+repeated edges in a text is a walk on the graph; it is cut where paths end, placed on its path by a join of its
+first edge, and its own words are compared with the words of the path before any of them goes.
 
 Most windows are unique, and those needn't be edges. Equal windows have equal anchors, the k-mer in them with
 the least hash; only windows whose anchor two texts share, or one text has twice, come to the graph.
@@ -30,6 +30,8 @@ WINDOW, ANCHOR = 35, 17
 #: Repeated anchors up to this many go to the tasks as a bitmap of 16 MB; beyond that they are joined by a shuffle.
 FILTER_UP_TO = 4_000_000
 FILTER_BITS = 1 << 27
+#: Nodes where paths end (8 bytes each) up to this many are broadcast; beyond that walks are placed edge by edge, by a shuffle.
+STOPS_UP_TO = 2_000_000
 #: A source coordinate is the number of a stretch of candidate windows, and in the low bits the window in it.
 PLACE_BITS, COUNT_BITS = 18, 24
 _PLACE = (1 << PLACE_BITS) - 1
@@ -238,22 +240,24 @@ def _edge_batch(out) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([_longs(u), _longs(v), pa.array(pos)], ["u", "v", "pos"])
 
 
-def segments(repeated: DataFrame, scratch: Scratch) -> DataFrame:
-    """``repeated`` edges (u, v, lo) with ``seg``, the first coordinate of their segment, and ``head``: whether its first node branches or begins.
-
-    A node is inside a path if it has one edge in and one out. A segment's edges follow one another at
-    their first coordinates and meet at such nodes. No row is compared with more than its neighbour.
-    """
+def ends_of_paths(repeated: DataFrame) -> DataFrame:
+    """``(u)``: nodes of the ``repeated`` edges (u, v) that haven't one edge in and one out."""
     out_one, in_one = F.lit(1).cast("long"), F.lit(1 << 32).cast("long")
     ends = repeated.select(F.explode(F.array(F.struct(F.col("u").alias("node"), out_one.alias("x")), F.struct(F.col("v").alias("node"), in_one.alias("x")))).alias("e"))
-    stops = ends.groupBy("e.node").agg(F.sum("e.x").alias("x")).where(F.col("x") != (1 << 32) + 1)
-    stops = scratch.cut(stops.select(F.col("node").alias("u")), "stops")
+    return ends.groupBy(F.col("e.node").alias("u")).agg(F.sum("e.x").alias("x")).where(F.col("x") != (1 << 32) + 1).select("u")
+
+
+def segments(repeated: DataFrame, stops: DataFrame) -> DataFrame:
+    """``repeated`` edges (u, v, lo) with ``seg``, the first coordinate of their segment, and ``head``: whether their first node is a stop.
+
+    A segment's edges follow one another at their first coordinates and meet at nodes inside a path.
+    """
     rows = repeated.join(stops.withColumn("head", F.lit(True)), "u", "left").withColumn("head", F.coalesce("head", F.lit(False)))
     order = Window.partitionBy(F.shiftright("lo", PLACE_BITS)).orderBy("lo")
     before = F.lag("lo").over(order)
     rows = rows.withColumn("begins", F.col("head") | before.isNull() | (before != F.col("lo") - 1))
     seg = F.max(F.when(F.col("begins"), F.col("lo"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return scratch.cut(rows.withColumn("seg", seg).select("u", "v", "lo", "seg", "head"), "edge-segments")
+    return rows.withColumn("seg", seg).select("u", "v", "lo", "seg", "head")
 
 
 def _chained(first: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
@@ -293,15 +297,17 @@ def chains(segs: DataFrame, scratch: Scratch) -> DataFrame:
     return open_.union(rows.select("seg", F.col("to").alias("path"), "off").join(total, "path").select("seg", "path", "off", "cycle"))
 
 
-def _read(runs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
-    """At the source coordinates: the words of each segment (seg, words), and each stretch of repeated edges with its ends.
+def _read(runs: DataFrame, marks: DataFrame, window: int, stops=None) -> DataFrame:
+    """At the source coordinates: the words of each segment (seg, words), and each walk over repeated edges (run, key, at, first, n, u, v).
 
-    ``marks``: (run, segs, single), the segments (first, edges) that begin in a stretch and its windows that aren't repeated.
+    ``marks``: (run, segs, single), the segments (first, edges) that begin in a stretch and its windows that aren't repeated. A
+    walk ends at the nodes ``stops`` (a broadcast of a sorted array), so it is on one path; (u, v) is its first edge.
     """
-    form = "seg long, words string, run long, key binary, at int, first int, n int, u0 long, v0 long, u1 long, v1 long"
-    schema = pa.schema([("seg", pa.int64()), ("words", pa.string()), ("run", pa.int64()), ("key", pa.binary()), ("at", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), *((c, pa.int64()) for c in ("u0", "v0", "u1", "v1"))])
+    form = "seg long, words string, run long, key binary, at int, first int, n int, u long, v long"
+    schema = pa.schema([("seg", pa.int64()), ("words", pa.string()), ("run", pa.int64()), ("key", pa.binary()), ("at", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("u", pa.int64()), ("v", pa.int64())])
 
     def each(batches):
+        ends = stops.value if stops else np.array([], np.int64)
         for b in batches:
             out = []
             for r in b.to_pylist():
@@ -311,9 +317,11 @@ def _read(runs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
                     out.append({"seg": r["run"] << PLACE_BITS | s["first"], "words": b" ".join(w[s["first"] : s["first"] + s["n"] + window - 1]).decode()})
                 flags = np.ones(len(nodes) - 1, bool)
                 flags[r["single"] or []] = False
-                for a, n in _islands(flags):
-                    ends = {"u0": nodes[a], "v0": nodes[a + 1], "u1": nodes[a + n - 1], "v1": nodes[a + n]}
-                    out.append({"run": r["run"], "key": r["key"], "at": r["at"] + a, "first": a, "n": n} | {c: int(x) for c, x in ends.items()})
+                cuts = np.flatnonzero(np.isin(nodes[:-1], ends)) if len(ends) else []
+                for first, size in _islands(flags):
+                    inner = [int(c) for c in cuts if first < c < first + size]
+                    for a, z in zip([first, *inner], [*inner, first + size]):
+                        out.append({"run": r["run"], "key": r["key"], "at": r["at"] + a, "first": a, "n": z - a, "u": int(nodes[a]), "v": int(nodes[a + 1])})
                 if len(out) > 4096:
                     yield pa.RecordBatch.from_pylist(out, schema)
                     out = []
@@ -323,8 +331,8 @@ def _read(runs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
     return runs.join(marks, "run", "left").select("run", "key", "at", "words", "segs", "single").mapInArrow(each, form)
 
 
-def _walks(runs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """``(key, at, stretch, u, v)``: every edge of the stretches ``wanted`` (run, key, at, first, n)."""
+def _steps(runs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """``(key, at, walk, u, v)``: every edge of the walks ``wanted`` (run, at, first, n)."""
     lists = wanted.groupBy("run").agg(F.collect_list(F.struct("at", "first", "n")).alias("lists"))
 
     def each(batches):
@@ -336,9 +344,9 @@ def _walks(runs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                         n = min(100_000, s["n"] - a)
                         own = nodes[s["first"] + a : s["first"] + a + n + 1]
                         at = np.arange(s["at"] + a, s["at"] + a + n, dtype=np.int32)
-                        yield pa.RecordBatch.from_arrays([pa.array([r["key"]] * n, pa.binary()), pa.array(at), pa.array(np.full(n, s["at"], np.int32)), _longs(own[:-1]), _longs(own[1:])], ["key", "at", "stretch", "u", "v"])
+                        yield pa.RecordBatch.from_arrays([pa.array([r["key"]] * n, pa.binary()), pa.array(at), pa.array(np.full(n, s["at"], np.int32)), _longs(own[:-1]), _longs(own[1:])], ["key", "at", "walk", "u", "v"])
 
-    return runs.join(lists, "run").select("run", "key", "words", "lists").mapInArrow(each, "key binary, at int, stretch int, u long, v long")
+    return runs.join(lists, "run").select("run", "key", "words", "lists").mapInArrow(each, "key binary, at int, walk int, u long, v long")
 
 
 def repeated_spans(texts: DataFrame, window: int, k: int, scratch: Scratch) -> DataFrame:
@@ -346,11 +354,14 @@ def repeated_spans(texts: DataFrame, window: int, k: int, scratch: Scratch) -> D
 
     Of a path that closes on itself ``expected`` is one round of ``cycle`` words, to be read from ``off`` on.
     """
+    spark = texts.sparkSession
     runs = stretches(texts, window, k, scratch)
     edges = scratch.cut(graph_edges(runs, window), "edges")
-    placed = segments(edges.where("again").select("u", "v", "lo"), scratch)
-    last = F.struct("lo", "v")
-    segs = placed.groupBy("seg").agg((F.max("lo") - F.col("seg") + 1).alias("n"), F.max(F.when(F.col("lo") == F.col("seg"), F.col("u"))).alias("u"), F.max(last)["v"].alias("v"), F.max(F.when(F.col("lo") == F.col("seg"), F.col("head"))).alias("head"))
+    repeated = edges.where("again").select("u", "v", "lo")
+    stops = scratch.cut(ends_of_paths(repeated), "stops")
+    few = stops.count() <= STOPS_UP_TO
+    placed = scratch.cut(segments(repeated, F.broadcast(stops) if few else stops), "placed")
+    segs = placed.groupBy("seg").agg((F.max("lo") - F.col("seg") + 1).alias("n"), F.max(F.when(F.col("lo") == F.col("seg"), F.col("u"))).alias("u"), F.max_by("v", "lo").alias("v"), F.max(F.when(F.col("lo") == F.col("seg"), F.col("head"))).alias("head"))
     segs = scratch.cut(segs, "segments")
     chained = scratch.cut(chains(segs, scratch), "paths")
 
@@ -358,27 +369,22 @@ def repeated_spans(texts: DataFrame, window: int, k: int, scratch: Scratch) -> D
     own = segs.groupBy(F.shiftright("seg", PLACE_BITS).alias("run")).agg(F.collect_list(F.struct(place("seg").alias("first"), F.col("n").cast("int").alias("n"))).alias("segs"))
     single = edges.where("not again").groupBy(F.shiftright("lo", PLACE_BITS).alias("run")).agg(F.collect_list(place("lo")).alias("single"))
     marks = scratch.cut(own.join(single, "run", "full"), "marks")
-    read = scratch.cut(_read(runs, marks, window), "read")
+    shared = spark.sparkContext.broadcast(np.sort(stops.toArrow().column("u").to_numpy())) if few else None
+    read = scratch.cut(_read(runs, marks, window, shared), "read")
 
     pieces = read.where("seg is not null").select("seg", F.split("words", " ").alias("w")).join(chained, "seg")
     pieces = pieces.groupBy("path").agg(F.max("cycle").alias("cycle"), F.sort_array(F.collect_list(F.struct("off", "w"))).alias("p"))
     whole = F.flatten(F.transform("p", lambda x, i: F.when(i == 0, x["w"]).otherwise(F.slice(x["w"], window, F.size(x["w"])))))
     paths = scratch.cut(pieces.select("path", "cycle", whole.alias("w")), "path-words")
 
-    met = read.where("seg is null").groupBy("key", "at").agg(F.min("run").alias("run"), F.min_by(F.struct("first", "n", "u0", "v0", "u1", "v1"), "run").alias("x")).select("key", "at", "run", "x.*")
-    met = scratch.cut(met, "walks")
+    walks = scratch.cut(read.where("seg is null").select("run", "key", "at", "first", "n", "u", "v").dropDuplicates(["key", "at"]), "walks")
     lookup = lambda df: df.join(placed.select("u", "v", "lo", "seg"), ["u", "v"]).join(chained, "seg").withColumn("off", F.col("off") + F.col("lo") - F.col("seg"))
-    ends = F.explode(F.array(*(F.struct(F.lit(i).alias("end"), F.col(f"u{i}").alias("u"), F.col(f"v{i}").alias("v")) for i in (0, 1))))
-    ends = lookup(met.select("key", "at", "run", "first", "n", ends.alias("e")).select("key", "at", "run", "first", "n", "e.*"))
-    of = lambda i, c: F.max(F.when(F.col("end") == i, F.col(c)))
-    walks = ends.groupBy("key", "at").agg(F.max("run").alias("run"), F.max("first").alias("first"), F.max("n").alias("n"), of(0, "path").alias("path"), of(1, "path").alias("path1"), of(0, "off").alias("off"), of(1, "off").alias("off1"))
-    walks = scratch.cut(walks.withColumn("inside", (F.col("path") == F.col("path1")) & (F.col("off1") - F.col("off") == F.col("n") - 1)), "walks")
-    spans = walks.where("inside").select("key", "at", "n", "path", "off")
-    across = walks.where("not inside")
-    if not across.isEmpty():  # walks over branches and round cycles: edge by edge
-        steps = lookup(_walks(runs, across, window)).withColumn("turn", F.when(F.col("cycle") > 0, F.pmod(F.col("off") - F.col("at"), F.col("cycle"))).otherwise(F.col("off") - F.col("at")))
-        steps = steps.groupBy("key", "stretch", "path", "turn").agg(F.min("at").alias("at"), F.count("*").cast("int").alias("n"), F.min_by("off", "at").alias("off"))
-        spans = spans.union(steps.select("key", "at", "n", "path", "off"))
+    if few:
+        spans = lookup(walks).select("key", "at", "n", "path", "off")
+    else:
+        turn = F.when(F.col("cycle") > 0, F.pmod(F.col("off") - F.col("at"), F.col("cycle"))).otherwise(F.col("off") - F.col("at"))
+        steps = lookup(_steps(runs, walks, window)).groupBy("key", "walk", "path", turn.alias("turn"))
+        spans = steps.agg(F.min("at").alias("at"), F.count("*").cast("int").alias("n"), F.min_by("off", "at").alias("off")).select("key", "at", "n", "path", "off")
     spans = scratch.cut(spans, "spans")
     words = F.when(F.col("cycle") == 0, F.slice("w", F.col("off").cast("int") + 1, F.col("n") + window - 1)).otherwise(F.slice("w", 1, F.col("cycle").cast("int")))
     return spans.join(paths, "path").select("key", "at", "n", "off", "cycle", F.array_join(words, " ").alias("expected"))
