@@ -79,6 +79,14 @@ def test_vectors(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_with_repeated_ids_and_ties(spark):
+    """Rows of one id are rows of their own; equally near vectors and copies all count; either end of a tie may come first."""
+    rows = [(3, [1.0, 0.0], 0), (3, [1.0, 0.0], 0), (3, [0.0, 1.0], 0), (9, [0.0, 1.0], 0), (7, [1.0, 0.1], 0), (8, [1.0, -0.1], 0), (None, [1.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "0 AS cell", "'x' AS v", "1 AS least")
+    got = sorted(map(tuple, embeddings.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(3, 3, 3), (3, 3, 3), (3, 1, 3), (9, 1, 3), (7, 3, 3), (8, 3, 3), (None, 0, None)], key=str)
+
+
 def test_vectors_in_crowded_cells(spark):
     """Cells are split at three rows; the result is that of whole cells and of brute force."""
     import numpy as np

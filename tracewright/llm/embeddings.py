@@ -3,8 +3,9 @@
 For unit vectors cosine >= t means a squared distance of at most D = 2 - 2t. A rotation spreads the
 energy evenly; split into blocks of equal width, at least one block of such a pair is within D / blocks. So
 each block is range-joined on its own: a grid over its leading dimensions, cells twice as wide as the
-block's radius, and a vector is sent to its own cell and to the later cells that its ball touches.
-Pairs within the block's budget are verified exactly, in the first block that finds them.
+block's radius, and a vector's block is sent to its own cell and to the later cells that its ball touches.
+Only vectors that have another within the block's budget there are sent whole, to the same cells, and
+pairs are verified exactly, in the first block that finds them.
 """
 
 from __future__ import annotations
@@ -118,14 +119,27 @@ def dealt(sent: DataFrame, sizes: DataFrame, cell_rows: int) -> DataFrame:
     return sent.withColumn("bin", F.when(F.col("parts") == 1, bins).otherwise(F.col("cell"))).drop("parts")
 
 
+def _parts(t: pa.Table, key: list[str]):
+    """(rows of one part, rows of the other, row) of each cell in a group of :func:`dealt`; ``row`` is one of its rows."""
+    groups: dict = {}
+    for i, k in enumerate(zip(*(t.column(c).to_pylist() for c in (*key, "low", "high")))):
+        groups.setdefault(k, []).append(i)
+    mine = t.column("mine").to_numpy()
+    for k, at in groups.items():
+        at = np.array(at)
+        low, high = at[mine[at] == k[-2]], at[mine[at] == k[-1]]
+        if len(at) > 1 and len(low) and len(high):
+            yield low, high, at[0]
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", width: int = 8, dims: int = 3, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """``(id, n_links, component)`` of every row; ids are expected to be unique.
+    """``(id, n_links, component)`` of every row; component is the smallest id reachable.
 
-    Only equal labels compare, and equal lengths; rows with a null label, a null or zero vector, or a
+    Only equal labels compare, and equal lengths; rows with a null id or label, a null or zero vector, or a
     component that is null or not finite have no link and are their own component. Equal vectors are
-    one node that counts as many as it stands for. ``width``, ``dims`` and ``cell_rows`` change the
-    cost, never the result: a cell of more than ``cell_rows`` rows is split by a hash of the id, and
-    every two of its parts meet in a group of their own.
+    one node that counts as many as it stands for; repeated ids are vectors of their own. ``width``, ``dims``
+    and ``cell_rows`` change the cost, never the result: a cell of more than ``cell_rows`` rows is split by a
+    hash, and every two of its parts meet in a group of their own.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -133,43 +147,57 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     fine = F.size(v) > 0
     fine &= ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0) & F.col(label_col).isNotNull()
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), v.alias("v"), F.coalesce(fine, F.lit(False)).alias("fine"))
-    nodes = rows.where("fine and id is not null").groupBy("label", "v").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
-    nodes = cut(nodes, "vectors")
+    nodes = rows.where("fine and id is not null").groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
 
     def spread(batches):
         for b in batches:
             size = np.array(b.column("v").value_lengths())
             for dim in np.unique(size):
                 part = b.take(pa.array(np.flatnonzero(size == dim)))
-                raw = [np.array(x, "<f8").tobytes() for x in part.column("v").to_pylist()]
-                r = _unit(raw) @ rotation(int(dim))
+                r = _unit([np.array(x, "<f8").tobytes() for x in part.column("v").to_pylist()]) @ rotation(int(dim))
                 seeds = np.array([hash_label(f"{x}/{dim}") for x in part.column("label").to_pylist()], np.uint64)
+                node = part.column("node").to_numpy()
                 for k, (s, most) in enumerate(zip(spans(int(dim), width), budgets(int(dim), width, least))):
+                    own = np.ascontiguousarray(r[:, s], "<f4")
                     for hit, cell, home in _probes(r[:, s], min(dims, s.stop - s.start), math.sqrt(most)):
-                        sub = part.take(pa.array(hit))
                         keys = _hash(np.column_stack([seeds[hit].view(np.int64), np.full(len(hit), k), cell]), 17)
-                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(hit), k, np.int32)), pa.array(np.full(len(hit), home)), sub.column("label"), sub.column("node"), sub.column("copies"), pa.array([raw[i] for i in hit], pa.binary())], ["cell", "block", "home", "label", "node", "copies", "raw"])
-
-    sent = nodes.mapInArrow(spread, "cell long, block int, home boolean, label string, node long, copies long, raw binary")
-    sizes = nodes.mapInArrow(lambda bs: (b.select(["cell", "home"]) for b in spread(bs)), "cell long, home boolean").groupBy("cell").agg(F.count("*").alias("rows"), F.max("home").alias("any_home"))
-    sizes = cut(sizes.where("rows > 1 and any_home"), "cells")
-    sent = dealt(sent, sizes, cell_rows)
+                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(hit), k, np.int32)), pa.array(np.full(len(hit), home)), pa.array(node[hit]), pa.array(np.full(len(hit), dim, np.int32)), pa.array([own[i].tobytes() for i in hit], pa.binary())], ["cell", "block", "home", "node", "dim", "part"])
+
+    def mark(t: pa.Table) -> pa.Table:
+        """Rows with another one within the block's budget, single precision aside; one home row at least in each two."""
+        home, part, hit = t.column("home").to_numpy(zero_copy_only=False), t.column("part").to_pylist(), np.zeros(len(t), bool)
+        for a, b, one in _parts(t, ["cell", "block", "dim"]):
+            most = budgets(t.column("dim")[int(one)].as_py(), width, least)[t.column("block")[int(one)].as_py()] + 1e-5
+            xa, xb = (np.frombuffer(b"".join([part[i] for i in x]), "<f4").reshape(len(x), -1) for x in (a, b))
+            for k in range(0, len(a), 256):
+                rows = slice(k, k + 256)
+                near = (xa[rows] ** 2).sum(1)[:, None] + (xb**2).sum(1)[None, :] - 2 * xa[rows] @ xb.T <= most
+                near &= (home[a[rows], None] | home[None, b]) & (a[rows, None] != b[None, :])
+                hit[a[rows]] |= near.any(1)
+                hit[b] |= near.any(0)
+        return t.select(["cell", "block", "home", "node"]).filter(pa.array(hit))
+
+    met = lambda df: cut(df.groupBy("cell").agg(F.count("*").alias("rows"), F.max("home").alias("any_home")).where("rows > 1 and any_home"), "cell-sizes")
+    sent = cut(nodes.select("label", "v", "node").mapInArrow(spread, "cell long, block int, home boolean, node long, dim int, part binary"), "cells")
+    near = dealt(sent, met(sent), cell_rows).groupBy("bin", "low", "high").applyInArrow(mark, "cell long, block int, home boolean, node long")
+    near = cut(near.distinct(), "near-cells")
+    whole = dealt(near.join(nodes.select("node", "label", "v", "copies", F.size("v").alias("dim")), "node"), met(near), cell_rows)
 
     def join(t: pa.Table) -> pa.Table:
-        groups: dict = {}
-        for i, key in enumerate(zip(*(t.column(c).to_pylist() for c in ("cell", "label", "block", "low", "high")), map(len, t.column("raw").to_pylist()))):
-            groups.setdefault(key, []).append(i)
-        node, copies, mine, home, raw = (t.column(c).to_numpy(zero_copy_only=False) for c in ("node", "copies", "mine", "home", "raw"))
-        out: list = []
-        for (_, _, block, low, high, size), at in groups.items():
-            at = np.array(at)
-            if len(at) < 2:
-                continue
-            x, rot = _unit([raw[i] for i in at]), rotation_of(size // 8)
-            a, b = (np.flatnonzero(mine[at] == m) for m in (low, high))
-            i, j = _meet((node[at[a]], x[a], home[at[a]].astype(bool)), (node[at[b]], x[b], home[at[b]].astype(bool)), low == high, block, width, least, rot)
+        node, copies, home = (t.column(c).to_numpy(zero_copy_only=False) for c in ("node", "copies", "home"))
+        lists = t.column("v").combine_chunks()
+        start, values, out = lists.offsets.to_numpy(), lists.values.to_numpy(), []
+        for a, b, one in _parts(t, ["cell", "label", "block", "dim"]):
+            same = t.column("low")[int(one)].as_py() == t.column("high")[int(one)].as_py()
+            at = a if same else np.concatenate([a, b])
+            dim = t.column("dim")[int(one)].as_py()
+            x = np.stack([values[start[i] : start[i] + dim] for i in at])
+            x /= np.sqrt((x * x).sum(1, keepdims=True))
+            p, q = (np.arange(len(a)), np.arange(len(at) - len(b), len(at)))
+            i, j = _meet((node[at[p]], x[p], home[at[p]]), (node[at[q]], x[q], home[at[q]]), same, t.column("block")[int(one)].as_py(), width, least, rotation_of(dim))
             if len(i):
-                i, j = a[i], b[j]
+                i, j = p[i], q[j]
                 n = np.bincount(i, copies[at[j]], len(at)) + np.bincount(j, copies[at[i]], len(at))
                 order = np.argsort(node[at])
                 place = np.argsort(order)
@@ -186,10 +214,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
             rotations[dim] = rotation(dim)
         return rotations[dim]
 
-    found = cut(sent.groupBy("bin", "low", "high").applyInArrow(join, "node long, n long, root long"), "links")
+    found = cut(whole.groupBy("bin", "low", "high").applyInArrow(join, "node long, n long, root long"), "links")
     linked = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "vectors")
-    stats = nodes.join(found.groupBy("node").agg(F.sum("n").alias("n")), "node", "left").join(linked, "node", "left")
-    stats = stats.select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("component"))
+    stats = nodes.join(found.groupBy("node").agg(F.sum("n").alias("n")), "node", "left").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stats = cut(stats.select("label", "v", "root", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "vector-classes")
+    first = cut(stats.groupBy("root").agg(F.min("least").alias("component")), "first-of-classes")
+    stats = stats.join(first, "root").select("label", "v", "n_links", "component")
     good = rows.where("fine and id is not null").join(stats, ["label", "v"]).select("id", "n_links", "component")
     return good.union(rows.where("not fine or id is null").select("id", F.lit(0).cast("long"), "id"))
 
