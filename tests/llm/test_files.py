@@ -67,6 +67,74 @@ def test_warc_records_are_standard(spark, tmp_path):
     assert not [f for f in os.listdir(f"{tmp_path}/warc") if f.startswith("_")]
 
 
+def plain_records(data: bytes):
+    """Records by the letter of the format, with the standard library alone."""
+    import email.parser
+    import email.policy
+
+    while data:
+        head, _, rest = data.partition(b"\r\n\r\n")
+        version, _, lines = head.partition(b"\r\n")
+        assert version == b"WARC/1.0"
+        fields = email.parser.BytesParser(policy=email.policy.HTTP).parsebytes(lines)
+        n = int(fields["Content-Length"])
+        assert rest[n : n + 4] == b"\r\n\r\n"
+        yield fields, rest[:n]
+        data = rest[n + 4 :]
+
+
+def test_another_reader_reads_the_archives(spark, tmp_path):
+    import glob
+    import gzip
+    import hashlib
+    import http.client
+    import io
+    import re
+
+    big = "<p>" + "é" * 4000
+    rows = [(3, "http://a/x y\n\u2028z", big), (1, "http://b/", big), (None, "http://n/", big), (2, None, None), (4, "http://c/", "small"), (4, "http://c/", "small"), (6, "http://d/", big[:200]), (6, "http://e/", big[:200]), (8, "http://f/", big[:200])]
+    folder = f"{tmp_path}/warc"
+    manifest = warc.write(warc.plan(spark.createDataFrame(rows, "page_id long, url string, html string")), f"file://{folder}", segment_bytes=1000, chunk_bytes=300)
+    files = sorted(glob.glob(f"{folder}/*"))
+    assert files == sorted(r["path"] for r in manifest.collect())
+    records = [r for f in files for r in plain_records(gzip.decompress(open(f, "rb").read()))]
+    ids = [h["WARC-Record-ID"] for h, _ in records]
+    assert len(set(ids)) == len(ids) and all(re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", i) for i in ids)
+    for h, _ in records:
+        assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "WARC-Target-URI"} <= set(h.keys())
+        assert (h["Content-Type"] is None) == (h["WARC-Type"] == "continuation")
+    whole = {i: [h, b] for i, (h, b) in zip(ids, records) if h["WARC-Type"] != "continuation"}
+    more = [(h["WARC-Segment-Origin-ID"], int(h["WARC-Segment-Number"]), h, b) for h, b in records if h["WARC-Type"] == "continuation"]
+    for origin, n, h, b in sorted(more, key=lambda x: x[:2]):
+        whole[origin][1] += b
+        if h["WARC-Segment-Total-Length"]:
+            assert int(h["WARC-Segment-Total-Length"]) == len(whole[origin][1])
+
+    class Socket(io.BytesIO):
+        def makefile(self, *_):
+            return self
+
+    got = []
+    for h, block in whole.values():
+        page = int(h["X-Page-ID"]) if h["X-Page-ID"] else None
+        if h["WARC-Type"] == "revisit":
+            of = h["WARC-Refers-To"] and whole[h["WARC-Refers-To"]][0]
+            assert of is None or of["WARC-Payload-Digest"] == h["WARC-Payload-Digest"] and of["WARC-Type"] == "response"
+            got.append((page, "revisit", None, of and int(of["X-Page-ID"])))
+            continue
+        answer = http.client.HTTPResponse(Socket(block))
+        answer.begin()
+        body = answer.read()
+        assert "sha256:" + hashlib.sha256(body).hexdigest() == h["WARC-Payload-Digest"]
+        got.append((page, "response", body.decode(), None))
+    # rows 6 can't be told apart, so that row 8 has no single record to name
+    want = [(3, "revisit", None, 1), (1, "response", big, None), (None, "response", big, None), (2, "response", "", None), (4, "response", "small", None), (4, "response", "small", None), (6, "response", big[:200], None), (6, "response", big[:200], None), (8, "revisit", None, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    back = {r["page_id"]: r["refers_to"] for r in warc.read_pages(manifest, f"file://{folder}").collect()}
+    assert back == {3: 1, 1: None, None: None, 2: None, 4: None, 6: None, 8: 6}
+    assert [h["WARC-Target-URI"] for h, _ in records if h["X-Page-ID"] == "3"] == ["http://a/x%20y%0A%E2%80%A8z"]
+
+
 def test_missing_segments_are_found(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "x" * 5000)], "page_id long, url string, html string")
     folder = f"file://{tmp_path}/warc"

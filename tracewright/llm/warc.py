@@ -3,7 +3,8 @@
 Writing: one record for each page, HTTP head and payload in chunked transfer framing. A block longer
 than ``segment_bytes`` becomes a first record and ``continuation`` records that name it as
 ``WARC-Segment-Origin-ID`` and count ``WARC-Segment-Number`` from 1; the last one states
-``WARC-Segment-Total-Length``. A payload met before is a ``revisit`` record without payload.
+``WARC-Segment-Total-Length``. A payload met before is a ``revisit`` record without payload that
+names the response in ``WARC-Refers-To``.
 
 Reading: every record of every archive becomes a row; rows are grouped by origin identifier,
 ordered by segment number, joined and checked against the total length; then the chunked framing is
@@ -16,6 +17,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import re
 import uuid
 import zlib
 
@@ -35,16 +37,18 @@ _DATE = "2024-01-01T00:00:00Z"
 
 
 def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST_BYTES) -> DataFrame:
-    """``(id, url, payload, digest, refers_to)``: of equal payloads of ``least`` bytes or more the smallest id is the response.
+    """``(id, url, payload, digest, refers_to, named)``: of equal payloads of ``least`` bytes or more the smallest id is the response.
 
-    Null payloads are empty, null urls are empty. Null ids sort first. Rows with an equal id and
-    payload can't be told apart, and all of them get the same kind.
+    Null payloads are empty, null urls are empty. Rows without an id are responses. Rows with an equal id and
+    payload can't be told apart, and all of them get the same kind. ``named``: there is exactly one response.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    first = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = cut(first.select("digest", "first"), "first-payloads")  # so that a frequent payload's rows can be split in the join
-    return rows.join(first, "digest", "left").select("id", "url", "payload", "digest", F.when(F.col("first") != F.col("id"), F.col("first")).alias("refers_to"))
+    first = rows.where((F.length("payload") >= least) & F.col("id").isNotNull()).groupBy("digest", "id").agg(F.count("*").alias("n"))
+    first = first.groupBy("digest").agg(F.min(F.struct("id", "n")).alias("x"), F.count("*").alias("ids")).where("ids > 1")
+    first = cut(first.select("digest", F.col("x.id").alias("first"), (F.col("x.n") == 1).alias("named")), "first-payloads")  # so that a frequent payload's rows can be split in the join
+    refers = F.when(F.col("first") != F.col("id"), F.col("first")).alias("refers_to")
+    return rows.join(first, "digest", "left").select("id", "url", "payload", "digest", refers, (F.col("id").isNotNull() & F.coalesce("named", F.lit(False))).alias("named"))
 
 
 def _identifier(*of) -> str:
@@ -76,13 +80,22 @@ def unchunked(body: bytes) -> bytes:
         at += n + 2
 
 
+def _uri(url: str) -> str:
+    """A URL as a header may have it: white space and control characters are percent-encoded."""
+    return re.sub(r"[\x00-\x20\x7f\x85\u2028\u2029]", lambda m: "".join(f"%{x:02X}" for x in m.group().encode()), url)
+
+
 def records(row: dict, segment_bytes: int, chunk_bytes: int):
     """The WARC records of one planned row, in order."""
-    rid = _identifier("page", row["id"], row["salt"])
-    digest = {"WARC-Target-URI": "".join(row["url"].split()), "WARC-Payload-Digest": f"sha256:{row['digest']}", "X-Page-ID": "" if row["id"] is None else row["id"], "X-Payload-Length": len(row["payload"])}
+    response = _identifier("payload", row["digest"])  # of a payload with one response, for those that refer to it
+    rid = response if row["named"] and row["refers_to"] is None else _identifier("page", row["id"], row["salt"])
+    uri = {"WARC-Target-URI": _uri(row["url"])}
+    digest = {"WARC-Payload-Digest": f"sha256:{row['digest']}", "Content-Type": "application/http; msgtype=response", "X-Page-ID": "" if row["id"] is None else row["id"], "X-Payload-Length": len(row["payload"])}
     if row["refers_to"] is not None:
-        more = {"WARC-Profile": "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", "X-Refers-To": row["refers_to"]}
-        yield _record("revisit", rid, b"HTTP/1.1 200 OK\r\n\r\n", digest | more)
+        more = {"WARC-Profile": "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", "X-Refers-To-Page-ID": row["refers_to"]}
+        if row["named"]:
+            more["WARC-Refers-To"] = response
+        yield _record("revisit", rid, b"HTTP/1.1 200 OK\r\n\r\n", uri | digest | more)
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(row["payload"], chunk_bytes)
     pieces = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
@@ -90,15 +103,15 @@ def records(row: dict, segment_bytes: int, chunk_bytes: int):
     for k, piece in enumerate(pieces, 1):
         more = {"WARC-Segment-Number": k} if len(pieces) > 1 else {}
         if k == 1:
-            yield _record("response", rid, piece, digest | more)
+            yield _record("response", rid, piece, uri | digest | more)
         else:
-            yield _record("continuation", _identifier("segment", rid, k), piece, more | {"WARC-Segment-Origin-ID": rid} | (last if k == len(pieces) else {}))
+            yield _record("continuation", _identifier("segment", rid, k), piece, uri | more | {"WARC-Segment-Origin-ID": rid} | (last if k == len(pieces) else {}))
 
 
 def write(planned: DataFrame, folder: str, segment_bytes: int = 1 << 16, chunk_bytes: int = 1 << 13, level: int = 4) -> DataFrame:
     """Archives of ``planned`` rows, a gzip member for each record; returns ``(path, n_records)``.
 
-    One archive a partition, written under its attempt's name and renamed when whole.
+    One archive a partition and attempt of its task; only those of the manifest count, what failed attempts left isn't read.
     """
     small_batches(planned.sparkSession)
 
@@ -106,17 +119,16 @@ def write(planned: DataFrame, folder: str, segment_bytes: int = 1 << 16, chunk_b
         task = TaskContext.get()
         fs, top = pa.fs.FileSystem.from_uri(folder)
         fs.create_dir(top)
-        path, temp, out, n = f"{top}/part-{task.partitionId():06d}.warc.gz", f"{top}/_{task.partitionId():06d}-{task.taskAttemptId()}", None, 0
+        path, out, n = f"{top}/part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz", None, 0
         for b in batches:
             for row in b.to_pylist():
-                out = out or fs.open_output_stream(temp, compression=None)
+                out = out or fs.open_output_stream(path, compression=None)
                 row["salt"] = f"{task.partitionId()}-{n}"
                 for r in records(row, segment_bytes, chunk_bytes):
                     out.write(gzip.compress(r, level, mtime=0))
                     n += 1
         if out:
             out.close()
-            fs.move(temp, path)
             yield pa.RecordBatch.from_pydict({"path": [path], "n_records": [n]})
 
     return cut(planned.mapInArrow(each, "path string, n_records long"), "warc-manifest")
@@ -181,7 +193,7 @@ def read_records(manifest: DataFrame, folder: str) -> DataFrame:
                 with fs.open_input_stream(path, compression=None) as raw:
                     for h, block in parse(io.BufferedReader(_Members(raw), 1 << 18)):
                         digest = h.get("warc-payload-digest", "")
-                        out.append({"origin": h.get("warc-segment-origin-id", h["warc-record-id"]), "segment": int(h.get("warc-segment-number", 1)), "total": number(h.get("warc-segment-total-length")), "kind": h["warc-type"], "page_id": number(h.get("x-page-id")), "digest": digest.removeprefix("sha256:") or None, "payload_length": number(h.get("x-payload-length")), "refers_to": number(h.get("x-refers-to")), "block": block})
+                        out.append({"origin": h.get("warc-segment-origin-id", h["warc-record-id"]), "segment": int(h.get("warc-segment-number", 1)), "total": number(h.get("warc-segment-total-length")), "kind": h["warc-type"], "page_id": number(h.get("x-page-id")), "digest": digest.removeprefix("sha256:") or None, "payload_length": number(h.get("x-payload-length")), "refers_to": number(h.get("x-refers-to-page-id")), "block": block})
                         held += len(block)
                         if held > 1 << 23 or len(out) >= 4096:
                             yield pa.RecordBatch.from_pylist(out, schema)
@@ -193,11 +205,11 @@ def read_records(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def reassemble(rows: DataFrame) -> DataFrame:
-    """Records to whole ones: ``(origin, kind, page_id, digest, payload_length, refers_to, block, whole)``.
+    """Records to whole ones: ``(origin, kind, page_id, digest, payload_length, refers_to, blocks, whole)``.
 
     ``whole``: the segment numbers run from 1 without a gap and the lengths add up to the stated
     total, which only the last of several segments states. Segments of no first record keep a row
-    with a null kind, not whole. Joined as hexadecimal text, in time linear in the block.
+    with a null kind, not whole. ``blocks`` are in order; whoever reads them joins them.
     """
     first = lambda c: F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c)
     got = rows.groupBy("origin").agg(
@@ -208,8 +220,7 @@ def reassemble(rows: DataFrame) -> DataFrame:
     n, lengths = F.size("s"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.length(x["block"]))
     numbers = F.transform("s", lambda x: x["segment"]) == F.sequence(F.lit(1), n)
     whole = F.col("kind").isNotNull() & numbers & F.when(n > 1, F.coalesce(F.col("total") == lengths, F.lit(False))).otherwise(F.coalesce(F.col("total") == lengths, F.lit(True)))
-    block = F.when(n == 1, F.col("s")[0]["block"]).otherwise(F.unhex(F.array_join(F.transform("s", lambda x: F.hex(x["block"])), "")))
-    return got.select("origin", "kind", "page_id", "digest", "payload_length", "refers_to", block.alias("block"), whole.alias("whole"))
+    return got.select("origin", "kind", "page_id", "digest", "payload_length", "refers_to", F.col("s.block").alias("blocks"), whole.alias("whole"))
 
 
 def payload(block: bytes) -> bytes:
@@ -238,7 +249,7 @@ def read_pages(manifest: DataFrame, folder: str) -> DataFrame:
                 if r["kind"] == "revisit":
                     out.append({"payload": None, "payload_bytes": r["payload_length"], **{k: r[k] for k in ("page_id", "kind", "digest", "refers_to")}})
                     continue
-                body = payload(r["block"])
+                body = payload(b"".join(r["blocks"]))
                 if (digest := hashlib.sha256(body).hexdigest()) != r["digest"]:
                     raise ValueError(f"{r['origin']}: digest")
                 out.append({"page_id": r["page_id"], "kind": r["kind"], "payload": body, "payload_bytes": len(body), "digest": digest, "refers_to": None})
