@@ -34,6 +34,7 @@ REMEMBER = 800_000
 
 #: The steps before the model, and the split pattern, of a tokenizers file whose plain words may go to the model at once.
 _STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
+_REPLACE = {"Regex": "\\s+"}
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
@@ -58,7 +59,7 @@ class Encoder:
         kind = json.loads(self.of.to_str())
         before, split = (kind.get(k) or {} for k in ("normalizer", "pre_tokenizer"))
         before, split = before.get("normalizers") or [], split.get("pretokenizers") or []
-        self.direct = ([x["type"] for x in before], [x["type"] for x in split]) == _STEPS and split[0]["pattern"] == {"Regex": _SPLIT} and not split[1]["add_prefix_space"]
+        self.direct = ([x["type"] for x in before], [x["type"] for x in split]) == _STEPS and (before[1]["pattern"], before[1]["content"]) == (_REPLACE, " ") and split[0]["pattern"] == {"Regex": _SPLIT} and not split[1]["add_prefix_space"]
         self.model = self.of.model
         #: Bytes above 126 of UTF-8, as the byte-level alphabet spells the letters that ``_plain`` has.
         spelled = {}
@@ -118,8 +119,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col:
     """Write every document in ascending id order; returns the manifest ``(part, path, n_docs, n_tokens)``, one row a file.
 
     Rows go to files by range of id (null ids first, equal ids by text), one file a partition, each
-    streamed, so a task holds one document and the table. A file is written under its attempt's name
-    and then renamed, so a task that runs again replaces it whole. An empty table gives no files;
+    streamed, so a task holds one document and the table. A file has its attempt's name; only the
+    files of the manifest count, what failed attempts left isn't read. An empty table gives no files;
     a null text has the end id only. ``tokenizer``: path of a tokenizers file on the executors.
     """
     spark = docs.sparkSession
@@ -133,10 +134,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col:
         end, ids, sizes = struct.pack("<I", end_id), [], []
         fs, top = _filesystem(folder)
         fs.create_dir(top)
-        path, temp, out, total = f"{top}/part-{part:06d}.tok.zst", f"{top}/_{part:06d}-{task.taskAttemptId()}", None, 0
+        path, out, total = f"{top}/part-{part:06d}-{task.taskAttemptId()}.tok.zst", None, 0
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                out = out or fs.open_output_stream(temp)
+                out = out or fs.open_output_stream(path, compression=None)
                 raw = encode(text) + end
                 out.write(frame := zip_one(raw))
                 ids.append(i)
@@ -147,7 +148,6 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col:
             out.write(_skippable(DOCS_MAGIC, zip_one(np.array([i or 0 for i in ids], "<i8").tobytes() + np.packbits(nulls).tobytes())))
             out.write(seek_table(sizes))
             out.close()
-            fs.move(temp, path)
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "n_docs": [len(ids)], "n_tokens": [total]})
 
     return cut(rows.mapInArrow(each, "part long, path string, n_docs long, n_tokens long"), "token-manifest")
@@ -197,7 +197,8 @@ class Reader:
 def read(manifest: DataFrame, folder: str, wanted: set[int] | None = None, with_ids: bool = True) -> DataFrame:
     """``(id, start, n_tokens, ids_crc32[, tokens])`` of every document, or of the ``wanted`` ids only.
 
-    ``start`` counts the tokens of all documents before it; the totals of earlier files come from the manifest.
+    ``start`` counts the tokens of all documents before it; the totals of earlier files come from the manifest, whose
+    rows, one a file, are added up in one task.
     """
     from pyspark.sql import Window
 
