@@ -106,7 +106,33 @@ def test_toxicity_learns_nothing_from_held_out_rows(spark):
     assert a == b
 
 
-def test_ordered_thresholds_and_gradient():
+def test_the_gradient_is_that_of_the_likelihood():
+    """Against differences of a likelihood written out grade by grade."""
+    import math
+
+    rng = np.random.default_rng(8)
+    n, size, grades = 40, 7, 4
+    row, idx = np.repeat(np.arange(n), 3), rng.integers(0, size, 3 * n)
+    val, grade = rng.normal(size=3 * n), rng.integers(0, grades, n)
+    w, t = rng.normal(size=size), np.array([-1.0, 0.2, -0.3])
+
+    def plain(x):
+        w, t = x[:size], x[size:]
+        cut, total = [t[0], t[0] + math.exp(t[1]), t[0] + math.exp(t[1]) + math.exp(t[2])], 0.0
+        below = lambda k, s: 0.0 if k < 0 else 1.0 if k >= len(cut) else 1 / (1 + math.exp(-(cut[k] - s)))
+        for i in range(n):
+            s = sum(w[j] * v for r, j, v in zip(row, idx, val) if r == i)
+            total -= math.log(below(grade[i], s) - below(grade[i] - 1, s))
+        return total / n + 0.01 * sum(w * w) / 2
+
+    x = np.concatenate([w, t])
+    loss, got = ordinal.loss_and_gradient(w, t, row, idx, val, grade, 0.01)
+    assert loss == pytest.approx(plain(x))
+    step = np.eye(len(x)) * 1e-6
+    assert got == pytest.approx([(plain(x + h) - plain(x - h)) / 2e-6 for h in step], abs=1e-6)
+
+
+def test_ordered_thresholds():
     rng = np.random.default_rng(0)
     x = rng.normal(size=300)
     grade = np.clip(np.round(x + 1 + rng.normal(size=300) * 0.2), 0, 2).astype(int)

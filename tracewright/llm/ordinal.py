@@ -61,7 +61,7 @@ class Hasher:
         size = max(1, len(text))
         measures = {"length": int(np.log2(n + 1)), "distinct": int(10 * len(words) / max(1, n)), "word": min(20, len(text) // max(1, n)), "lines": int(10 * len(set(lines)) / len(lines)), "top": int(10 * max(words.values(), default=0) / max(1, n)),
                     "upper": int(10 * sum(map(str.isupper, words)) / max(1, len(words))), "digit": int(20 * len(re.findall(r"\d", text)) / size), "odd": int(20 * len(re.findall(r"[^\w\s]", text)) / size), "short": int(10 * sum(len(x) < 40 for x in lines) / len(lines))}
-        slots.append(np.array([_slot("m", k) if k == "" else _slot(k, v) for k, v in measures.items()]))
+        slots.append(np.array([_slot(k, v) for k, v in measures.items()]))
         values.append(np.full(len(measures), 0.3))
         return np.concatenate(slots).astype(np.int32), np.concatenate(values).astype(np.float32)
 
@@ -71,28 +71,39 @@ def probabilities(score: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(thresholds[None, :] - score[:, None], -30, 30)))
 
 
+def thresholds(t: np.ndarray) -> np.ndarray:
+    """Ordered thresholds of free parameters: the first one, then the logarithms of the steps."""
+    return np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
+
+
+def loss_and_gradient(w: np.ndarray, t: np.ndarray, row: np.ndarray, idx: np.ndarray, val: np.ndarray, grade: np.ndarray, pull: float) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood of ``grade`` with a pull of the weights to 0, and its gradient by (w, t)."""
+    n, k, at = len(grade), len(t), np.arange(len(grade))
+    score = np.bincount(row, w[idx] * val, n)
+    up = np.concatenate([np.ones((n, 1)), probabilities(score, thresholds(t)), np.zeros((n, 1))], 1)  # P(grade >= k)
+    p = np.maximum(up[at, grade] - up[at, grade + 1], 1e-12)
+    d = up * (1 - up)
+    g_score = -(d[at, grade] - d[at, grade + 1]) / p / n
+    g_theta = np.array([((grade == j + 1) * d[:, j + 1] / p - (grade == j) * d[:, j + 1] / p).sum() / n for j in range(k)])
+    later = np.cumsum(g_theta[::-1])[::-1]
+    g = np.concatenate([np.bincount(idx, val * g_score[row], len(w)) + pull * w, later[:1], later[1:] * np.exp(t[1:])])
+    return float(-np.log(p).mean() + pull * (w * w).sum() / 2), g
+
+
 def fit_arrays(slots: list[np.ndarray], values: list[np.ndarray], grade: np.ndarray, grades: int, steps: int = 250, pull: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of grades 0..grades-1 by full-batch Adam on the mean log-likelihood."""
     row, idx, val = np.repeat(np.arange(len(slots)), [len(s) for s in slots]), np.concatenate(slots), np.concatenate(values).astype(float)
-    n, k = len(slots), grades - 1
+    k = grades - 1
     share = np.clip([(grade <= j).mean() for j in range(k)], 1e-3, 1 - 1e-3)
     first = np.log(share / (1 - share))
     w, t = np.zeros(DIM), np.concatenate([first[:1], np.log(np.maximum(np.diff(first), 1e-2))])
     m1, m2 = np.zeros(DIM + k), np.zeros(DIM + k)
     for step in range(1, steps + 1):
-        score = np.bincount(row, w[idx] * val, n)
-        theta = np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
-        up = np.concatenate([np.ones((n, 1)), probabilities(score, theta), np.zeros((n, 1))], 1)  # P(grade >= k)
-        p = np.maximum(up[np.arange(n), grade] - up[np.arange(n), grade + 1], 1e-12)
-        d = up * (1 - up)
-        g_score = -(d[np.arange(n), grade] - d[np.arange(n), grade + 1]) / p / n
-        g_theta = np.array([((grade == j + 1) * d[:, j + 1] / p - (grade == j) * d[:, j + 1] / p).sum() / n for j in range(k)])
-        later = np.cumsum(g_theta[::-1])[::-1]
-        g = np.concatenate([np.bincount(idx, val * g_score[row], DIM) + pull * w, later[:1], later[1:] * np.exp(t[1:])])
+        _, g = loss_and_gradient(w, t, row, idx, val, grade, pull)
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         move = 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         w, t = w - move[:DIM], t - move[DIM:]
-    return w.astype(np.float32), np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
+    return w.astype(np.float32), thresholds(t)
 
 
 def fit(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", sample_rows: int = SAMPLE_ROWS):
@@ -111,7 +122,8 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id"
             got = [of(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())], ["y", "slots", "values"])
 
-    data = found.mapInArrow(each, "y int, slots binary, values binary").orderBy("y", F.xxhash64("slots")).toArrow()
+    data = found.mapInArrow(each, "y int, slots binary, values binary").toArrow()  # bounded by the sample
+    data = data.sort_by([("y", "ascending"), ("slots", "ascending"), ("values", "ascending")])
     grade = np.array(data.column("y").to_pylist(), int)
     if len(set(grade.tolist())) < 2:
         return None
