@@ -253,7 +253,8 @@ def segments(repeated: DataFrame, stops: DataFrame) -> DataFrame:
     A segment's edges follow one another at their first coordinates and meet at nodes inside a path.
     """
     rows = repeated.join(stops.withColumn("head", F.lit(True)), "u", "left").withColumn("head", F.coalesce("head", F.lit(False)))
-    order = Window.partitionBy(F.shiftright("lo", PLACE_BITS)).orderBy("lo")
+    rows = rows.withColumn("run", F.shiftright("lo", PLACE_BITS))  # a column, so that both windows share one shuffle
+    order = Window.partitionBy("run").orderBy("lo")
     before = F.lag("lo").over(order)
     rows = rows.withColumn("begins", F.col("head") | before.isNull() | (before != F.col("lo") - 1))
     seg = F.max(F.when(F.col("begins"), F.col("lo"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -317,7 +318,7 @@ def _read(runs: DataFrame, marks: DataFrame, window: int, stops=None) -> DataFra
                     out.append({"seg": r["run"] << PLACE_BITS | s["first"], "words": b" ".join(w[s["first"] : s["first"] + s["n"] + window - 1]).decode()})
                 flags = np.ones(len(nodes) - 1, bool)
                 flags[r["single"] or []] = False
-                cuts = np.flatnonzero(np.isin(nodes[:-1], ends)) if len(ends) else []
+                cuts = np.flatnonzero(ends[np.minimum(np.searchsorted(ends, nodes[:-1]), len(ends) - 1)] == nodes[:-1]) if len(ends) else []
                 for first, size in _islands(flags):
                     inner = [int(c) for c in cuts if first < c < first + size]
                     for a, z in zip([first, *inner], [*inner, first + size]):
