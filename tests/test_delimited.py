@@ -27,9 +27,9 @@ def rows(spark, tmp_path, data, schema=None):
 
 
 def test_messy_input(spark, tmp_path, blocks):
-    names, cells, raw = rows(spark, tmp_path, b'timestamp,host,message\r\n1,a,"login ok, session=1"\r\n2,b\0c,x\r\n3,db\xe9,"multi\r\nline ""q"""\r\n\r\n4,s\r\n5,t,u,surplus\r\n')
+    names, cells, raw = rows(spark, tmp_path, b'timestamp,host,message\r\n1,a,"opened, 3 tries"\r\n2,b\0c,x\r\n3,db\xe9,"multi\r\nline ""q"""\r\n\r\n4,s\r\n5,t,u,surplus\r\n')
     assert names == ["timestamp", "host", "message"]
-    assert cells == [("1", "a", "login ok, session=1"), ("2", "bc", "x"), ("3", "dbé", 'multi\r\nline "q"'), ("", None, None), ("4", "s", None), ("5", "t", "u")]
+    assert cells == [("1", "a", "opened, 3 tries"), ("2", "bc", "x"), ("3", "dbé", 'multi\r\nline "q"'), ("", None, None), ("4", "s", None), ("5", "t", "u")]
     assert raw[5] == "5,t,u,surplus" and raw[3] == ""
 
 
@@ -52,22 +52,27 @@ def test_several_files_follow_one_another(spark, tmp_path, blocks):
     assert [r["h"] for r in v.df.orderBy("_row_id").collect()] == ["x\n0", "x\n0", "x\n1", "x\n1", "x\n2", "x\n2"]
 
 
-def scan(data):
-    """Records by one pass over the bytes."""
-    out, at, inside, i = [], 0, False, 0
+def scan(data, most=1 << 20):
+    """Records by one pass over the bytes; line ends inside a field wait until it closes or has run on for too long."""
+    ends, waiting, inside, opened, i = [], [], False, 0, 0
     while i < len(data):
         c = data[i : i + 1]
         if c == b'"' and inside and data[i + 1 : i + 2] == b'"':
             i += 1
         elif c == b'"' and inside:
-            inside = False
+            inside, waiting = False, []
         elif c == b'"':
-            inside = i == 0 or data[i - 1 : i] in (b",", b"\n")
-        elif c == b"\n" and not inside:
-            out.append(data[at:i])
-            at = i + 1
+            inside, opened = i == 0 or data[i - 1 : i] in (b",", b"\n"), i
+        elif c == b"\n":
+            waiting.append(i)
+            if not inside or i - opened > most:
+                ends, waiting, inside = ends + waiting, [], False
         i += 1
-    out += [data[at:].removesuffix(b"\n")] if at < len(data) else []
+    if inside and len(data.removesuffix(b"\n")) - opened > most:
+        ends += waiting
+    starts = [0, *(e + 1 for e in ends)]
+    out = [data[a:b] for a, b in zip(starts, [*ends, len(data)])]
+    out = out[:-1] if starts[-1] == len(data) else [*out[:-1], out[-1].removesuffix(b"\n")]
     return [x.removesuffix(b"\r").decode() for x in out]
 
 
@@ -78,10 +83,45 @@ def test_records_of_random_soup(spark, tmp_path, blocks, seed):
     assert rows(spark, tmp_path, data, d.Schema(has_header=False, columns=("a",)))[2] == scan(data)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_quotes_that_run_on_become_text(spark, tmp_path, blocks, seed):
+    """Fields of over 50 bytes are none: within a block, over one border and over several, closed, demoted and at the end."""
+    rng = random.Random(seed)
+    data = bytes(rng.choice(b'"\n\n,xxyyzzzz') for _ in range(rng.randint(300, 700)))
+    (tmp_path / "in.csv").write_bytes(data)
+    v = d.read(spark, str(tmp_path / "in.csv"), d.Schema(has_header=False, columns=("a",)), most_quoted=50)
+    got = v.df.orderBy("_row_id").collect()
+    assert [r["_raw"] for r in got] == scan(data, 50) and [r["_row_id"] for r in got] == list(range(len(got)))
+
+
+def test_a_stray_quote_costs_a_mebibyte_at_most(spark, tmp_path):
+    data = b'h,i\n1,"up\nto\n' + b"z" * ((1 << 20) + 16) + b"\nnext,row\n" + b'2,"a\nb"\n'
+    for size in ("134217728", "300000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        names, cells, raw = rows(spark, tmp_path, data)
+        assert names == ["h", "i"] and raw[:2] == ['1,"up', "to"] and raw[3:] == ["next,row", '2,"a\nb"'] and cells[4] == ("2", "a\nb")
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_the_header_may_stand_far_down(spark, tmp_path, blocks):
+    data = b"".join(b'"note\n%d"\n' % i for i in range(300)) + b'h,"i\nj"\n1,2\n'
+    assert rows(spark, tmp_path, data, d.Schema(skip_lines=300))[:2] == (["h", "i\nj"], [("1", "2")])
+    with pytest.raises(ValueError, match="no columns"):
+        rows(spark, tmp_path, data, d.Schema(skip_lines=302))
+
+
+def test_a_view_knows_how_its_file_was_read(spark, tmp_path):
+    (tmp_path / "in.csv").write_bytes(b"a;b\n1;2\n")
+    v = d.read(spark, str(tmp_path / "in.csv"))
+    assert v.where("a:1").schema.bytes() == (b";", b'"') and v.schema.has_header
+
+
 def test_fields():
     f = lambda x: [d.cell(y, b'"') for y in d.split(x, b",", b'"')]
     assert f(b"") == [""] and f(b",,") == ["", "", ""] and f(b'"a,b",c') == ["a,b", "c"] and f(b'x,ab"cd,e') == ["x", 'ab"cd', "e"]
-    assert f(b'"a"b,c') == ['"a"b', "c"] and f(b'a,"bc') == ["a", '"bc'] and f(b'"she said ""hi""",x') == ['she said "hi"', "x"] and f(b"\x81\xff,b") == ["\x81ÿ", "b"]
+    assert f(b'"a"b,c') == ['"a"b', "c"] and f(b'a,"bc') == ["a", '"bc'] and f(b'"a ""b"" c",x') == ['a "b" c', "x"] and f(b"\x81\xff,b") == ["\x81ÿ", "b"]
 
 
 def test_round_trip(spark, tmp_path, blocks):

@@ -22,6 +22,8 @@ class View:
     df: DataFrame
     columns: list[str]
     keys: tuple[tuple[str, bool], ...] = field(default=())
+    #: How the file was read, with the delimiter that was guessed; None for views of tables.
+    schema: object = None
 
     # --- reading ---------------------------------------------------------
 

@@ -4,6 +4,10 @@ Spark's text source deals lines to tasks in blocks of a file. Whether a line beg
 depends on all before it, but a block's effect on that is a function of one bit: a first pass gives each
 block's function and its number of records, their composition gives where every block stands, and a
 second pass parses. Records that cross blocks are few; their pieces meet by record id.
+
+A quoted field that runs on for more than ``most_quoted`` bytes is none: at the next line end its quote becomes text, and
+the line ends in it end records. Whether that happens in a block may depend on how far back the quote is; the few blocks
+where it does are measured again, once that is known. Lines without a quote are split by Arrow.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ import json
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +26,8 @@ from ..operators.timeline import RAW, ROW, View
 DELIMITERS = {"comma": ",", "tab": "\t", "pipe": "|", "semicolon": ";", "space": " ", "\\t": "\t"}
 BODYFILE = ("MD5", "name", "inode", "mode", "UID", "GID", "size", "atime", "mtime", "ctime", "crtime")
 BOM = b"\xef\xbb\xbf"
+#: Fixed value: the bytes that a quoted field may run on for across line ends.
+MOST_QUOTED = 1 << 20
 #: Windows-1252 as browsers read it: the five unused codes are control characters.
 _CP1252 = {i: bytes([i]).decode("cp1252") for i in range(0x80, 0xA0) if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
@@ -72,27 +79,80 @@ def sniff(lines: list[bytes]) -> Schema:
     return Schema(best)
 
 
-def inside_after(line: bytes, inside: bool, delimiter: bytes, quote: bytes) -> bool:
-    """Whether a quoted field is open after a line, given whether one is before it."""
-    at, opener = 0, delimiter + quote
+def inside_after(line: bytes, inside: bool, delimiter: bytes, quote: bytes) -> tuple[bool, int]:
+    """Whether a quoted field is open after a line, given whether one is before it; and where in the line it was opened, else -1."""
+    at, opener, opened = 0, delimiter + quote, -1
     if quote not in line:
-        return inside
+        return inside, -1
     while True:
         if inside:
             at = line.find(quote, at)
             if at < 0:
-                return True
+                return True, opened
             if line[at + 1 : at + 2] == quote:
                 at += 2
             else:
                 inside, at = False, at + 1
         elif at == 0 and line.startswith(quote):
-            inside, at = True, 1
+            inside, opened, at = True, 0, 1
         else:
             at = line.find(opener, at)
             if at < 0:
-                return False
-            inside, at = True, at + 2
+                return False, -1
+            inside, opened, at = True, at + 1, at + 2
+
+
+@dataclass
+class Marked:
+    """The lines of a block: which of them begin a record, and what is open at its end.
+
+    ``tail``: lines at the end, inside a field that is open there (and begin records if its quote turns out to be text);
+    ``since``: bytes from its quote to the end. ``head``: what became of a field open at the beginning,
+    "closed", "text" or "open"; ``reach``: the last line end in it.
+    """
+
+    begins: list[bool]
+    tail: int
+    inside: bool
+    since: int
+    head: str
+    reach: int
+
+
+def mark(lines: list[bytes], inside: bool, since: int, most: int, delimiter: bytes, quote: bytes, like: list[bool] | None = None) -> Marked:
+    """Mark the lines of a block that begins ``since`` bytes behind the quote of an open field, if ``inside``.
+
+    ``like``: which lines begin a record if the block doesn't begin inside a field. Where both readings
+    are outside at a line's beginning, the rest is the same and the marks end there.
+    """
+    begins: list[bool] = []
+    waiting: list[int] = []
+    opened, at, head, reach = -since, 0, "open" if inside else "", 0
+    for i, x in enumerate(lines):
+        if inside:
+            waiting.append(i)
+        elif like and like[i] and head:
+            break
+        begins.append(not inside)
+        still, where = inside_after(x, inside, delimiter, quote)
+        end = at + len(x)
+        if head == "open":
+            if still and where < 0:
+                reach = end
+            else:
+                head = "closed"
+        if where >= 0:
+            opened, waiting = at + where, []
+        elif not still:
+            waiting = []
+        inside = still
+        if inside and end - opened > most:
+            for k in waiting:
+                begins[k] = True
+            head = "text" if head == "open" else head
+            inside, waiting = False, []
+        at = end + 1
+    return Marked(begins, len(waiting), inside, at - opened if inside else 0, head, reach)
 
 
 def split(record: bytes, delimiter: bytes, quote: bytes) -> list[bytes]:
@@ -145,12 +205,17 @@ def _blocks(batches):
         yield (*at, lines)
 
 
-def read(spark: SparkSession, path: str | list[str], schema: Schema | None = None) -> View:
+_KINDS = ("out", "in")
+_SUMMARY = "path string, block long, " + ", ".join(f"n_{k} long, tail_{k} long, open_{k} boolean, since_{k} long" for k in _KINDS) + ", head string, reach long"
+
+
+def read(spark: SparkSession, path: str | list[str], schema: Schema | None = None, most_quoted: int = MOST_QUOTED) -> View:
     """A view of one file, or of several of the same form, one after another in the order of their paths.
 
     Blank records are rows with one empty cell, short records have null cells, surplus fields stay in the raw record. Without
-    a schema the delimiter is guessed and a header assumed. No bytes at all: :class:`EmptyInput`.
-    Duplicate names get a number. A task holds the lines of one block (``spark.sql.files.maxPartitionBytes``).
+    a schema the delimiter is guessed from lines of the beginning and a header assumed. No bytes at all: :class:`EmptyInput`.
+    Duplicate names get a number. A task holds the lines of one block (``spark.sql.files.maxPartitionBytes``), the driver
+    a row of numbers for each block.
     """
     source = spark.read.option("lineSep", "\n").text(path)
     files = sorted(source.inputFiles())
@@ -160,93 +225,167 @@ def read(spark: SparkSession, path: str | list[str], schema: Schema | None = Non
     head = [bytes(line) for _, line in sorted(head, key=lambda r: r[0])]  # stable: lines of a block are in order
     if not head:
         raise EmptyInput(str(path))
-    head[0] = head[0].removeprefix(BOM)
-    schema = schema or sniff(head)
+    schema = schema or sniff([head[0].removeprefix(BOM), *head[1:]])
     delimiter, quote = schema.bytes()
-    columns = _names(head, schema, delimiter, quote)
-    skip, width = schema.skip_lines + schema.has_header, len(columns)
-
-    def measure(batches):
+    skip = schema.skip_lines + schema.has_header
+
+    def measured(known: dict) -> list:
+        """A row of numbers for each block, or for those in ``known``, of which the state at the beginning is known."""
+
+        def each(batches):
+            for p, start, own in _blocks(batches):
+                if start == 0:
+                    own[0] = own[0].removeprefix(BOM)
+                _, since = known.get((p, start), (False, 0))
+                outside = mark(own, False, 0, most_quoted, delimiter, quote) if any(quote in x for x in own) else Marked([True] * len(own), 0, False, 0, "", 0)
+                inside = mark(own, True, since, most_quoted, delimiter, quote, outside.begins)
+                same = len(inside.begins) < len(own)  # from there on
+                n_in = sum(inside.begins) + sum(outside.begins[len(inside.begins) :])
+                end = outside if same else inside
+                row = [p, start, sum(outside.begins), outside.tail, outside.inside, outside.since]
+                row += [n_in, end.tail, end.inside, end.since - (since if inside.head == "open" else 0), inside.head, inside.reach]
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names)
+
+        names = ["path", "block", *(f"{x}_{k}" for k in _KINDS for x in ("n", "tail", "open", "since")), "head", "reach"]
+        some = lines
+        if known:
+            paths, starts = (list({k[i] for k in known}) for i in (0, 1))
+            some = lines.where(F.col("path").isin(paths) & F.col("block").isin(starts))
+        return some.mapInArrow(each, _SUMMARY).collect()
+
+    placed = _placed(measured, skip, most_quoted)
+    crossed = any(x[0] for x in placed.values())  # some block begins inside a field
+
+    def pieces(batches, states, whole: bool):
+        """(rows, block, records) of the whole records of each block, or of the pieces of records that cross blocks."""
         for p, start, own in _blocks(batches):
-            ends, counts = [], []
-            for inside in (False, True):
-                n = 0
-                for i, x in enumerate(own):
-                    n += not inside
-                    inside = inside_after(x.removeprefix(BOM) if start == 0 and i == 0 else x, inside, delimiter, quote)
-                ends.append(inside)
-                counts.append(n)
-            yield pa.RecordBatch.from_pydict({"path": [p], "block": [start], "out": [ends[0]], "in": [ends[1]], "n_out": [counts[0]], "n_in": [counts[1]]})
-
-    blocks = sorted(lines.mapInArrow(measure, "path string, block long, `out` boolean, `in` boolean, n_out long, n_in long").collect())
-    placed, base, at, inside, n, open_ends = {}, 0, None, False, 0, False
-    for p, start, out, in_, n_out, n_in in blocks:  # a row for each block of a file
-        if p != at:
-            base, at, inside, n = base + max(0, n - skip), p, False, 0
-        placed[p, start] = (inside, base - skip + n, base)
-        inside, n = (in_, n + n_in) if inside else (out, n + n_out)
-        open_ends |= inside
-    shared = spark.sparkContext.broadcast(placed)
-
-    def parsed(rows, records):
-        cells = []
-        for raw in records:
-            fields = [cell(f, quote) for f in split(raw, delimiter, quote)[:width]]
-            cells.append(fields + [None] * (width - len(fields)))
-        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(cells, pa.list_(pa.string())), pa.array(map(text, records), pa.string())], ["row", "cells", "raw"])
-
-    def pieces(batches, whole: bool):
-        """Whole records of each block as parsed rows, or the pieces of records that cross blocks."""
-        for p, start, own in _blocks(batches):
-            inside, row, least = shared.value[p, start]
-            row, begun, rows, records = row - 1, [], [], []
-            crosses = inside
-            for i, x in enumerate([*own, None]):
-                if x is None or not inside:
-                    if begun and row >= least and (crosses or (x is None and inside)) != whole:
-                        joined = b"\n".join(begun)
-                        rows.append(row)
-                        records.append(joined.removesuffix(b"\r") if whole else joined)
-                    if x is None:
-                        break
-                    crosses, begun, row = False, [], row + 1
-                begun.append(x)
-                inside = inside_after(x.removeprefix(BOM) if start == 0 and i == 0 else x, inside, delimiter, quote)
-                if len(rows) >= 2048:
-                    yield parsed(rows, records) if whole else _raw(rows, start, records)
-                    rows, records = [], []
+            if start == 0:
+                own[0] = own[0].removeprefix(BOM)
+            inside, since, row, least, is_text = states.value[p, start]
+            begins, goes_on = [True] * len(own), False
+            if inside or any(quote in x for x in own):
+                m = mark(own, inside, since, most_quoted, delimiter, quote)
+                begins, goes_on = m.begins, m.inside and not is_text
+                if is_text:
+                    begins[len(own) - m.tail :] = [True] * m.tail
+            at, rows, found = 0, [], []
+            while at < len(own):
+                end = at + 1
+                while end < len(own) and not begins[end]:
+                    end += 1
+                row += begins[at]
+                if row >= least and (not begins[at] or (goes_on and end == len(own))) != whole:
+                    rows.append(row)
+                    found.append(b"\n".join(own[at:end]).removesuffix(b"\r") if whole else b"\n".join(own[at:end]))
+                at = end
+                if len(rows) >= 4096:
+                    yield rows, start, found
+                    rows, found = [], []
             if rows:
-                yield parsed(rows, records) if whole else _raw(rows, start, records)
-
-    def _raw(rows, start, records):
-        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([start] * len(rows), pa.int64()), pa.array(records, pa.binary())], ["row", "block", "raw"])
-
-    def join(batches):
-        for b in batches:
-            yield parsed(b.column(0).to_pylist(), [b"\n".join(x["raw"] for x in r).removesuffix(b"\r") for r in b.column(1).to_pylist()])
-
-    out = "row long, cells array<string>, raw string"
-    df = lines.mapInArrow(lambda bs: pieces(bs, True), out)
-    if open_ends:
-        crossing = lines.mapInArrow(lambda bs: pieces(bs, False), "row long, block long, raw binary")
-        crossing = crossing.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("block", "raw"))).alias("pieces"))
-        df = df.union(crossing.mapInArrow(join, out))
-    return View(df.select(F.col("row").alias(ROW), *(F.col("cells")[i].alias(c) for i, c in enumerate(columns)), F.col("raw").alias(RAW)), columns)
-
-
-def _names(head: list[bytes], schema: Schema, delimiter: bytes, quote: bytes) -> list[str]:
-    records, inside = [], False
-    for x in head:
-        records = [*records[:-1], records[-1] + b"\n" + x] if inside else [*records, x]
-        inside = inside_after(x, inside, delimiter, quote)
-    first = records[schema.skip_lines] if schema.skip_lines < len(records) else None
-    if schema.columns:
-        names = list(schema.columns)
-    elif first is None:
-        raise ValueError("no columns")
-    else:
-        fields = split(first.removesuffix(b"\r"), delimiter, quote)
-        names = [cell(f, quote) if schema.has_header else "" for f in fields]
+                yield rows, start, found
+
+    def records(make, form: str, states: dict) -> DataFrame:
+        """What ``make(rows, records)`` gives for all records; those that cross blocks are put together first."""
+        shared = spark.sparkContext.broadcast(states)
+
+        def crossing(batches):
+            for rows, start, found in pieces(batches, shared, False):
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([start] * len(rows), pa.int64()), pa.array(found, pa.binary())], ["row", "block", "raw"])
+
+        def together(batches):
+            for b in batches:
+                yield make(b.column(0).to_pylist(), [b"\n".join(x["raw"] for x in r).removesuffix(b"\r") for r in b.column(1).to_pylist()])
+
+        df = lines.mapInArrow(lambda bs: (make(rows, found) for rows, _, found in pieces(bs, shared, True)), form)
+        if crossed:
+            parts = lines.mapInArrow(crossing, "row long, block long, raw binary").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("block", "raw"))).alias("pieces"))
+            df = df.union(parts.mapInArrow(together, form))
+        return df
+
+    def parsed(rows, found):
+        cells = _quoteless(found, delimiter, quote)
+        if cells is None:
+            cells = pa.array([[cell(f, quote) for f in split(x, delimiter, quote)[:width]] for x in found], pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), cells, pa.array(map(text, found), pa.string())], ["row", "cells", "raw"])
+
+    columns = list(schema.columns)
+    if not columns:
+        wanted = -1 if schema.has_header else 0  # the header stands before row 0 of the first file
+        top = {k: (*x[:3], wanted if k[0] == min(placed)[0] else 1 << 62, x[4]) for k, x in placed.items()}
+        pick = lambda rows, found: pa.RecordBatch.from_arrays([pa.array([x for i, x in zip(rows, found) if i == wanted], pa.binary())], ["raw"])
+        record = records(pick, "raw binary", top).take(1)
+        if not record:
+            raise ValueError("no columns")
+        columns = [cell(f, quote) if schema.has_header else "" for f in split(bytes(record[0][0]), delimiter, quote)]
+    columns, width = _names(columns), len(columns)
+    df = records(parsed, "row long, cells array<string>, raw string", placed)
+    return View(df.select(F.col("row").alias(ROW), *(F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(columns)), F.col("raw").alias(RAW)), columns, schema=schema)
+
+
+def _placed(measured, skip: int, most: int) -> dict:
+    """(path, block) to (inside, since, number of the record before, first number that counts, whether the open tail is text)."""
+    found = {(r["path"], r["block"]): r for r in measured({})}
+    exact: dict = {}
+    states, unknown = _states(found, exact, most)
+    while unknown:
+        for r in measured(unknown):
+            if (key := (r["path"], r["block"])) in unknown:
+                exact[*key, unknown[key][1]] = r
+        states, unknown = _states(found, exact, most)
+    placed, base, at, n = {}, 0, None, 0
+    for (p, start), (inside, since, rows, tail, is_text) in states.items():
+        if p != at:
+            base, at, n = base + max(0, n - skip), p, 0
+        placed[p, start] = (inside, since, base - skip + n - 1, base, is_text)
+        n += rows + tail * is_text
+    return placed
+
+
+def _states(found: dict, exact: dict, most: int) -> tuple[dict, dict]:
+    """Of each block in order [inside, since, records, tail, tail is text]; and blocks to be measured again, from (inside, since).
+
+    A block that begins ``since`` bytes behind an open quote needs that if the quote may become text in it.
+    """
+    states: dict = {}
+    unknown: dict = {}
+    at, inside, since, waiting = None, False, 0, []
+    for p, start in [*sorted(found), (None, 0)]:
+        if p != at:
+            if inside and since - 1 > most:  # the file ends in a field that is none
+                for k in waiting:
+                    states[k][4] = True
+            at, inside, since, waiting = p, False, 0, []
+        if p is None or (unknown and p == list(unknown)[-1][0]):
+            continue
+        r, kind = found[p, start], "in" if inside else "out"
+        if inside and since + r["reach"] > most:
+            r = exact.get((p, start, since))
+            if r is None:
+                unknown[p, start] = (True, since)
+                inside = False
+                continue
+        states[p, start] = [inside, since, r[f"n_{kind}"], r[f"tail_{kind}"], False]
+        passed = inside and r["head"] == "open"
+        if inside and not passed:
+            for k in waiting:
+                states[k][4] = r["head"] == "text"
+            waiting = []
+        inside, since = r[f"open_{kind}"], r[f"since_{kind}"] + (since if passed else 0)
+        if inside:
+            waiting.append((p, start))
+    return states, unknown
+
+
+def _quoteless(raw: list[bytes], delimiter: bytes, quote: bytes) -> pa.Array | None:
+    """Cells of records that have neither quotes nor bytes that need care, split by Arrow; else None."""
+    whole = b"\n".join(raw)
+    if quote in whole or b"\0" in whole or b"\r" in whole or not (whole + delimiter).isascii():
+        return None
+    return pc.split_pattern(pa.array(raw, pa.binary()).cast(pa.string()), delimiter.decode()).cast(pa.list_(pa.string()))
+
+
+def _names(names: list[str]) -> list[str]:
+    """Column names: blank ones get their number, repeated ones a number behind."""
     names = [n if n.strip() else f"Column {i}" for i, n in enumerate(names, 1)]
     seen: dict[str, int] = {}
     for i, n in enumerate(names):
