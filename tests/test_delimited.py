@@ -118,6 +118,21 @@ def test_a_view_knows_how_its_file_was_read(spark, tmp_path):
     assert v.where("a:1").schema.bytes() == (b";", b'"') and v.schema.has_header
 
 
+def test_scoped_search_looks_at_the_field_as_written(spark, tmp_path):
+    (tmp_path / "in.csv").write_bytes(b'h,m\n1,"a ""b"" c"\n2,a "b" c\n3,"plain"\n')
+    v = d.read(spark, str(tmp_path / "in.csv"))
+    got = lambda t: [r["h"] for r in v.where(t).df.collect()]
+    assert got('m:""b""') == ["1"] or got('m:/""b""/') == ["1"]
+    assert got('m:/a "b"/') == ["2"] and got("m:plain") == ["3"] and got('m:/"plain"/') == [] and got('a "b"') == ["2"]
+    assert [r["m"] for r in v.df.orderBy("_row_id").collect()] == ['a "b" c', 'a "b" c', "plain"]
+
+
+def test_schema_text_in_yaml():
+    assert d.schema_of("delimiter: tab\nskip_lines: 2\ncolumns: [a, 1]\n") == d.Schema("tab", skip_lines=2, columns=("a", "1"))
+    with pytest.raises(ValueError):
+        d.schema_of("- a\n- b\n")
+
+
 def test_fields():
     f = lambda x: [d.cell(y, b'"') for y in d.split(x, b",", b'"')]
     assert f(b"") == [""] and f(b",,") == ["", "", ""] and f(b'"a,b",c') == ["a,b", "c"] and f(b'x,ab"cd,e') == ["x", 'ab"cd', "e"]

@@ -28,3 +28,15 @@ def test_plans_prune_and_stay_in_the_jvm(spark):
     assert "Python" not in plan and "TakeOrderedAndProject" in plan
     scan = plan[plan.index("ReadSchema") :].split("\n")[0]
     assert "event_type" in scan and "props" in scan and "value" not in scan
+
+
+def test_modules_define_names_once():
+    """A function defined twice hides the first; each module's own names are checked."""
+    import ast
+    from collections import Counter
+    from pathlib import Path
+
+    for path in sorted(Path(__file__).resolve().parents[1].glob("**/*.py")):
+        for scope in [t for t in ast.walk(ast.parse(path.read_text())) if isinstance(t, (ast.Module, ast.ClassDef))]:
+            names = Counter(x.name for x in scope.body if isinstance(x, (ast.FunctionDef, ast.ClassDef)))
+            assert not [n for n, k in names.items() if k > 1], path

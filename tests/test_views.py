@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import indicators, times
-from tracewright.operators.timeline import add_tags, from_table, remove_tags
+from tracewright.operators import grouping
+from tracewright.operators.timeline import UnknownColumn, add_tags, clear_tags, flagged, from_table, remove_tags, tag_ids, tagged_count
 from tracewright.session import Session
 from tracewright.sources import export
 
@@ -25,11 +26,31 @@ def ids(view):
 def test_sorts_compose_and_are_stable(rows):
     assert ids(rows.sort(("grp", True), ("value", False))) == [1, 3, 4, 2, 0]
     assert ids(rows.sort(("value", False)).sort(("grp", True))) == [1, 3, 4, 2, 0]
-    assert ids(rows.sort()) == ids(rows.sort(("gone", True))) == [0, 1, 2, 3, 4]
+    assert ids(rows.sort()) == [0, 1, 2, 3, 4] and ids(rows.sort((0, True), ("VALUE", False))) == [1, 3, 4, 2, 0]
     assert [r[0] for r in rows.sort(("value", True)).page(1, 2).select("_row_id").collect()] == [4, 1]
     assert rows.page(99, 5).count() == 0 and rows.page(-3, 2000).count() == 5
 
 
+def test_columns_by_name_and_number(rows):
+    assert rows.project(2, "GRP").columns == ["note", "grp"] and rows.resolve("Value") == "value"
+    for column in ("gone", 3, -1):
+        for use in (lambda c: rows.sort((c, True)), rows.project, lambda c: grouping.distribution(rows, c), lambda c: grouping.level(rows, [c])):
+            with pytest.raises(UnknownColumn):
+                use(column)
+
+
+def test_places(rows):
+    v = rows.sort(("value", False))
+    assert [r[0] for p in (-1, 0, 4, 5) for r in v.row_at(p).collect()] == [2, 0]
+    assert [v.cell_at(p, c).first()[0] for p, c in ((0, "note"), (3, "note"), (5, "grp"), (-1, 0))] == ["tab\there\nline", "", "", ""]
+
+
+def test_clipboard(rows):
+    v = rows.where("grp:a").sort(("value", True)).project("value", "grp")
+    assert [r[0] for r in export.plain_tsv(v, header=True).collect()] == ["value\tgrp", "2\ta", "5\ta", "5\ta"]
+    assert [r[0] for r in export.plain_tsv(v).collect()] == ["2\ta", "5\ta", "5\ta"]
+
+
 def test_projection_and_cells(rows):
     v = rows.project("value", "grp")
     assert v.cells().columns == ["_row_id", "value", "grp"]
@@ -46,6 +67,8 @@ def test_marks(spark, rows):
     more = add_tags(tags, rows.where("value:9"))
     assert sorted(r[0] for r in remove_tags(more, rows.where("value:5")).collect()) == [2, 4]
     assert ids(rows.tagged(spark.createDataFrame([], "_row_id long"))) == []
+    assert {r["_row_id"]: r["_tagged"] for r in flagged(rows, more.union(more)).df.collect()} == {0: False, 1: True, 2: True, 3: True, 4: True}
+    assert tagged_count(more.union(more)).first()[0] == 4 and clear_tags(more).count() == 0 and [r[0] for r in tag_ids(more.union(more)).collect()] == [1, 2, 3, 4]
 
 
 def written(view, tmp_path, form, columns=None):
@@ -81,25 +104,26 @@ def test_session(spark, rows, tmp_path):
     assert v.columns == ["value", "note"] and ids(v) == [1, 3]
 
 
-@pytest.mark.parametrize("value, form", [("2026-06-10T14:48:57ZTUTC", "iso8601"), (" 2026-06-10 14:48:57", "iso8601"), ("1717777777", "epochSeconds"), ("1717777777123", "epochMillis"), ("svchost.exe", None), ("12345", None), ("", None), (None, None), ("99999999999", None)])
+@pytest.mark.parametrize("value, form", [("2031-02-18T09:21:40ZTUTC", "iso8601"), (" 2031-02-18 09:21:40", "iso8601"), ("1717777777", "epochSeconds"), ("1717777777123", "epochMillis"), ("svchost.exe", None), ("12345", None), ("", None), (None, None), ("99999999999", None)])
 def test_detect(spark, value, form):
     assert spark.createDataFrame([(value,)], "v string").select(times.detect(F.col("v"))).first()[0] == form
 
 
 @pytest.mark.parametrize("value, form, want", [
-    ("2026-06-10T14:48:57ZTUTC", "iso8601", "2026-06-10 14:48:57 UTC"), ("2026-06-10T14:48:57.250ZTUTC", "iso8601", "2026-06-10 14:48:57 UTC"),
-    ("2026-06-10T14:48:57Ztutc", "iso8601", "2026-06-10 14:48:57 UTC"), ("2026-06-10T14:48:57TUTC", "iso8601", "2026-06-10 14:48:57 UTC"), ("2026-06-10T14:48:57GMT", "iso8601", "2026-06-10 14:48:57 UTC"),
-    ("2026-06-10T14:48:57Z UTC", "iso8601", "2026-06-10 14:48:57 UTC"), ("2026-06-10T14:48:57+02:00", "iso8601", "2026-06-10 12:48:57 UTC"), ("2026-06-10 14:48:57-0130", "iso8601", "2026-06-10 16:18:57 UTC"),
-    ("2026-06-10T14:48:57", "iso8601", "2026-06-10 14:48:57 UTC"), ("2026-06-10T14:48:57XYZ", "iso8601", None), ("2026-06-10T14:48:57UTCX", "iso8601", None), ("2026-06-10T14:48:57 EST", "iso8601", None),
-    ("2026-13-10T14:48:57Z", "iso8601", None), ("not a date", "iso8601", None), ("946684800", "epochSeconds", "2000-01-01 00:00:00 UTC"), ("946684800000", "epochMillis", "2000-01-01 00:00:00 UTC"), ("x", "epochSeconds", None),
+    ("2031-02-18T09:21:40ZTUTC", "iso8601", "2031-02-18 09:21:40 UTC"), ("2031-02-18T09:21:40.250ZTUTC", "iso8601", "2031-02-18 09:21:40 UTC"),
+    ("2031-02-18T09:21:40Ztutc", "iso8601", "2031-02-18 09:21:40 UTC"), ("2031-02-18T09:21:40TUTC", "iso8601", "2031-02-18 09:21:40 UTC"), ("2031-02-18T09:21:40GMT", "iso8601", "2031-02-18 09:21:40 UTC"),
+    ("2031-02-18T09:21:40Z UTC", "iso8601", "2031-02-18 09:21:40 UTC"), ("2031-02-18T09:21:40+02:00", "iso8601", "2031-02-18 07:21:40 UTC"), ("2031-02-18 09:21:40-0130", "iso8601", "2031-02-18 10:51:40 UTC"),
+    ("2031-02-18T09:21:40", "iso8601", "2031-02-18 09:21:40 UTC"), ("2031-02-18T09:21:40XYZ", "iso8601", None), ("2031-02-18T09:21:40UTCX", "iso8601", None), ("2031-02-18T09:21:40 EST", "iso8601", None),
+    ("2031-13-18T09:21:40Z", "iso8601", None), ("not a date", "iso8601", None), ("946684800", "epochSeconds", "2000-01-01 00:00:00 UTC"), ("946684800000", "epochMillis", "2000-01-01 00:00:00 UTC"), ("x", "epochSeconds", None),
 ])
 def test_convert(spark, value, form, want):
     assert spark.createDataFrame([(value,)], "v string").select(times.shown(F.col("v"), form, "UTC")).first()[0] == (want or value)
 
 
 def test_other_zone_and_raw(spark):
-    df = spark.createDataFrame([("2026-06-10T14:48:57Z",)], "v string")
-    assert df.select(times.shown(F.col("v"), "iso8601", "Europe/Paris"), times.shown(F.col("v"), "iso8601", None)).first() == ("2026-06-10 16:48:57 Europe/Paris", "2026-06-10T14:48:57Z")
+    df = spark.createDataFrame([("2031-02-18T09:21:40Z",)], "v string")
+    assert df.select(times.shown(F.col("v"), "iso8601", "Europe/Paris"), times.shown(F.col("v"), "iso8601", None)).first() == (f"2031-02-18 10:21:40 {times.abbreviation('Europe/Paris')}", "2031-02-18T09:21:40Z")
+    assert times.abbreviation("Europe/Paris") in ("CET", "CEST") and times.abbreviation("Asia/Kathmandu") == "GMT+5:45" and times.abbreviation("Asia/Dubai") == "GMT+4"
 
 
 def test_column_forms(spark):

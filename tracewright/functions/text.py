@@ -104,7 +104,7 @@ def matches(c: Column, pattern: str) -> Column:
     """Whether ``pattern`` is found in a cell; raises :class:`InvalidPattern` now, not when the plan runs."""
     java = java_pattern(pattern)
     try:
-        SparkSession.active().range(1).select(F.lit("").rlike(java)).collect()
+        SparkSession.active().sparkContext._jvm.java.util.regex.Pattern.compile(java)
     except PySparkException as e:
         raise InvalidPattern(f"{pattern}: {str(e).splitlines()[0]}") from None
     return F.coalesce(c.rlike(java), F.lit(False))

@@ -9,13 +9,13 @@ from ..functions.text import value_key
 from .timeline import ROW, View
 
 
-def level(view: View, columns: list[str], path: list[str] | None = None) -> DataFrame:
+def level(view: View, columns: list[int | str], path: list[str] | None = None) -> DataFrame:
     """``(key1.., label1.., n)``: the groups of all ``columns``, the last of them nested in the others.
 
     A label is the cell of the group's first row in the view's order. Rows are counted with map-side
     combining, so a hot group costs one row a task. ``path``: cells of outer groups to stay in.
     """
-    df = view.df
+    df, columns = view.df, [view.resolve(c) for c in columns]
     for c, cell in zip(columns, path or []):
         df = df.where(value_key(F.col(f"`{c}`")) == value_key(F.lit(cell)))
     keys = [value_key(F.col(f"`{c}`")).alias(f"key{i}") for i, c in enumerate(columns, 1)]
@@ -45,16 +45,16 @@ def leaves(view: View, path: dict[str, str]) -> View:
     """The rows of one group, in the view's order."""
     condition = F.lit(True)
     for c, cell in path.items():
-        condition &= value_key(F.col(f"`{c}`")) == value_key(F.lit(cell))
+        condition &= value_key(F.col(f"`{view.resolve(c)}`")) == value_key(F.lit(cell))
     return view.where(condition)
 
 
-def distribution(view: View, column: str, limit: int | None = 20) -> DataFrame:
+def distribution(view: View, column: int | str, limit: int | None = 20) -> DataFrame:
     """``(value, n)``: the commonest values of a column, by count, then by the value's bytes; None: all."""
     out = level(view, [column]).select(F.col("label1").alias("value"), "n").orderBy(F.desc("n"), "value")
     return out if limit is None else out.limit(limit)
 
 
-def distinct_total(view: View, column: str) -> DataFrame:
+def distinct_total(view: View, column: int | str) -> DataFrame:
     """``(distinct_total)``: the exact number of groups of a column."""
-    return view.df.agg(F.count_distinct(value_key(F.col(f"`{column}`"))).alias("distinct_total"))
+    return view.df.agg(F.count_distinct(value_key(F.col(f"`{view.resolve(column)}`"))).alias("distinct_total"))

@@ -14,18 +14,31 @@ from pyspark.sql import functions as F
 from ..functions.text import contains, fold, matches
 
 RAW = "_raw"
+#: Cells that a file writes otherwise than they are shown, by column number: without the outer quotes, doubled quotes kept.
+WRITTEN = "_written"
 
 
 def _index(name: str, columns: list[str]) -> int | None:
     """A scope's column: ``#index`` in range first, then the first equal name, ASCII case aside."""
     if re.fullmatch(r"#\d+", name) and int(name[1:]) < len(columns):
         return int(name[1:])
+    return named(name, columns)
+
+
+def named(name: str, columns: list[str]) -> int | None:
+    """The first column of a name, ASCII case aside."""
     low = lambda s: re.sub("[A-Z]", lambda m: m[0].lower(), s)
     return next((i for i, c in enumerate(columns) if low(c) == low(name)), None)
 
 
-def term(text: str, columns: list[str]) -> Column:
-    """The condition of one term over ``columns``.
+def scoped(columns: list[str], at: int, written: bool) -> Column:
+    """What a search in one column looks at: the cell as the file writes it, where the view knows that."""
+    own = F.col(f"`{columns[at]}`")
+    return F.coalesce(F.try_element_at(WRITTEN, F.lit(columns[at])), own) if written else own
+
+
+def term(text: str, columns: list[str], written: bool = False) -> Column:
+    """The condition of one term over ``columns``; ``written``: the rows have the column ``_written``.
 
     A colon is a scope only behind a known column and before a value; else it is text, as in ``12:34:56``.
     A missing cell doesn't match, so its negation does. Blank text matches everything.
@@ -34,7 +47,7 @@ def term(text: str, columns: list[str]) -> Column:
         return F.lit(True)
     scope, colon, value = text.partition(":")
     at = _index(scope, columns) if colon and value else None
-    where = F.col(RAW) if at is None else F.col(f"`{columns[at]}`")
+    where = F.col(RAW) if at is None else scoped(columns, at, written)
     value = text if at is None else value
     if len(value) >= 2 and value[0] == value[-1] == '"':
         value = value[1:-1]
@@ -57,9 +70,9 @@ def any_of(*conditions: Column) -> Column:
     return out
 
 
-def filters(columns: list[str], wanted: dict[str, str], also: Column | None = None) -> Column:
+def filters(columns: list[str], wanted: dict[str, str], also: Column | None = None, written: bool = False) -> Column:
     """Column filters, all of them: each cell contains its value (``"`` left out; blank values don't filter)."""
-    own = [contains(F.col(f"`{c}`"), v.replace('"', "")) for c, v in wanted.items() if c in columns and v.strip()]
+    own = [contains(scoped(columns, columns.index(c), written), v.replace('"', "")) for c, v in wanted.items() if c in columns and v.strip()]
     return all_of(*own, *([also] if also is not None else []))
 
 
@@ -69,9 +82,9 @@ def pasted(text: str) -> list[str]:
     return list(dict.fromkeys(p for p in parts if p))
 
 
-def any_pasted(text: str, columns: list[str]) -> Column:
+def any_pasted(text: str, columns: list[str], written: bool = False) -> Column:
     """Rows with any of the pasted values."""
-    return any_of(*(term(p, columns) for p in pasted(text)))
+    return any_of(*(term(p, columns, written) for p in pasted(text)))
 
 
-__all__ = ["RAW", "all_of", "any_of", "any_pasted", "filters", "fold", "pasted", "term"]
+__all__ = ["RAW", "WRITTEN", "all_of", "any_of", "any_pasted", "filters", "fold", "pasted", "term"]

@@ -12,7 +12,13 @@ from pyspark.sql import functions as F
 from ..functions.text import csv_cell, value_key
 from . import search as s
 
-ROW, RAW = "_row_id", s.RAW
+ROW, RAW, WRITTEN = "_row_id", s.RAW, s.WRITTEN
+#: The flag of :func:`flagged`.
+TAGGED = "_tagged"
+
+
+class UnknownColumn(ValueError):
+    """A column that a view hasn't."""
 
 
 @dataclass(frozen=True)
@@ -25,6 +31,16 @@ class View:
     #: How the file was read, with the delimiter that was guessed; None for views of tables.
     schema: object = None
 
+    def resolve(self, column: int | str) -> str:
+        """A column by its number or its name; the first of equal names, ASCII case aside."""
+        if isinstance(column, int):
+            at = column if 0 <= column < len(self.columns) else None
+        else:
+            at = self.columns.index(column) if column in self.columns else s.named(column, self.columns)
+        if at is None:
+            raise UnknownColumn(f"no column {column!r}")
+        return self.columns[at]
+
     # --- reading ---------------------------------------------------------
 
     def order(self) -> list[Column]:
@@ -45,6 +61,16 @@ class View:
         """
         return self.ordered().offset(max(0, offset)).limit(max(0, min(limit, most)))
 
+    def row_at(self, pos: int) -> DataFrame:
+        """``(_row_id)`` of the row at a place of the order, from 0; no row outside."""
+        return self.ordered().offset(max(0, pos)).limit(1 if pos >= 0 else 0).select(ROW)
+
+    def cell_at(self, pos: int, column: int | str) -> DataFrame:
+        """The cell at a place of the order, in one row; empty text outside and for absent cells."""
+        name = self.resolve(column)
+        own = self.ordered().offset(max(0, pos)).limit(1 if pos >= 0 else 0).select(f"`{name}`")
+        return own.agg(F.coalesce(F.first(f"`{name}`"), F.lit("")).alias(name))
+
     def placed(self) -> DataFrame:
         """All rows with ``pos``, their place in the order from 0: sorted by range, written, and numbered by partition.
 
@@ -89,21 +115,26 @@ class View:
 
     def where(self, condition: Column | str) -> View:
         """Rows that meet a condition, a search term if it is text; order kept."""
-        condition = s.term(condition, self.columns) if isinstance(condition, str) else condition
+        condition = self.term(condition) if isinstance(condition, str) else condition
         return replace(self, df=self.df.where(condition))
 
+    @property
+    def written(self) -> bool:
+        """Whether rows know how the file writes their cells."""
+        return WRITTEN in self.df.columns
+
     def term(self, text: str) -> Column:
-        return s.term(text, self.columns)
+        return s.term(text, self.columns, self.written)
 
-    def sort(self, *keys: tuple[str, bool]) -> View:
-        """Stable: rows equal under the new keys keep the order they have. Unknown columns don't order."""
-        new = tuple((c, up) for c, up in keys if c in self.columns)
+    def sort(self, *keys: tuple[int | str, bool]) -> View:
+        """Stable: rows equal under the new keys keep the order they have. Columns by name or number."""
+        new = tuple((self.resolve(c), up) for c, up in keys)
         taken = {c for c, _ in new}
         return replace(self, keys=(*new, *((c, up) for c, up in self.keys if c not in taken)))
 
-    def project(self, *columns: str) -> View:
-        """Other visible columns, in this order; row id, raw record and the columns of the order stay in the rows."""
-        return replace(self, columns=list(columns))
+    def project(self, *columns: int | str) -> View:
+        """Other visible columns, in this order, by name or number; row id, raw record and the columns of the order stay in the rows."""
+        return replace(self, columns=[self.resolve(c) for c in columns])
 
     def tagged(self, tags: DataFrame) -> View:
         """Rows whose id is among ``tags`` (_row_id); order kept, repeated tags don't matter."""
@@ -136,6 +167,27 @@ def remove_tags(tags: DataFrame, view: View) -> DataFrame:
     return tags.select(ROW).join(view.tags(), ROW, "left_anti")
 
 
+def flagged(view: View, tags: DataFrame) -> View:
+    """The view with ``_tagged``: whether a row's id is among ``tags``; repeated tags don't matter."""
+    own = tags.select(ROW).distinct().withColumn(TAGGED, F.lit(True))
+    return replace(view, df=view.df.join(own, ROW, "left").withColumn(TAGGED, F.coalesce(TAGGED, F.lit(False))))
+
+
+def tag_ids(tags: DataFrame) -> DataFrame:
+    """The marked row ids, each once, in ascending order."""
+    return tags.select(ROW).distinct().orderBy(ROW)
+
+
+def tagged_count(tags: DataFrame) -> DataFrame:
+    """``(tagged)``: how many rows are marked."""
+    return tags.agg(F.count_distinct(ROW).alias("tagged"))
+
+
+def clear_tags(tags: DataFrame) -> DataFrame:
+    """No marks."""
+    return tags.select(ROW).where(F.lit(False))
+
+
 def from_table(df: DataFrame, row_id: str | Column, columns: list[str] | None = None) -> View:
     """A view of any table: all columns as text, ``row_id`` (unique, long) names the rows, nothing is shuffled.
 

@@ -5,7 +5,6 @@ Views of tables take the table's unique key as row id, so nothing is shuffled to
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import indicators, times
 from ..functions.text import LOWER, NUMBER, UPPER, single_line
 from ..operators import grouping, search
-from ..operators.timeline import ROW, View, add_tags, from_table, remove_tags
+from ..operators.timeline import ROW, View, add_tags, clear_tags, flagged, from_table, remove_tags, shared_dir, tag_ids, tagged_count
 from ..sources import delimited, export
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -210,6 +209,33 @@ def view_cell_lookup(spark, d):
     return view(spark, d, "orders").cell(7, "o_orderpriority")
 
 
+_BY_PRICE = _order([("o_totalprice", False)], "o_orderkey")
+
+
+@query("view_row_at_position", f"SELECT o_orderkey AS _row_id FROM orders WHERE o_orderstatus = 'F' ORDER BY {_BY_PRICE} LIMIT 1 OFFSET 41")
+def view_row_at_position(spark, d):
+    """The row id at a place of a filtered and sorted view."""
+    return view(spark, d, "orders").where("o_orderstatus:f").sort(("o_totalprice", False)).row_at(41)
+
+
+@query("view_cell_at_position", f"SELECT coalesce((SELECT CAST(o_orderpriority AS VARCHAR) FROM orders WHERE o_orderstatus = 'F' ORDER BY {_BY_PRICE} LIMIT 1 OFFSET 41), '') AS o_orderpriority")
+def view_cell_at_position(spark, d):
+    """The cell at a place of a filtered and sorted view; the column by its number."""
+    return view(spark, d, "orders").where("o_orderstatus:f").sort(("o_totalprice", False)).cell_at(41, 5)
+
+
+@query("view_cell_outside", "SELECT '' AS o_orderpriority")
+def view_cell_outside(spark, d):
+    """Empty text at a place behind the last row."""
+    return view(spark, d, "orders").where("o_orderstatus:nothing").cell_at(0, "O_OrderPriority")
+
+
+@query("columns_by_number_and_any_case", "SELECT CAST(o_orderstatus AS VARCHAR) AS value, count(*) AS n FROM orders GROUP BY 1")
+def columns_by_number_and_any_case(spark, d):
+    v = view(spark, d, "orders").project("O_ORDERSTATUS", 0)
+    return grouping.distribution(v, 0, None)
+
+
 @query("project_reorder_columns", _cells("orders", ["o_orderpriority", "o_orderkey"]))
 def project_reorder_columns(spark, d):
     return view(spark, d, "orders").project("o_orderpriority", "o_orderkey").cells()
@@ -254,6 +280,30 @@ def tags_added_and_removed(spark, d):
     return remove_tags(tags, v.where("o_custkey:/0$/"))
 
 
+@query("tags_flag_column", f"SELECT o_orderkey AS _row_id, ({_URGENT}) AS _tagged FROM orders")
+def tags_flag_column(spark, d):
+    v = view(spark, d, "orders")
+    tags = v.where("o_orderpriority:urgent").tags()
+    return flagged(v, tags.union(tags)).df.select(ROW, "_tagged")
+
+
+@query("tags_count", f"SELECT count(*) AS tagged FROM orders WHERE {_URGENT}")
+def tags_count(spark, d):
+    tags = view(spark, d, "orders").where("o_orderpriority:urgent").tags()
+    return tagged_count(tags.union(tags))
+
+
+@query("tags_cleared", "SELECT 0::BIGINT AS tagged")
+def tags_cleared(spark, d):
+    return tagged_count(clear_tags(view(spark, d, "orders").tags()))
+
+
+@query("tags_as_ids", f"SELECT o_orderkey AS _row_id FROM orders WHERE {_URGENT} ORDER BY 1")
+def tags_as_ids(spark, d):
+    tags = view(spark, d, "orders").where("o_orderpriority:urgent").tags()
+    return tag_ids(tags.union(tags))
+
+
 @query("untagged_rows", f"{_cells('orders')} WHERE NOT ({_URGENT})")
 def untagged_rows(spark, d):
     v = view(spark, d, "orders")
@@ -290,12 +340,7 @@ _exported("html", "pages", "'<tr>' || " + " || ".join(map(_html, TABLES["pages"]
 @query("csv_roundtrip", f"SELECT event_id - (SELECT min(event_id) FROM events) AS _row_id, {', '.join(f'{_text(c)} AS {c}' for c in TABLES['events'][1])}, {_raw('events')} AS _raw FROM events")
 def csv_roundtrip(spark, d):
     """Events written as CSV parts in order, and read back as one file of records with dense row ids."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    folder = f"{base.rstrip('/')}/tables/csv-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/tables/csv-{uuid.uuid4().hex}"
     export.write(view(spark, d, "events"), folder, "csv")
     columns = TABLES["events"][1]
     back = delimited.read(spark, folder, delimited.Schema(has_header=False, columns=tuple(columns)))
@@ -348,6 +393,19 @@ def ioc_lookup_url(spark, d):
     return _indicators(spark, d).where("found IS NOT NULL").select("event_id", indicators.lookup_url(F.col("found")).alias("url"))
 
 
+@query("ioc_detect_sha1_ipv6", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'sha1' WHEN 1 THEN 'ipv6' END AS type, CASE event_id % 3 WHEN 0 THEN sha1(CAST(event_id AS VARCHAR)) WHEN 1 THEN 'FE80::' || (event_id % 10) END AS value FROM events")
+def ioc_detect_sha1_ipv6(spark, d):
+    e, i = spark.read.parquet(f"{d}/events.parquet"), F.col("event_id")
+    text = F.when(i % 3 == 0, F.upper(F.sha1(i.cast("string")))).when(i % 3 == 1, F.concat(F.lit("FE80::"), (i % 10).cast("string"))).otherwise(F.lit("12:34"))
+    return e.select("event_id", indicators.indicator(text).alias("found")).select("event_id", "found.type", "found.value")
+
+
+@query("clipboard_tsv", "SELECT concat_ws(chr(9), o_orderstatus, o_orderpriority) AS line FROM orders UNION ALL SELECT 'o_orderstatus' || chr(9) || 'o_orderpriority'")
+def clipboard_tsv(spark, d):
+    """Rows and header without quoting."""
+    return export.plain_tsv(view(spark, d, "orders").project("o_orderstatus", "o_orderpriority"), header=True)
+
+
 @query("conditional_format", "SELECT event_id, CASE WHEN contains(event_type, 'error') THEN 'red' END AS colour FROM events")
 def conditional_format(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", indicators.colour(F.col("event_type")).alias("colour"))

@@ -35,8 +35,9 @@ class Session:
 
     def apply(self, view: View) -> View:
         """The view that this state describes, of the view of the whole file."""
-        out = view.where(search.filters(view.columns, self.filters, search.term(self.search, view.columns)))
+        out = view.where(search.filters(view.columns, self.filters, view.term(self.search), view.written))
         if self.tagged_only and self.tags_table:
             out = out.tagged(view.df.sparkSession.read.parquet(self.tags_table))
         shown = [c for c in view.columns if c not in self.hidden]
-        return out.sort(*self.sort).project(*(shown or view.columns))
+        known = [(c, up) for c, up in self.sort if c in view.columns]  # a state may be older than the file
+        return out.sort(*known).project(*(shown or view.columns))

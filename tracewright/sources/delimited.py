@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.timeline import RAW, ROW, View
+from ..operators.timeline import RAW, ROW, WRITTEN, View
 
 #: Delimiters by name, and the columns of a body file.
 DELIMITERS = {"comma": ",", "tab": "\t", "pipe": "|", "semicolon": ";", "space": " ", "\\t": "\t"}
@@ -191,6 +191,13 @@ def cell(raw: bytes, quote: bytes) -> str:
     return text(raw)
 
 
+def written(raw: bytes, quote: bytes) -> str | None:
+    """A field without its outer quotes, doubled quotes kept, if that isn't what is shown."""
+    if len(raw) > 3 and raw[:1] == quote == raw[-1:] and quote + quote in raw[1:-1]:
+        return text(raw[1:-1])
+    return None
+
+
 def _blocks(batches):
     """Runs of (path, block, lines) of a task, in file order."""
     at, lines = None, []
@@ -303,10 +310,13 @@ def read(spark: SparkSession, path: str | list[str], schema: Schema | None = Non
         return df
 
     def parsed(rows, found):
-        cells = _quoteless(found, delimiter, quote)
+        cells, as_written = _quoteless(found, delimiter, quote), None
         if cells is None:
-            cells = pa.array([[cell(f, quote) for f in split(x, delimiter, quote)[:width]] for x in found], pa.list_(pa.string()))
-        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), cells, pa.array(map(text, found), pa.string())], ["row", "cells", "raw"])
+            fields = [split(x, delimiter, quote)[:width] for x in found]
+            cells = pa.array([[cell(f, quote) for f in x] for x in fields], pa.list_(pa.string()))
+            as_written = [[(c, w) for c, f in zip(columns, x) if (w := written(f, quote)) is not None] or None if quote + quote in y else None for x, y in zip(fields, found)]
+        kept = pa.array(as_written or [None] * len(found), pa.map_(pa.string(), pa.string()))
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), cells, pa.array(map(text, found), pa.string()), kept], ["row", "cells", "raw", "written"])
 
     columns = list(schema.columns)
     if not columns:
@@ -318,8 +328,9 @@ def read(spark: SparkSession, path: str | list[str], schema: Schema | None = Non
             raise ValueError("no columns")
         columns = [cell(f, quote) if schema.has_header else "" for f in split(bytes(record[0][0]), delimiter, quote)]
     columns, width = _names(columns), len(columns)
-    df = records(parsed, "row long, cells array<string>, raw string", placed)
-    return View(df.select(F.col("row").alias(ROW), *(F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(columns)), F.col("raw").alias(RAW)), columns, schema=schema)
+    df = records(parsed, "row long, cells array<string>, raw string, written map<string,string>", placed)
+    cells = (F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(columns))
+    return View(df.select(F.col("row").alias(ROW), *cells, F.col("raw").alias(RAW), F.col("written").alias(WRITTEN)), columns, schema=schema)
 
 
 def _placed(measured, skip: int, most: int) -> dict:
@@ -391,6 +402,6 @@ def _names(names: list[str]) -> list[str]:
     for i, n in enumerate(names):
         k = n.lower()
         seen[k] = seen.get(k, 0) + 1
-        if seen[k] > 1 or k in (ROW, RAW):
+        if seen[k] > 1 or k in (ROW, RAW, WRITTEN):
             names[i] = f"{n} ({seen[k]})"
     return names

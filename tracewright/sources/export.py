@@ -94,6 +94,9 @@ def write(view: View, folder: str, form: str, columns: list[str] | None = None)
 
 
 def plain_tsv(view: View, header: bool = False) -> DataFrame:
-    """Rows as tab-joined cells without quoting, as for a clipboard."""
-    rows = view.ordered().select(F.concat_ws("\t", *map(_cell, view.columns)).alias("line"))
-    return view.df.sparkSession.createDataFrame([("\t".join(view.columns),)], "line string").union(rows) if header else rows
+    """``(line)``: rows as tab-joined cells without quoting, in the view's order, as for a clipboard; the header first."""
+    if not header:
+        return view.ordered().select(F.concat_ws("\t", *map(_cell, view.columns)).alias("line"))
+    rows = view.df.select("*", F.lit(1).alias("_part"), F.concat_ws("\t", *map(_cell, view.columns)).alias("_line"))
+    top = view.df.sparkSession.range(1).select(F.lit(0).alias("_part"), F.lit("\t".join(view.columns)).alias("_line"))
+    return rows.unionByName(top, allowMissingColumns=True).orderBy("_part", *view.order()).select(F.col("_line").alias("line"))
