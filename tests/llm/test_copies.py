@@ -226,6 +226,57 @@ def test_pipeline_stages(spark):
     assert ids(out) < ids(docs) and out.groupBy("bin_id").agg(F.sum("n_tokens").alias("n")).where("n > 2048").count() == 0
 
 
+def test_pairs_at_the_threshold_are_linked(spark):
+    """500 pairs of texts that are 0.80 to 0.82 alike, each of them with words of its own: 0.99 of them or more link."""
+    rng = random.Random(17)
+    rows, pairs = [], []
+    while len(pairs) < 500:
+        n = rng.randint(60, 300)
+        a = [f"{len(pairs)}x{rng.randrange(10**6)}" for _ in range(n)]
+        b = list(a)
+        for at in rng.sample(range(n), max(1, n // 45 + rng.randint(-1, 1))):
+            b[at] = f"y{rng.randrange(10**6)}"
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+        if 0.80 <= len(x & y) / len(x | y) <= 0.82:
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [" ".join(a), " ".join(b)]
+    got = {r["id"]: r["component"] for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert sum(got[i] == got[j] for i, j in pairs) >= 495
+    assert len(set(got.values())) >= 500
+
+
+def test_stages_over_odd_and_empty_tables(spark, odd, none):
+    """Every stage keeps its columns; repeated ids and rows, nulls and columns of other names do no harm."""
+    import corpus_pipeline as p
+
+    for name, stage in p.STAGES:
+        out = stage(spark, odd, SMALL)
+        kept = out.collect()
+        if name == "packing":
+            assert sum(r["piece"] == 0 for r in kept) == odd.count()
+            continue
+        assert out.columns == list(p.COLUMNS)
+        if name == "pii":
+            assert len(kept) == odd.count() and sum(r["text"] is None for r in kept) == 1
+        if name == "simhash":  # blank texts are one group, and so are the four rows of one text
+            assert sorted(str(r["doc_id"]) for r in kept) == ["0", "3", "4", "6", "7", "8", "9", "None"]
+        assert stage(spark, none, SMALL).count() == 0
+
+
+def test_tables_are_dropped(spark):
+    from tracewright.llm import common
+
+    since = common.tables_so_far()
+    kept = common.cut(spark.range(3), "kept")
+    path = common._named[-1]
+    common.cut(spark.range(3), "gone")
+    gone = common._named[-1]
+    common.drop_tables(spark, since, keep=(path,))
+    assert kept.count() == 3 and common._named[since:] == [path]
+    with pytest.raises(Exception):
+        spark.read.parquet(gone)
+
+
 def test_blank_texts_and_copies_without_ids_leave_one(spark):
     import corpus_pipeline as p
 

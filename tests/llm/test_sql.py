@@ -17,6 +17,25 @@ def test_equals_sql(spark, duck, name):
     assert norm([r.asDict() for r in df.collect()], columns) == norm([dict(zip(columns, r)) for r in want.fetchall()], columns)
 
 
+@pytest.mark.parametrize("name", ["op9_substring", "op10_decontamination"])
+def test_equals_sql_with_nulls_and_repeats(spark, tmp_path, name):
+    """Null and blank texts and items, copies, long texts and passages that begin anywhere."""
+    import duckdb
+
+    a, b = " ".join(f"w{i}" for i in range(90)), " ".join(f"V{i % 7} v{i}" for i in range(60))
+    texts = [None, "", " \t ", a, a, f"x {a[:300]} y", b, f"{b} {a[40:]}", "one", "it is one, or TWO", "é " * 80, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(1, None), (2, ""), (3, a[100:200]), (4, "one"), (None, "two"), (5, b.lower()[20:90]), (6, "é é"), (7, "...")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(queries.SQL[name])
+    columns = [c[0] for c in want.description]
+    got = queries.QUERIES[name](spark, str(tmp_path)).collect()
+    assert norm([r.asDict() for r in got], columns) == norm([dict(zip(columns, r)) for r in want.fetchall()], columns)
+
+
 @pytest.fixture(scope="module")
 def labels(spark):
     return spark.createDataFrame([(0, 1, 0), (4, 0, 1), (4, 0, 1), (7, 1, None), (None, 1, 1), (8, None, 0)], "doc_id long, quality int, toxic int")

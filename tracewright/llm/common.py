@@ -29,14 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that this driver has named, in order; see :func:`drop_tables`.
+_named: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    _named.append(path)
+    return path
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and a lost executor costs no recomputation.
 
-    The table stays until the folder is cleared, since the plan that reads it is lazy.
+    The table stays until :func:`drop_tables`, since the plan that reads it is lazy.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
@@ -44,27 +50,41 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_so_far() -> int:
+    """A mark for :func:`drop_tables`."""
+    return len(_named)
+
+
+def drop_tables(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete the tables named after the mark ``since``, but for ``keep``: once a result is written, nothing reads them."""
+    _delete(spark, [p for p in _named[since:] if p not in keep])
+    _named[since:] = [p for p in _named[since:] if p in keep]
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    context = spark.sparkContext
+    for path in paths:  # by the file system that Spark wrote them with
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Scratch:
-    """Tables of one operator's steps, like :func:`cut`; ``drop`` deletes those that nothing reads any more."""
+    """Tables of one operator's steps, like :func:`cut`; ``drop`` deletes them once nothing reads them."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
-        path = new_path(self.spark, name)
-        self.paths.append(path)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = cut(df, name)
+        self.paths.append(_named[-1])
+        return out
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """A table that stays, since the result reads it."""
         return cut(df, name)
 
     def drop(self) -> None:
-        context = self.spark.sparkContext
-        for path in self.paths:  # by the file system that Spark wrote them with
-            at = context._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(self.spark, self.paths)
         self.paths = []
 
 

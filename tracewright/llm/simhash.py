@@ -198,17 +198,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for b in batches:
             sets = [shingles(t, words_each) for t in b.column(1).to_pylist()]
             got = [wide(h) for h in sets]
-            u = [xxhash.xxh3_64_intdigest(h.tobytes()) - 2**63 for h in sets]
-            own = [h.tobytes() for h in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(u, pa.int64()), pa.array([len(h) for h in sets], pa.int32()), *(pa.array([g[k] for g in got], pa.list_(pa.int64())) for k in (0, 1)), pa.array(own, pa.binary())], ["id", "u", "size", "f", "m", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(_name, sets), pa.int64()), pa.array([len(h) for h in sets], pa.int32()), *(pa.array([g[k] for g in got], pa.list_(pa.int64())) for k in (0, 1))], ["id", "u", "size", "f", "m"])
 
-    rows = cut(rows.mapInArrow(each, "id long, u long, size int, f array<long>, m array<long>, s binary"), "wide")
+    texts, rows = rows, cut(rows.mapInArrow(each, "id long, u long, size int, f array<long>, m array<long>"), "wide")
     nodes = rows.groupBy("u").agg(F.min("id").alias("node"), F.min_by(F.struct("size", "f", "m"), "id").alias("x"))
     nodes = cut(nodes.select("u", "node", "x.*"), "wide-nodes")
 
     keys = nodes.where("size > 0").select("u", F.posexplode("m").alias("at", "value")).select("u", "at", F.xxhash64("at", "value").alias("key"))
     n = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "wide-keys")
     met = cut(keys.join(n, "key"), "wide-met")
+    sets = cut(_sets(met.select("u").distinct(), texts, nodes, words_each), "wide-sets")
     weight = cut(met.groupBy("u").agg(F.sum("n").alias("weight")), "wide-weights")
     left = cut(met.join(nodes.drop("node").join(weight, "u"), "u").select("u", "size", "f", "m", "weight", "at", "key", "n"), "wide-left")
     whole, linked = left.columns, None
@@ -218,7 +217,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         leader = cut(leader.select("key", F.col("x.u").alias("b"), F.col("x.size").alias("nb"), F.col("x.f").alias("fb")), "wide-leaders")
         near = others.withColumnsRenamed({"size": "na", "f": "fa"}).join(leader, "key").where("u <> b").where(_may_be_alike(radius, least))
         near = cut(near.select(F.least("u", "b").alias("a"), F.greatest("u", "b").alias("b")).distinct(), "wide-edges")
-        new = cut(_verified(near, rows, nodes, least), "wide-links")
+        new = cut(_verified(near, sets, least), "wide-links")
         linked = cut(components(_with(linked, new), "similar"), "similar")
         left = left.select(*whole).join(linked.withColumnRenamed("node", "u"), "u", "left").withColumn("comp", F.coalesce("root", "u")).drop("root")
         # of buckets of two, the only pair has met
@@ -229,7 +228,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if lead.isEmpty():
             break
     if not left.isEmpty():
-        new = cut(_pairs_of_parts(left, rows, nodes, radius, least, part_rows), "wide-links")
+        new = cut(_pairs_of_parts(left, sets, radius, least, part_rows), "wide-links")
         linked = cut(components(_with(linked, new), "similar"), "similar")
     rooted = nodes.join(linked.withColumnRenamed("node", "u"), "u", "left").select("u", "node", F.coalesce("root", "u").alias("root"))
     classes = cut(rooted.groupBy("root").agg(F.min("node").alias("component")), "similar-classes")
@@ -242,10 +241,21 @@ def _with(linked: DataFrame | None, new: DataFrame) -> DataFrame:
     return new if linked is None else linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new)
 
 
-def _sets(wanted: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(u, s)`` of the nodes ``wanted`` (u, no repeats): the set of the row that stands for each."""
+def _name(h: np.ndarray) -> int:
+    """The name of a node: a hash of its set."""
+    return xxhash.xxh3_64_intdigest(h.tobytes()) - 2**63
+
+
+def _sets(wanted: DataFrame, texts: DataFrame, nodes: DataFrame, words_each: int) -> DataFrame:
+    """``(u, s)`` of the nodes ``wanted`` (u, no repeats): the set of one of ``texts`` (id, text) that it stands for, made again from the text."""
     ends = wanted.join(nodes.select("u", F.col("node").alias("id")), "u")
-    return rows.select("u", "id", "s").join(ends, ["u", "id"]).dropDuplicates(["u"]).select("u", "s")
+
+    def each(batches):
+        for b in batches:
+            got = [(u, h.tobytes()) for u, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if _name(h := shingles(t, words_each)) == u]
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in got], pa.int64()), pa.array([s for _, s in got], pa.binary())], ["u", "s"])
+
+    return texts.join(ends, "id").select("u", "text").mapInArrow(each, "u long, s binary").dropDuplicates(["u"])
 
 
 def _alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
@@ -253,20 +263,20 @@ def _alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
     return both >= least * (len(x) + len(y) - both)
 
 
-def _verified(edges: DataFrame, rows: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Edges (a, b) whose sets have a Jaccard similarity of ``least`` or more."""
+def _verified(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) whose ``sets`` (u, s) have a Jaccard similarity of ``least`` or more."""
 
     def alike(batches):
         for b in batches:
             ok = [_alike(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), least) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    own = cut(_sets(edges.select(F.explode(F.array("a", "b")).alias("u")).distinct(), rows, nodes), "wide-sets")
+    own = cut(sets.join(edges.select(F.explode(F.array("a", "b")).alias("u")).distinct(), "u"), "wide-sets")
     pairs = edges.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     return pairs.mapInArrow(alike, "a long, b long")
 
 
-def _pairs_of_parts(left: DataFrame, rows: DataFrame, nodes: DataFrame, radius: int, least: float, part_rows: int) -> DataFrame:
+def _pairs_of_parts(left: DataFrame, sets: DataFrame, radius: int, least: float, part_rows: int) -> DataFrame:
     """Links (a, b) that connect what the links between two components in a bucket of ``left`` connect.
 
     ``most`` is a bucket's largest component, of ``c`` rows: pairs inside it aren't looked at, so its parts meet only others.
@@ -281,7 +291,6 @@ def _pairs_of_parts(left: DataFrame, rows: DataFrame, nodes: DataFrame, radius:
     tasks = 1 + left.where(f"n <= {part_rows}").count() // (2 * part_rows)
     bin_ = F.when(F.col("n") > part_rows, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(tasks)))
     sent = sent.select(bin_.alias("bin"), "key", "at", "low", "high", "mine", "u", "comp", "f", "m")
-    own = cut(_sets(left.select("u").distinct(), rows, nodes), "wide-sets")
 
     def meet(t: pa.Table) -> pa.Table:
         groups: dict = {}
@@ -315,4 +324,4 @@ def _pairs_of_parts(left: DataFrame, rows: DataFrame, nodes: DataFrame, radius:
                         own_now[own_now == old] = new
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return sent.join(own, "u").groupBy("bin", "low", "high").applyInArrow(meet, "a long, b long")
+    return sent.join(sets, "u").groupBy("bin", "low", "high").applyInArrow(meet, "a long, b long")
