@@ -41,8 +41,11 @@ def value_key(c: Column) -> Column:
 
     Numbers come first, by value, -0 before 0; then texts, trimmed and folded. Null counts as empty text.
     """
-    v = trim(F.coalesce(c, F.lit("")))
-    number = F.when(v.rlike(NUMBER), v.try_cast("double"))
+    c = F.coalesce(c, F.lit(""))
+    visible = lambda code: code.between(33, 126)  # noqa: E731  ASCII and no white space, so that patterns are spared
+    v = F.when(visible(F.ascii(c)) & visible(F.ascii(F.right(c, F.lit(1)))), c).otherwise(trim(c))
+    first = F.ascii(v)
+    number = F.when((first.between(43, 57) | first.isin(73, 105)) & v.rlike(NUMBER), v.try_cast("double"))  # a sign, a point, a digit, or I
     isn = number.isNotNull()
     return F.struct(
         F.when(isn, 0).otherwise(1).alias("kind"), number.alias("number"),
@@ -118,4 +121,5 @@ def single_line(c: Column) -> Column:
 def csv_cell(c: Column, delimiter: str = ",") -> Column:
     """A cell as a delimited file holds it: quoted only if it has the delimiter, a quote or a line end."""
     c = F.coalesce(c, F.lit(""))
-    return F.when(c.rlike(f"[{re.escape(delimiter)}\"\n\r]"), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    odd = F.contains(c, F.lit(delimiter)) | F.contains(c, F.lit('"')) | F.contains(c, F.lit("\n")) | F.contains(c, F.lit("\r"))
+    return F.when(odd, F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)

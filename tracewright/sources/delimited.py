@@ -133,6 +133,10 @@ def mark(lines: list[bytes], inside: bool, since: int, most: int, delimiter: byt
             waiting.append(i)
         elif like and like[i] and head:
             break
+        elif quote not in x:
+            begins.append(True)
+            at += len(x) + 1
+            continue
         begins.append(not inside)
         still, where = inside_after(x, inside, delimiter, quote)
         end = at + len(x)
