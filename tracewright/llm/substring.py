@@ -128,7 +128,7 @@ def _fresh(batches, window: int):
             if key not in seen and len(w := _split(t)) >= window:
                 seen.add(key)
                 out.append((i, key, w))
-        if len(seen) > 1_000_000:
+        if len(seen) > 300_000:
             seen.clear()
         yield b, out
 
