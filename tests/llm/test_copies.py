@@ -111,7 +111,7 @@ def jaccard_roots(texts):
     return roots(len(texts), near), grams
 
 
-def test_a_hot_group_alike_by_halves_loses_no_links(spark):
+def test_a_hot_group_alike_by_halves_loses_no_links(spark, monkeypatch):
     """Some 150 texts that are 0.75 to 0.85 alike, few of them linked to any one leader; and short texts at 0.8."""
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
@@ -128,8 +128,9 @@ def test_a_hot_group_alike_by_halves_loses_no_links(spark):
     alike = [len(grams[i] & grams[j]) / len(grams[i] | grams[j]) for i in range(150) for j in range(i)]
     assert sum(0.75 <= x <= 0.85 for x in alike) > 1000 and len({*want[:150]}) > 1
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for rows in (20, 500):  # split and whole buckets
-        got = {r["id"]: r["component"] for r in simhash.similar_groups(df, part_rows=rows).collect()}
+    for rows, most in ((20, 0), (500, 1_000_000)):  # split and whole buckets; texts shuffled and not
+        monkeypatch.setattr(simhash, "BROADCAST_UP_TO", most)
+        got = {r["id"]: r["component"] for r in simhash.similar_groups(df.union(df) if most else df, part_rows=rows).collect()}
         assert [got[i] for i in range(len(texts))] == want
 
 

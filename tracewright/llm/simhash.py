@@ -122,6 +122,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 WIDE = 8
 #: Shingles below which a fingerprint says too little: pairs with such a set skip its test.
 FEW = 64
+#: Texts whose sets are wanted (16 bytes each) up to this many are broadcast to where the texts are; beyond that texts are shuffled.
+BROADCAST_UP_TO = 1_000_000
 #: Rows of a bucket that meet in one task; a larger bucket is split and its parts meet two by two.
 PART_ROWS = 500
 
@@ -207,7 +209,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keys = nodes.where("size > 0").select("u", F.posexplode("m").alias("at", "value")).select("u", "at", F.xxhash64("at", "value").alias("key"))
     n = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "wide-keys")
     met = cut(keys.join(n, "key"), "wide-met")
-    sets = cut(_sets(met.select("u").distinct(), texts, nodes, words_each), "wide-sets")
+    sets = _sets(met.select("u").distinct(), texts, nodes, words_each)
+    repeated = rows.groupBy("u", "id").count().where("count > 1")
+    sets = cut(sets if repeated.isEmpty() else sets.dropDuplicates(["u"]), "wide-sets")
     weight = cut(met.groupBy("u").agg(F.sum("n").alias("weight")), "wide-weights")
     left = cut(met.join(nodes.drop("node").join(weight, "u"), "u").select("u", "size", "f", "m", "weight", "at", "key", "n"), "wide-left")
     whole, linked = left.columns, None
@@ -247,15 +251,19 @@ def _name(h: np.ndarray) -> int:
 
 
 def _sets(wanted: DataFrame, texts: DataFrame, nodes: DataFrame, words_each: int) -> DataFrame:
-    """``(u, s)`` of the nodes ``wanted`` (u, no repeats): the set of one of ``texts`` (id, text) that it stands for, made again from the text."""
-    ends = wanted.join(nodes.select("u", F.col("node").alias("id")), "u")
+    """``(u, s)`` of the nodes ``wanted`` (u, no repeats): the set of a text of ``texts`` (id, text) that it stands for, made again from the text.
+
+    Rows that repeat an id and a text give a set each.
+    """
+    ends = cut(wanted.join(nodes.select("u", F.col("node").alias("id")), "u"), "wide-ends")
+    ends = F.broadcast(ends) if ends.count() <= BROADCAST_UP_TO else ends
 
     def each(batches):
         for b in batches:
             got = [(u, h.tobytes()) for u, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if _name(h := shingles(t, words_each)) == u]
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in got], pa.int64()), pa.array([s for _, s in got], pa.binary())], ["u", "s"])
 
-    return texts.join(ends, "id").select("u", "text").mapInArrow(each, "u long, s binary").dropDuplicates(["u"])
+    return texts.join(ends, "id").select("u", "text").mapInArrow(each, "u long, s binary")
 
 
 def _alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
