@@ -40,7 +40,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = groups.join(keyed.select("_row", "doc_id"), "_row")
     first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("x"), F.count("*").alias("n"))
     first = cut(first.where("n > 1").select("component", F.col("x._row").alias("stays")), "first-of-groups")
-    gone = groups.join(first, "component").where("_row <> stays").select("_row")
+    gone = cut(groups.join(first, "component").where("_row <> stays").select("_row"), "gone")
+    gone = F.broadcast(gone) if gone.count() <= simhash.BROADCAST_UP_TO else gone  # beyond that the documents are shuffled
     return keyed.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
