@@ -1,12 +1,12 @@
-"""The queries of the ten operators over the driver's tables, and their SQL where SQL can say it."""
+"""The queries of the thirteen operators over the driver's tables, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embeddings, ordinal, packing, pii, simhash, substring, tokenfile, toxicity, warc
-from .common import table
+from . import decontam, embeddings, fim, ordinal, packing, pii, resample, rules, simhash, substring, tokenfile, toxicity, warc
+from .common import cut, table
 
 GRADES = 3
 
@@ -84,7 +84,28 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_quality, op4_tokens, op5_pii, op6_simhash, op7_embeddings, op8_warc, op9_substring, op10_decontamination)}
+def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document and the verdict of the base rules and of a decision list learned on rows that aren't held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    stats = cut(rules.statistics(docs), "statistics")
+    out = rules.judge(stats, rules.learn(stats, labels.where(~toxicity.held_out())))
+    return out.select(F.col("id").alias("doc_id"), *rules.COUNTS[:5], "base_failed", "kept", "rule")
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut at lines, its middle last, and the text rebuilt from that."""
+    out = fim.transform(table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50, unit="line")
+    back = fim.restored(F.col("output"), F.col("form"))
+    return out.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents of 20 words or more, drawn towards the words of the benchmark; every document's weight and score."""
+    out = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), dims=10_000, longest=1, percent=10, least_words=20, seed=2024)
+    return out.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_quality, op4_tokens, op5_pii, op6_simhash, op7_embeddings, op8_warc, op9_substring, op10_decontamination, op11_rules, op12_fim, op13_resampling)}
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 _ITEM_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -131,4 +152,32 @@ o AS (SELECT doc_id, list(DISTINCT CAST(item_id AS VARCHAR)) AS l FROM h JOIN x
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(l), 0) AS n_items,
   sha256(coalesce(array_to_string(list_sort(l), ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN o USING (doc_id)""",
+    "op12_fim": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+  sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT *, len(u) AS n, CAST('0x' || x[1:8] AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || x[9:16] AS BIGINT) % (len(u) + 1) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || x[17:24] AS BIGINT) % 100 >= 100 THEN 'plain'
+    WHEN CAST('0x' || x[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+c AS (SELECT *, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1:], '') AS s FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM c""",
+    "op13_resampling": rf"""
+WITH tab AS MATERIALIZED (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS z FROM range(256) AS r(i)),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, '{_ITEM_WORDS}') AS w FROM documents),
+dw AS MATERIALIZED (SELECT r, f, count(*) AS k FROM (SELECT r, unnest(w) AS f FROM d) GROUP BY r, f),
+bw AS MATERIALIZED (SELECT f, count(*) AS k FROM (SELECT unnest(regexp_extract_all({_LOW}, '{_ITEM_WORDS}')) AS f FROM benchmark) GROUP BY f),
+b AS MATERIALIZED (SELECT f, xor(list_reduce(list_transform(range(CAST(octet_length(encode(f)) AS BIGINT)), lambda j: CAST('0x' || hex(encode(f))[2 * j + 1:2 * j + 2] AS BIGINT)),
+  lambda c, y: xor(c >> 8, z[xor(c, y) % 256 + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM (SELECT f FROM dw UNION SELECT f FROM bw) CROSS JOIN tab),
+g AS (SELECT q.bucket, coalesce(s, 0) AS s, coalesce(t, 0) AS t FROM (SELECT range AS bucket FROM range(10000)) q
+  LEFT JOIN (SELECT bucket, sum(k) AS s FROM dw JOIN b USING (f) GROUP BY bucket) x USING (bucket)
+  LEFT JOIN (SELECT bucket, sum(k) AS t FROM bw JOIN b USING (f) GROUP BY bucket) y USING (bucket)),
+e AS (SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * (sum(s) OVER () + 10000) / (CAST(s + 1 AS DOUBLE) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM g),
+v AS (SELECT r, sum(k * gain) AS weight FROM dw JOIN b USING (f) JOIN e USING (bucket) GROUP BY r),
+c AS (SELECT r, doc_id, len(w) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+  CAST('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) AS h FROM d LEFT JOIN v USING (r)),
+o AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM c),
+k AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) FILTER (n_features >= 20) OVER () AS total FROM o)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * total // 100 THEN place END AS rank FROM k""",
 }
