@@ -52,6 +52,21 @@ def test_several_files_follow_one_another(spark, tmp_path, blocks):
     assert [r["h"] for r in v.df.orderBy("_row_id").collect()] == ["x\n0", "x\n0", "x\n1", "x\n1", "x\n2", "x\n2"]
 
 
+def test_empty_files_in_front(spark, tmp_path):
+    """The first file with bytes gives the header and the guess; lines of any length are sniffed by their beginnings."""
+    for name, data in (("a", b""), ("b", b"h|i\n" + b"x" * 200_000 + b"|2\n"), ("c", b""), ("d", b"3|4\n")):
+        (tmp_path / f"{name}.csv").write_bytes(data)
+    v = d.read(spark, str(tmp_path))
+    assert v.columns == ["h", "i"] and [r["i"] for r in v.df.orderBy("_row_id").collect()] == ["2"]  # each file has a header
+    assert [len(x) for x in d._head(spark, [str(tmp_path / "b.csv")])] == [3, d.HEAD_BYTES]
+    with pytest.raises(d.EmptyInput):
+        d.read(spark, [str(tmp_path / "a.csv"), str(tmp_path / "c.csv")])
+
+
+def test_dirty_cells_with_a_byte_order_mark():
+    assert d.text(b"\xef\xbb\xbfa\xff") == "a\ufffd" and d.text(b"\xff\xfea\x01") == "\u0161" and d.text(b"\xfe\xff\x01a\xd8") == "\u0161\ufffd" and d.text(b"a\xff") == "aÿ"
+
+
 def scan(data, most=1 << 20):
     """Records by one pass over the bytes; line ends inside a field wait until it closes or has run on for too long."""
     ends, waiting, inside, opened, i = [], [], False, 0, 0

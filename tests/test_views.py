@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import indicators, times
-from tracewright.operators import grouping
+from tracewright.operators import grouping, timeline
 from tracewright.operators.timeline import UnknownColumn, add_tags, clear_tags, flagged, from_table, remove_tags, tag_ids, tagged_count
 from tracewright.session import Session
 from tracewright.sources import export
@@ -45,6 +45,18 @@ def test_places(rows):
     assert [v.cell_at(p, c).first()[0] for p, c in ((0, "note"), (3, "note"), (5, "grp"), (-1, 0))] == ["tab\there\nline", "", "", ""]
 
 
+@pytest.mark.parametrize("sorts", [[], [("y", True), ("x", False)]])
+def test_far_places_equal_near_ones(spark, sorts):
+    """Pages by counting, with hot keys, both zeros, infinities, texts and ties, from the beginning to behind the end."""
+    df = spark.range(700).selectExpr("id", "CASE WHEN id % 3 = 0 THEN '7' WHEN id % 7 = 0 THEN concat('t', id % 10) WHEN id % 11 = 0 THEN '-0' WHEN id % 13 = 0 THEN 'inf' WHEN id % 17 = 0 THEN null ELSE cast(id % 100 AS string) END AS x", "'same' AS y")
+    view = from_table(df, "id", ["x", "y"]).sort(*sorts)
+    want = ids(view)
+    for offset, limit in ((333, 20), (690, 50), (700, 5)):
+        assert [r["_row_id"] for r in view.page(offset, limit, near=30).collect()] == want[offset : offset + limit]
+    assert [r[0] for r in view.row_at(350, near=1).collect()] == [want[350]] and view.cell_at(9999, "x", near=1).first()[0] == ""
+    timeline.drop_tables(spark)
+
+
 def test_clipboard(rows):
     v = rows.where("grp:a").sort(("value", True)).project("value", "grp")
     assert [r[0] for r in export.plain_tsv(v, header=True).collect()] == ["value\tgrp", "2\ta", "5\ta", "5\ta"]
@@ -54,7 +66,7 @@ def test_clipboard(rows):
 def test_projection_and_cells(rows):
     v = rows.project("value", "grp")
     assert v.cells().columns == ["_row_id", "value", "grp"]
-    assert rows.cell(4, "note").first()[0] == "" and rows.cell(77, "note").count() == 0
+    assert rows.cell(4, "note").first()[0] == "" and rows.cell(77, "note").first()[0] == "" and rows.cell(1, 2).first()[0] == "has,comma"
     assert rows.joined_cells().where("_row_id = 4").first()["cells"] == "a\x012\x01"
     assert rows.detail(0).first()[0] == 'grp     b\nvalue   1\nnote    say "hi"'
     assert rows.line_numbers().agg(F.max("line")).first()[0] == 5
@@ -102,6 +114,11 @@ def test_session(spark, rows, tmp_path):
     assert back == s
     v = back.apply(rows)
     assert v.columns == ["value", "note"] and ids(v) == [1, 3]
+    again = Session.capture(v, rows, search="value:5", filters={"grp": "a"}, tags_table=str(tmp_path / "tags"), tagged_only=True)
+    assert again == s and Session.capture(rows, rows) == Session()
+    grouped = Session(search="grp:/./", group=["GRP", "gone", "value"], sort=[("note", False)]).groups(rows)
+    assert sorted((r["depth"], r["label"], r["n"]) for r in grouped.collect()) == [(1, "a", 3), (1, "b", 2), (2, "1", 1), (2, "2", 1), (2, "5", 2), (2, "9", 1)]
+    assert Session(group=["gone"]).groups(rows) is None
 
 
 @pytest.mark.parametrize("value, form", [("2031-02-18T09:21:40ZTUTC", "iso8601"), (" 2031-02-18 09:21:40", "iso8601"), ("1717777777", "epochSeconds"), ("1717777777123", "epochMillis"), ("svchost.exe", None), ("12345", None), ("", None), (None, None), ("99999999999", None)])

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import value_key
-from .timeline import ROW, View
+from ..functions.text import key_fields, value_key
+from .timeline import View
 
 
 def level(view: View, columns: list[int | str], path: list[str] | None = None) -> DataFrame:
@@ -18,22 +18,24 @@ def level(view: View, columns: list[int | str], path: list[str] | None = None) -
     df, columns = view.df, [view.resolve(c) for c in columns]
     for c, cell in zip(columns, path or []):
         df = df.where(value_key(F.col(f"`{c}`")) == value_key(F.lit(cell)))
-    keys = [value_key(F.col(f"`{c}`")).alias(f"key{i}") for i, c in enumerate(columns, 1)]
-    cells = F.struct(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(f"label{i}") for i, c in enumerate(columns, 1)))
-    names = [f"key{i}" for i in range(1, len(columns) + 1)]
-    labels = [f"label{i}" for i in range(1, len(columns) + 1)]
-    first = F.struct(*(_forward(c, up) for c, up in view.keys), F.col(ROW))
-    out = df.groupBy(*keys).agg(F.count("*").alias("n"), F.min_by(cells, first).alias("first"))
-    return out.select(*names, *(f"first.{x}" for x in labels), "n")
+    depth = len(columns)
+    out = _rows(df, view, columns).groupBy(*(x for i in range(1, depth + 1) for x in _fields(i))).agg(F.count("*").alias("n"), F.min_by("cells", "place").alias("first"))
+    return out.select(*(_key(i) for i in range(1, depth + 1)), *(F.col(f"first.label{i}") for i in range(1, depth + 1)), "n")
+
 
+def _fields(i: int) -> tuple[str, str]:
+    return f"number{i}", f"text{i}"
 
-def _forward(column: str, up: bool):
-    """A key whose ascending order is the order of ``column``; for descending ones every part is turned round."""
-    k = value_key(F.col(f"`{column}`"))
-    if up:
-        return k
-    back = F.concat(F.translate(F.hex(F.encode(k["text"], "UTF-8")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("~"))
-    return F.struct(-k["kind"], -k["number"], -k["sign"], back)
+
+def _key(i: int) -> Column:
+    return F.struct(F.col(f"number{i}").alias("number"), F.col(f"text{i}").alias("text")).alias(f"key{i}")
+
+
+def _rows(df: DataFrame, view: View, columns: list[str]) -> DataFrame:
+    """Of each row the fields of its keys as plain columns, its cells, and its place in the view's order."""
+    fields = [f.alias(n) for i, c in enumerate(columns, 1) for n, f in zip(_fields(i), key_fields(F.col(f"`{c}`")))]
+    cells = F.struct(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(f"label{i}") for i, c in enumerate(columns, 1)))
+    return df.select(*fields, cells.alias("cells"), view.place_key().alias("place"))
 
 
 def tree(view: View, columns: list[str]) -> list[DataFrame]:
@@ -41,6 +43,36 @@ def tree(view: View, columns: list[str]) -> list[DataFrame]:
     return [level(view, columns[:d]).orderBy(*(f"key{i}" for i in range(1, d + 1))) for d in range(1, len(columns) + 1)]
 
 
+def nodes(view: View, columns: list[int | str]) -> DataFrame:
+    """``(depth, key1.., label, n)``: the groups of all levels at once, from one aggregation over the prefixes of ``columns``.
+
+    Each row is counted on every level before anything is shuffled, so there is one shuffle, of a row a group and task. Keys
+    deeper than a node are null; a node's parent has its keys but the last. ``label`` is the node's own cell, of its first row.
+    """
+    columns = [view.resolve(c) for c in columns]
+    names = [_fields(i) for i in range(1, len(columns) + 1)]
+    flat = [x for pair in names for x in pair]
+    prefixes = [[x for pair in names[:d] for x in pair] for d in range(1, len(columns) + 1)]
+    out = _rows(view.df, view, columns).groupingSets(prefixes, *flat).agg(F.grouping_id(*flat).alias("id"), F.count("*").alias("n"), F.min_by("cells", "place").alias("first"))
+    depth = F.lit(len(columns)) - (F.bit_count("id") / 2).cast("int")
+    keys = [F.when(depth >= i, _key(i)).alias(f"key{i}") for i in range(1, len(columns) + 1)]
+    label = F.element_at(F.array(*(F.col(f"first.label{i}") for i in range(1, len(columns) + 1))), depth)
+    return out.select(depth.alias("depth"), *keys, label.alias("label"), "n")
+
+
+def with_children(found: DataFrame, columns: int) -> DataFrame:
+    """:func:`nodes` of so many columns with ``n_children``, the number of groups right below each; a leaf has none.
+
+    Counted from the nodes, not from the rows; a row a node is shuffled.
+    """
+    keys = [f"key{i}" for i in range(1, columns + 1)]
+    parent = [F.when(F.col("depth") > i, F.col(k)).alias(k) for i, k in enumerate(keys, 1)]
+    below = found.where("depth > 1").select((F.col("depth") - 1).alias("depth"), *parent).groupBy("depth", *keys).agg(F.count("*").alias("n_children"))
+    same = [F.col("a.depth") == F.col("b.depth"), *(F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys)]
+    joined = found.alias("a").join(below.alias("b"), same, "left")
+    return joined.select("a.*", F.coalesce("b.n_children", F.lit(0)).alias("n_children"))
+
+
 def leaves(view: View, path: dict[str, str]) -> View:
     """The rows of one group, in the view's order."""
     condition = F.lit(True)

@@ -7,11 +7,12 @@ these behind a scope, ``column:`` or ``#index:``. Without a scope the whole raw
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import contains, fold, matches
+from ..functions.text import contains, contains_any, either, fold, matches
 
 RAW = "_raw"
 #: Cells that a file writes otherwise than they are shown, by column number: without the outer quotes, doubled quotes kept.
@@ -37,23 +38,32 @@ def scoped(columns: list[str], at: int, written: bool) -> Column:
     return F.coalesce(F.try_element_at(WRITTEN, F.lit(columns[at])), own) if written else own
 
 
+def _parsed(text: str, columns: list[str]) -> tuple[int | None, str, bool]:
+    """(column or None, what is looked for, whether that is a pattern) of one term; quotes around all of it or around its value go."""
+    quoted = lambda x: x[1:-1] if len(x) >= 2 and x[0] == x[-1] == '"' else x
+    text = quoted(text)
+    scope, colon, value = text.partition(":")
+    at = _index(scope, columns) if colon and value else None
+    value = quoted(text if at is None else value)
+    if len(value) >= 2 and value[0] == value[-1] == "/":
+        return at, value[1:-1], True
+    return at, value, False
+
+
+def _where(at: int | None, columns: list[str], written: bool) -> Column:
+    return F.col(RAW) if at is None else scoped(columns, at, written)
+
+
 def term(text: str, columns: list[str], written: bool = False) -> Column:
     """The condition of one term over ``columns``; ``written``: the rows have the column ``_written``.
 
-    A colon is a scope only behind a known column and before a value; else it is text, as in ``12:34:56``.
+    A colon is a scope only behind a known column and before a value, in quotes or not; else it is text, as in ``12:34:56``.
     A missing cell doesn't match, so its negation does. Blank text matches everything.
     """
     if not text.strip():
         return F.lit(True)
-    scope, colon, value = text.partition(":")
-    at = _index(scope, columns) if colon and value else None
-    where = F.col(RAW) if at is None else scoped(columns, at, written)
-    value = text if at is None else value
-    if len(value) >= 2 and value[0] == value[-1] == '"':
-        value = value[1:-1]
-    if len(value) >= 2 and value[0] == value[-1] == "/":
-        return matches(where, value[1:-1])
-    return contains(where, value)
+    at, value, pattern = _parsed(text, columns)
+    return (matches if pattern else contains)(_where(at, columns, written), value)
 
 
 def all_of(*conditions: Column) -> Column:
@@ -64,10 +74,7 @@ def all_of(*conditions: Column) -> Column:
 
 
 def any_of(*conditions: Column) -> Column:
-    out = F.lit(False)
-    for c in conditions:
-        out |= c
-    return out
+    return either(*conditions)
 
 
 def filters(columns: list[str], wanted: dict[str, str], also: Column | None = None, written: bool = False) -> Column:
@@ -83,8 +90,23 @@ def pasted(text: str) -> list[str]:
 
 
 def any_pasted(text: str, columns: list[str], written: bool = False) -> Column:
-    """Rows with any of the pasted values."""
-    return any_of(*(term(p, columns, written) for p in pasted(text)))
-
-
-__all__ = ["RAW", "WRITTEN", "all_of", "any_of", "any_pasted", "filters", "fold", "pasted", "term"]
+    """Rows with any of the pasted values; see :func:`any_value`."""
+    return any_value(pasted(text), columns, written)
+
+
+def any_value(values: Iterable[str], columns: list[str], written: bool = False) -> Column:
+    """Rows that meet any of many terms. The plain ones of a column, or of the record, are looked for together, in one pass over it."""
+    plain: dict[int | None, list[str]] = {}
+    patterns: list[Column] = []
+    for v in dict.fromkeys(values):
+        if not v.strip():
+            return F.lit(True)
+        at, value, pattern = _parsed(v, columns)
+        if pattern:
+            patterns.append(matches(_where(at, columns, written), value))
+        else:
+            plain.setdefault(at, []).append(value)
+    return any_of(*(contains_any(_where(at, columns, written), own) for at, own in plain.items()), *patterns)
+
+
+__all__ = ["RAW", "WRITTEN", "all_of", "any_of", "any_pasted", "any_value", "filters", "fold", "pasted", "term"]

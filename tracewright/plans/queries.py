@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +107,23 @@ _search("column_filters_composed", "orders", lambda v: search.filters(v.columns,
 _search("smart_paste_or", "part", lambda v: search.any_pasted('Brand#11\n"Brand#22",\tBrand#11\r\n', v.columns), f"{_raw_has('part', 'brand#11')} OR {_raw_has('part', 'brand#22')}")
 
 
+_search("search_phrase_with_scope", "part", lambda v: v.term('"P_NAME:Red Widget"'), _has("p_name", "red widget"))
+_search("search_regex_backtracking", "documents", lambda v: v.term(r"text:/([a-z]+[ ,]*)+\.\n([A-Z][a-z]+ ?)+ is/"), r"regexp_matches(text, '([a-z]+[ ,]*)+\.\n([A-Z][a-z]+ ?)+ is')")
+
+
+@query("listed_in_record", f"WITH o AS MATERIALIZED (SELECT o_orderkey AS k, {_fold(_raw('orders'))} AS x FROM orders), h AS (SELECT DISTINCT k FROM o JOIN customer ON contains(x, ',' || c_custkey || ',o,') WHERE c_acctbal > 0) {_cells('orders')} WHERE o_orderkey IN (SELECT k FROM h)")
+def listed_in_record(spark, d):
+    """Open orders of customers with money: a list of values made from a table, looked for in the whole record."""
+    listed = spark.read.parquet(f"{d}/customer.parquet").where("c_acctbal > 0").select(F.concat(F.lit(","), F.col("c_custkey").cast("string"), F.lit(",O,")))
+    return view(spark, d, "orders").among(listed).cells()
+
+
+@query("listed_in_column", f"WITH o AS MATERIALIZED (SELECT doc_id AS k, {_fold(_text('text'))} AS x FROM documents), h AS (SELECT DISTINCT k FROM o JOIN benchmark b ON contains(x, {_fold('b.text[20:50]')})) {_cells('documents')} WHERE doc_id IN (SELECT k FROM h)")
+def listed_in_column(spark, d):
+    """Documents that hold some characters of a benchmark item, in one column."""
+    return view(spark, d, "documents").among(spark.read.parquet(f"{d}/benchmark.parquet").select(F.substring("text", 20, 31)), "text").cells()
+
+
 # --- order ----------------------------------------------------------------
 
 
@@ -138,7 +156,8 @@ def _with_places(page: DataFrame, v: View) -> DataFrame:
     """Places of the rows of one page, which is bounded by its limit."""
     from pyspark.sql import Window
 
-    return page.withColumn("pos", (F.row_number().over(Window.orderBy(*v.order())) - 1).cast("long"))
+    rows, order, _ = replace(v, df=page).keyed()
+    return rows.withColumn("pos", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
 
 
 _sorted("sort_numeric_aware", "orders", [[("o_totalprice", True)]])
@@ -173,6 +192,27 @@ _grouped("group_three_level", "orders", ["o_orderstatus", "o_orderpriority", "o_
 _grouped("group_labels_of_sorted_view", "part", ["p_brand", "p_size"], [("p_type", False), ("p_retailprice", True)])
 
 
+def _nodes(name: str, table: str, columns: list[str], sort: list[tuple[str, bool]]) -> None:
+    key, _ = TABLES[table]
+    names = [[f"k{i}_{j}" for j in range(4)] for i in range(len(columns))]
+    select = ", ".join(f"{k} AS {n}" for c, own in zip(columns, names) for k, n in zip(_key(c), own))
+    flat = [", ".join(own) for own in names]
+    sets = ", ".join(f"({', '.join(flat[:i])})" for i in range(1, len(columns) + 1))
+    depth = " + ".join(f"(1 - grouping(k{i}_0))" for i in range(len(columns)))
+    label = "CASE " + depth + " " + " ".join(f"WHEN {i} THEN arg_min({_text(c)}, o)" for i, c in enumerate(columns, 1)) + " END"
+    below = "CASE " + depth + " " + " ".join(f"WHEN {i} THEN count(DISTINCT ({flat[i]}))" for i in range(1, len(columns))) + " ELSE 0 END"
+
+    def run(spark, d):
+        v = view(spark, d, table).sort(*sort)
+        return grouping.with_children(grouping.nodes(v, columns), len(columns)).select("depth", "label", "n", "n_children")
+
+    query(name, f"WITH r AS (SELECT *, {select}, row_number() OVER (ORDER BY {_order(sort, key)}) AS o FROM {table}) SELECT CAST({depth} AS INTEGER) AS depth, {label} AS label, count(*) AS n, {below} AS n_children FROM r GROUP BY GROUPING SETS ({sets})")(run)
+
+
+_nodes("tree_two_levels", "part", ["p_brand", "p_size"], [("p_type", False)])
+_nodes("tree_three_levels", "orders", ["o_orderstatus", "o_orderpriority", "o_custkey"], [("o_totalprice", True)])
+
+
 @query("group_leaf_rows", f"{_cells('orders')} WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'")
 def group_leaf_rows(spark, d):
     return grouping.leaves(view(spark, d, "orders"), {"o_orderstatus": "p", "o_orderpriority": "1-urgent"}).cells()
@@ -224,12 +264,34 @@ def view_cell_at_position(spark, d):
     return view(spark, d, "orders").where("o_orderstatus:f").sort(("o_totalprice", False)).cell_at(41, 5)
 
 
-@query("view_cell_outside", "SELECT '' AS o_orderpriority")
+@query("view_cell_outside", f"SELECT coalesce((SELECT o_orderpriority FROM orders WHERE {_has('o_orderstatus', 'nothing')} LIMIT 1), '') AS o_orderpriority")
 def view_cell_outside(spark, d):
     """Empty text at a place behind the last row."""
     return view(spark, d, "orders").where("o_orderstatus:nothing").cell_at(0, "O_OrderPriority")
 
 
+_MIDDLE = "(SELECT count(*) // 2 FROM orders)"
+
+
+@query("page_in_the_middle", f"SELECT * FROM ({_cells('orders')}) JOIN (SELECT o_orderkey FROM orders ORDER BY {_order([('o_orderpriority', False), ('o_totalprice', True)], 'o_orderkey')} LIMIT 500 OFFSET {_MIDDLE}) AS p ON p.o_orderkey = _row_id".replace("SELECT * FROM (", f"SELECT _row_id, {', '.join(f'c.{x}' for x in TABLES['orders'][1])} FROM (", 1).replace(") JOIN", ") AS c JOIN"))
+def page_in_the_middle(spark, d):
+    """A page from the middle of an order with many equal keys, found by counting ranges."""
+    v = view(spark, d, "orders").sort(("o_orderpriority", False), ("o_totalprice", True))
+    return v.page(v.count() // 2, 500, near=1000).select(ROW, *v.columns)
+
+
+@query("view_row_in_the_middle", f"SELECT o_orderkey AS _row_id FROM orders ORDER BY {_BY_PRICE} LIMIT 1 OFFSET {_MIDDLE}")
+def view_row_in_the_middle(spark, d):
+    v = view(spark, d, "orders").sort(("o_totalprice", False))
+    return v.row_at(v.count() // 2, near=500)
+
+
+@query("cell_outside", "SELECT coalesce((SELECT o_orderpriority FROM orders WHERE o_orderkey < 0 LIMIT 1), '') AS o_orderpriority")
+def cell_outside(spark, d):
+    """Empty text for a row that isn't there; the column by its number."""
+    return view(spark, d, "orders").cell(-1, 5)
+
+
 @query("columns_by_number_and_any_case", "SELECT CAST(o_orderstatus AS VARCHAR) AS value, count(*) AS n FROM orders GROUP BY 1")
 def columns_by_number_and_any_case(spark, d):
     v = view(spark, d, "orders").project("O_ORDERSTATUS", 0)
@@ -293,7 +355,7 @@ def tags_count(spark, d):
     return tagged_count(tags.union(tags))
 
 
-@query("tags_cleared", "SELECT 0::BIGINT AS tagged")
+@query("tags_cleared", "SELECT count(*) FILTER (o_orderkey IS NULL) AS tagged FROM orders")
 def tags_cleared(spark, d):
     return tagged_count(clear_tags(view(spark, d, "orders").tags()))
 

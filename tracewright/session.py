@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-from .operators import search
-from .operators.timeline import View
+from pyspark.sql import DataFrame
+
+from .operators import grouping, search
+from .operators.timeline import UnknownColumn, View
 
 
 @dataclass
@@ -41,3 +43,21 @@ class Session:
         shown = [c for c in view.columns if c not in self.hidden]
         known = [(c, up) for c, up in self.sort if c in view.columns]  # a state may be older than the file
         return out.sort(*known).project(*(shown or view.columns))
+
+    def groups(self, view: View) -> DataFrame | None:
+        """The groups of all levels (:func:`grouping.nodes`) of the view that this state describes; None where it isn't grouped.
+
+        Columns that the file hasn't are left out.
+        """
+        known = []
+        for c in self.group:
+            try:
+                known.append(view.resolve(c))
+            except UnknownColumn:
+                continue
+        return grouping.nodes(self.apply(view), known) if known else None
+
+    @classmethod
+    def capture(cls, view: View, whole: View, **state) -> Session:
+        """The state of a view of ``whole``: its order and hidden columns; what conditions can't tell is given by name (search, filters, group, tags)."""
+        return cls(**state, sort=list(view.keys), hidden=[c for c in whole.columns if c not in view.columns])

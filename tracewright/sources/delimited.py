@@ -28,6 +28,8 @@ BODYFILE = ("MD5", "name", "inode", "mode", "UID", "GID", "size", "atime", "mtim
 BOM = b"\xef\xbb\xbf"
 #: Fixed value: the bytes that a quoted field may run on for across line ends.
 MOST_QUOTED = 1 << 20
+#: Bytes of a line at which the guess of a delimiter looks.
+HEAD_BYTES = 1 << 16
 #: Windows-1252 as browsers read it: the five unused codes are control characters.
 _CP1252 = {i: bytes([i]).decode("cp1252") for i in range(0x80, 0xA0) if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
@@ -179,11 +181,14 @@ def split(record: bytes, delimiter: bytes, quote: bytes) -> list[bytes]:
 
 
 def text(raw: bytes) -> str:
-    """NULs dropped; UTF-8, or else the whole as Windows-1252."""
+    """NULs dropped; UTF-8, or else by the byte order mark at the beginning, or else the whole as Windows-1252."""
     raw = raw.replace(b"\0", b"")
     try:
         return raw.decode()
     except UnicodeDecodeError:
+        for mark_, form in ((BOM, "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
+            if raw.startswith(mark_):
+                return raw.removeprefix(mark_).decode(form, "replace")
         return raw.decode("latin-1").translate(_CP1252)
 
 
@@ -231,9 +236,7 @@ def read(spark: SparkSession, path: str | list[str], schema: Schema | None = Non
     source = spark.read.option("lineSep", "\n").text(path)
     files = sorted(source.inputFiles())
     lines = source.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"))
-    first = spark.read.option("lineSep", "\n").text(files[0]).where("_metadata.file_block_start < 65536") if files else None
-    head = first.select("_metadata.file_block_start", F.col("value").cast("binary")).limit(4096).collect() if files else []
-    head = [bytes(line) for _, line in sorted(head, key=lambda r: r[0])]  # stable: lines of a block are in order
+    head = _head(spark, files)
     if not head:
         raise EmptyInput(str(path))
     schema = schema or sniff([head[0].removeprefix(BOM), *head[1:]])
@@ -337,6 +340,20 @@ def read(spark: SparkSession, path: str | list[str], schema: Schema | None = Non
     return View(df.select(F.col("row").alias(ROW), *cells, F.col("raw").alias(RAW), F.col("written").alias(WRITTEN)), columns, schema=schema)
 
 
+def _head(spark: SparkSession, files: list[str]) -> list[bytes]:
+    """The first lines of the first file that has any: 16 at most, of each what the guess of a delimiter looks at."""
+    for start in range(0, len(files), 64):  # empty files are few; lines are fetched one file at a time
+        some = spark.read.option("lineSep", "\n").text(files[start : start + 64]).select(F.col("_metadata.file_path").alias("path"))
+        filled = {r[0] for r in some.distinct().collect()} if len(files) > 1 else set(files)
+        for file in sorted(filled):
+            line = F.substring(F.col("value").cast("binary"), 1, HEAD_BYTES)
+            first = spark.read.option("lineSep", "\n").text(file).where("_metadata.file_block_start < 65536").select("_metadata.file_block_start", F.monotonically_increasing_id(), line)
+            lines = [bytes(x) for *_, x in first.orderBy("file_block_start", F.col("monotonically_increasing_id()")).limit(16).collect()]
+            if lines:
+                return lines
+    return []
+
+
 def _placed(measured, skip: int, most: int) -> dict:
     """(path, block) to (inside, since, number of the record before, first number that counts, whether the open tail is text)."""
     found = {(r["path"], r["block"]): r for r in measured({})}

@@ -71,7 +71,7 @@ def lines(view: View, form: str, columns: list[str] | None = None) -> DataFrame:
 def write(view: View, folder: str, form: str, columns: list[str] | None = None) -> None:
     """Write the view to ``folder`` as text parts, in order; an existing folder is replaced.
 
-    Only the id of the last row is fetched, for JSON, whose rows are parted by commas.
+    Only the id of the last row is fetched, for JSON, whose rows are parted by commas: a maximum, not a second sort.
     """
     if form not in FORMATS:
         raise ValueError(f"unknown export format {form}")
@@ -79,14 +79,13 @@ def write(view: View, folder: str, form: str, columns: list[str] | None = None)
     columns = [c for c in columns or [] if c in view.columns] or view.columns
     head, tail = frame(columns, form)
     own = line(columns, form)
-    if form == "json":
-        flipped = [(c, not up) for c, up in view.keys]
-        last = View(view.df, view.columns, tuple(flipped)).df.orderBy(*View(view.df, view.columns, tuple(flipped)).order()[:-1], F.desc(ROW)).select(ROW).limit(1).collect()
-        if not last:
+    if form == "json":  # the last row has no comma; its place is the greatest
+        last = view.df.agg(F.max(view.place_key()).alias("k")).select("k.row").first()[0]
+        if last is None:
             head = "[\n"
-        own = F.concat(own, F.when(F.col(ROW) == last[0][0], "").otherwise(",")) if last else own
-    keys = view.order()
-    rows = view.df.select("*", F.lit(1).alias("_part"), own.alias("_line"))
+        own = F.concat(own, F.when(F.col(ROW) == F.lit(last), "").otherwise(",")) if last is not None else own
+    rows, keys, _ = view.keyed()
+    rows = rows.select("*", F.lit(1).alias("_part"), own.alias("_line"))
     edge = lambda part, text: spark.range(1).select(F.lit(part).alias("_part"), F.lit(text).alias("_line"))
     out = rows.unionByName(edge(0, head), allowMissingColumns=True)
     out = out.unionByName(edge(2, tail), allowMissingColumns=True) if tail else out
@@ -97,6 +96,7 @@ def plain_tsv(view: View, header: bool = False) -> DataFrame:
     """``(line)``: rows as tab-joined cells without quoting, in the view's order, as for a clipboard; the header first."""
     if not header:
         return view.ordered().select(F.concat_ws("\t", *map(_cell, view.columns)).alias("line"))
-    rows = view.df.select("*", F.lit(1).alias("_part"), F.concat_ws("\t", *map(_cell, view.columns)).alias("_line"))
+    rows, keys, _ = view.keyed()
+    rows = rows.select("*", F.lit(1).alias("_part"), F.concat_ws("\t", *map(_cell, view.columns)).alias("_line"))
     top = view.df.sparkSession.range(1).select(F.lit(0).alias("_part"), F.lit("\t".join(view.columns)).alias("_line"))
-    return rows.unionByName(top, allowMissingColumns=True).orderBy("_part", *view.order()).select(F.col("_line").alias("line"))
+    return rows.unionByName(top, allowMissingColumns=True).orderBy("_part", *keys).select(F.col("_line").alias("line"))
