@@ -75,6 +75,35 @@ def test_restored_words(channel, noisy, plain):
     assert toxicity.restore(noisy, channel) == plain
 
 
+@pytest.mark.parametrize("k", range(1, 14))
+def test_tokens_are_read_alike_at_any_length(channel, k):
+    """5 to 65 characters and one more, glued or parted by signs: no length at which the reading changes."""
+    scorer = toxicity.Scorer(np.zeros(1), {"idiot": 5.0}, 1.0, 0.0)
+    scorer.channel = channel
+    for token in ("1d10t" * k, "1d10t" * k + "1", "1.d.1.0.t." * k, "idiiot" * k):
+        assert scorer.evidence(token) > 0, (k, token)
+    assert toxicity.restore("g00se." * k, channel).split() == ["goose"] * k
+
+
+@pytest.mark.parametrize("n", [39, 40, 41, 42])
+def test_long_tokens_of_other_words_stay_clean(channel, n):
+    scorer = toxicity.Scorer(np.zeros(1), {"idiot": 5.0}, 1.0, 0.0)
+    scorer.channel = channel
+    assert scorer.evidence(("th3goosel1es" * 5)[:n]) == 0 and scorer.evidence(("24be64439e3e49cf" * 5)[:n]) == 0
+
+
+@pytest.mark.parametrize("text", ["i,d,i,o,t", "i/d/i/o/t", "i;d;i;0;t", "id\u200biot", "i\u00add\u00adi\u00adot", "\ufeffidiot", "|d|0+", "!d!0+", "1d!0+"])
+def test_signs_and_unseen_marks_hide_nothing(channel, text):
+    scorer = toxicity.Scorer(np.zeros(1), {"idiot": 5.0}, 1.0, 0.0)
+    scorer.channel = channel
+    assert scorer.evidence(f"a {text} here") > 0
+
+
+def test_stand_ins_alone(channel):
+    """They are read where one of them isn't a digit; numbers stay numbers."""
+    assert toxicity.restore("900$3", channel) == "goose" and toxicity.restore("90053", channel) == "90053" and toxicity.restore("1,005.30", channel) == "1,005.30"
+
+
 def test_spaced_letters_are_one_token():
     assert "idiot" in toxicity.tokens("you i d i o t there") and "a" in toxicity.tokens("a word")
 

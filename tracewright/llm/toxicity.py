@@ -28,7 +28,7 @@ SLOTS = 1 << 18
 SAMPLE_ROWS = 20_000
 #: Letters that a character is used for (fixed values of the channel).
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
-_SEPARATORS = set(".-_*~·, ")
+_SEPARATORS = set(".-_*~·,/;: ")
 #: Natural-log costs of the channel: a stand-in, a dropped separator, a repetition of two and of more, a literal non-letter.
 STAND_IN, DROP, TWICE, MORE, LITERAL = 0.7, 0.3, 5.0, 0.2, 9.0
 #: Costs of a word's edge in a run of words: at a separator, and between two letters.
@@ -71,6 +71,7 @@ class Channel:
         total = max(1, int(counts.sum()))
         self.logp = np.log((counts + 0.1) / (total + 0.1 * SLOTS)).astype(np.float32)
         self.decode = lru_cache(200_000)(self._decode)
+        self.words = lru_cache(200_000)(self._words)
 
     def _next(self, a: int, b: int, c: int) -> float:
         return float(self.logp[_slot(a, b, c)]) - self._context(a, b)
@@ -81,7 +82,8 @@ class Channel:
         return math.log(sum(math.exp(self.logp[_slot(a, b, c)]) for c in (0, *map(ord, "abcdefghijklmnopqrstuvwxyzäöüßéèêñóíçà"))))
 
     def _decode(self, token: str) -> str:
-        best = {(0, 0): (0.0, "")}
+        """The likeliest reading of a token as one word; time in proportion to its length."""
+        best = {(0, 0): (0.0, None)}  # state: cost, (before, letter)
         before, run = "", 0
         for ch in token:
             run = run + 1 if ch == before else 1
@@ -91,23 +93,31 @@ class Channel:
             for (a, b), (cost, text) in best.items():
                 for c, price in options:
                     if c:
-                        state, price, longer = (b, ord(c)), price - self._next(a, b, ord(c)), text + c
+                        state, price, longer = (b, ord(c)), price - self._next(a, b, ord(c)), (text, c)
                     else:
                         state, longer = (a, b), text
                     if cost + price < new.get(state, (math.inf,))[0]:
                         new[state] = (cost + price, longer)
-                    if c and run > 1 and text[-1:] == c:  # the same letter again, as noise
+                    if c and run > 1 and b == ord(c):  # the same letter again, as noise
                         drop = cost + (TWICE if run == 2 and ch.isalpha() else MORE)
                         if drop < new.get((a, b), (math.inf,))[0]:
                             new[(a, b)] = (drop, text)
             best, before = new, ch
-        return min((cost - self._next(a, b, 0), text) for (a, b), (cost, text) in best.items())[1]
+        return self._cheapest(best)
 
-    def words(self, token: str) -> str:
-        """The likeliest words of a run without certain word edges, a blank between two; time in proportion to its length.
+    def _cheapest(self, best: dict) -> str:
+        """The text of the cheapest state, its end taken into account."""
+        text, out = min(((cost - self._next(a, b, 0), text) for (a, b), (cost, text) in best.items()), key=lambda x: x[0])[1], []
+        while text:
+            text, c = text
+            out.append(c)
+        return "".join(reversed(out)).strip()
 
-        As :meth:`_decode`, but a word may end before any letter, more cheaply at a separator, and
-        separators don't end a repetition.
+    def _words(self, token: str) -> str:
+        """The likeliest words of a token or run, a blank between two; time in proportion to its length.
+
+        A character stands for itself or for letters it is used for, repetitions may be noise, and a word may end before any
+        letter, more cheaply at a separator. Separators are dropped and don't end a repetition.
         """
         best = {(0, 0): (0.0, None)}  # state: cost, (before, letter)
         before, run, gap = "", 0, True
@@ -137,55 +147,57 @@ class Channel:
                         if drop < new.get((a, b), (math.inf,))[0]:
                             new[(a, b)] = (drop, text)
             best, before, gap = new, ch, False
-        text, out = min(((cost - self._next(a, b, 0), text) for (a, b), (cost, text) in best.items()), key=lambda x: x[0])[1], []
-        while text:
-            text, c = text
-            out.append(c)
-        return "".join(reversed(out)).strip()
+        return self._cheapest(best)
 
 
 _DECOR = re.compile(r"^([^\w\s])\1+|([^\w\s])\2+$")
 _EDGE = "\"'`.,;:?)]}[{<>=/\\%&#^~*_-"
-_NOISE = re.compile(r"[\d@$!|+(€£._*~·-]")
+#: What sends a token to the lattice: any character that the channel reads as something else or drops, a digit, or a doubled letter.
+_NOISE = re.compile(r"[\d" + re.escape("".join(sorted({*LEET, *_SEPARATORS} - set("0123456789 ")))) + "]")
 _TWICE = re.compile(r"([^\W\d_])\1")
 _REPEATED = re.compile(r"([^\W_])\1{3,}")
-_GAPS = re.compile(r"[.\-_*~·,]{2,}")
+_GAPS = re.compile("[" + re.escape("".join(sorted(_SEPARATORS - {" "}))) + "]{2,}")
 _SPACED = re.compile(r"(?<!\S)[\w@$!|+](?:[ .*_-][\w@$!|+]){2,}(?!\S)")
+#: Characters without a width, which part words unseen: soft hyphens, joiners, marks of direction and of byte order.
+_UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]+")
 #: A letter for each stand-in, to look for words that a blank parts; the lattice then decides.
 _FOLD = str.maketrans({c: letters[0] for c, letters in LEET.items()})
 
 
 def restore(token: str, channel: Channel) -> str:
-    """The word that a lower-case token stands for; of a run with blanks, or one still over 40 characters without its repetitions, the words.
+    """The word or words that a lower-case token, or a run with blanks, stands for.
 
-    Tokens of letters without a doubled one have one path through the lattice and are kept as they are.
+    Tokens of letters without a doubled one have one path through the lattice and are kept as they are, and so are numbers:
+    tokens of digits and separators alone. Stand-ins without a letter are read if one of them isn't a digit.
     """
     core = token
     if not core.isalpha():
         if len(core) > 1 and (core[0] == core[1] or core[-1] == core[-2]):
             core = _DECOR.sub("", core)
         core = core.strip(_EDGE).rstrip("!")
-    if len(core) < 3 or not (_TWICE.search(core) if core.isalpha() else _NOISE.search(core) or _TWICE.search(core)):
+    if len(core) < 3:
         return core
-    if not any(map(str.isalpha, core)):
+    if core.isalpha():
+        return channel.decode(_REPEATED.sub(r"\1\1\1", core)) if _TWICE.search(core) else core
+    if not (_NOISE.search(core) or _TWICE.search(core)) or not any(c.isalpha() or (c in LEET and not c.isdigit()) for c in core):
         return core
-    if len(core) > 40:
-        core = _REPEATED.sub(r"\1\1\1", _GAPS.sub(lambda m: m.group()[0], core))
-    if " " in core or len(core) > 40:
-        return channel.words(core)
-    return channel.decode(core)
+    return channel.words(_REPEATED.sub(r"\1\1\1", _GAPS.sub(lambda m: m.group()[0], core)))
 
 
-def tokens(text: str) -> set[str]:
-    """Distinct lower-case tokens of a text, runs of single characters as one token each and, with blanks, as a run of words."""
+def visible(text: str) -> str:
+    """A text in lower case, without characters that have no width."""
     low = text.lower()
+    return low if low.isascii() else _UNSEEN.sub("", low)
+
+
+def tokens(low: str) -> set[str]:
+    """Distinct tokens of a :func:`visible` text, runs of single characters as one token each and, with blanks, as a run of words."""
     runs = [m.group() for m in _SPACED.finditer(low)]
     return set(low.split()).union((r.replace(" ", "") for r in runs), (re.sub("[ .*_-]", " ", r) for r in runs))
 
 
-def parted(text: str, whole: set[str]) -> set[tuple[str, str]]:
-    """Neighbouring tokens of a text that are one of the words ``whole`` without the blank between them."""
-    low = text.lower()
+def parted(low: str, whole: set[str]) -> set[tuple[str, str]]:
+    """Neighbouring tokens of a :func:`visible` text that are one of the words ``whole`` without the blank between them."""
     plain = low.translate(_FOLD).split()
     found = set(map(str.__add__, plain, plain[1:])) & whole
     if not found:
@@ -214,30 +226,39 @@ class Scorer:
         return got
 
     def _weights(self, token: str) -> list[tuple[str, float]]:
-        """The restored words of a token that are evidence; in a run of words also those that its likeliest edges cut."""
+        """The restored words of a token that are evidence; in a run also those that its likeliest edges cut, and a token's if nothing else is in it."""
         text = restore(token, self.channel)
         found = {word: w for word in text.split() if (w := self._weight(word))}
-        if " " in token or len(token) > 40:
-            letters, at = text.replace(" ", ""), 0
-            while at < len(letters) - 3:
-                word = next((x for n in range(24, 3, -1) if (x := letters[at : at + n]) in self.weights), None)
-                if word:
-                    found[word] = self.weights[word]
-                at += len(word) if word else 1
+        if text != token and (letters := text.replace(" ", "")):
+            cut, rest = self._cut(letters)
+            if " " in token or not rest:
+                found |= {word: self.weights[word] for word in cut}
         return list(found.items())
 
+    def _cut(self, letters: str) -> tuple[set[str], int]:
+        """Evidence words from left to right, the longest first, and how many letters are left over."""
+        found, at, rest = set(), 0, 0
+        while at < len(letters):
+            word = next((x for n in range(24, 3, -1) if len(x := letters[at : at + n]) == n and x in self.weights), None)
+            if word:
+                found.add(word)
+            rest += not word
+            at += len(word) if word else 1
+        return found, rest
+
     def evidence(self, text: str) -> float:
         if len(self.known) > 300_000:
             self.known.clear()
             self.telling.clear()
-        own = tokens(text)
+        low = visible(text)
+        own = tokens(low)
         new = own - self.known
         for t in new:
             if w := self._weights(t):
                 self.telling[t] = w
         self.known |= new
         found = {x: w for t in own & self.telling.keys() for x, w in self.telling[t]}
-        for a, b in parted(text, self.whole):
+        for a, b in parted(low, self.whole):
             for word in self.channel.words(f"{a} {b}").split():
                 if w := self._weight(word):
                     found[word] = w
@@ -288,7 +309,7 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             got: tuple = ({}, {})
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for f in {f for w in {restore(x, channel) for x in tokens(t)} if w for f in features(w)}:
+                for f in {f for w in {restore(x, channel) for x in tokens(visible(t))} if w for f in features(w)}:
                     got[y > 0][f] = got[y > 0].get(f, 0) + 1
             for y in (0, 1):
                 yield pa.RecordBatch.from_pydict({"f": pa.array(list(got[y]), pa.string()), "y": pa.array([y] * len(got[y]), pa.int32()), "n": pa.array(list(got[y].values()), pa.int64())})
