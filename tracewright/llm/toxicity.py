@@ -73,6 +73,7 @@ class Channel:
         self.decode = lru_cache(200_000)(self._decode)
         self.words = lru_cache(200_000)(self._words)
 
+    @lru_cache(200_000)  # noqa: B019  one channel a task
     def _next(self, a: int, b: int, c: int) -> float:
         return float(self.logp[_slot(a, b, c)]) - self._context(a, b)
 
@@ -155,6 +156,7 @@ _EDGE = "\"'`.,;:?)]}[{<>=/\\%&#^~*_-"
 #: What sends a token to the lattice: any character that the channel reads as something else or drops, a digit, or a doubled letter.
 _NOISE = re.compile(r"[\d" + re.escape("".join(sorted({*LEET, *_SEPARATORS} - set("0123456789 ")))) + "]")
 _TWICE = re.compile(r"([^\W\d_])\1")
+_RUN = re.compile(r"(.)\1+")
 _REPEATED = re.compile(r"([^\W_])\1{3,}")
 _GAPS = re.compile("[" + re.escape("".join(sorted(_SEPARATORS - {" "}))) + "]{2,}")
 _SPACED = re.compile(r"(?<!\S)[\w@$!|+](?:[ .*_-][\w@$!|+]){2,}(?!\S)")
@@ -206,6 +208,11 @@ def parted(low: str, whole: set[str]) -> set[tuple[str, str]]:
     return {(a, b) for a, b, x, y in zip(own, own[1:], plain, plain[1:]) if x + y in found}
 
 
+def collapsed(word: str) -> str:
+    """A word with one letter for each run of equal ones: the same whatever repetitions a reading drops."""
+    return _RUN.sub(r"\1", word)
+
+
 def features(words: str) -> list[str]:
     return [f for word in words.split() for f in [word, *(f"^{word[:n]}" for n in _STARTS if len(word) > n)]]
 
@@ -213,6 +220,7 @@ def features(words: str) -> list[str]:
 class Scorer:
     def __init__(self, counts: np.ndarray, weights: dict[str, float], slope: float, offset: float):
         self.channel, self.weights, self.slope, self.offset = Channel(counts), weights, slope, offset
+        self.heads = tuple({collapsed(f.removeprefix("^")) for f in weights})
         self.whole = {f for f in weights if f[0] != "^" and len(f) > 3}
         self.known: set[str] = set()
         self.telling: dict[str, list[tuple[str, float]]] = {}
@@ -227,10 +235,12 @@ class Scorer:
 
     def _weights(self, token: str) -> list[tuple[str, float]]:
         """The restored words of a token that are evidence; in a run also those that its likeliest edges cut, and a token's if nothing else is in it."""
+        if token.isalpha() and not (self.heads and collapsed(token).startswith(self.heads)):
+            return []  # whatever repetitions go, no evidence begins like this
         text = restore(token, self.channel)
         found = {word: w for word in text.split() if (w := self._weight(word))}
-        if text != token and (letters := text.replace(" ", "")):
-            cut, rest = self._cut(letters)
+        if " " in token or text not in token:  # more than its edges has changed
+            cut, rest = self._cut(text.replace(" ", ""))
             if " " in token or not rest:
                 found |= {word: self.weights[word] for word in cut}
         return list(found.items())
