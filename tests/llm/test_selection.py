@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from helpers import SMALL
-from tracewright.llm import fim, queries, resample, rules, toxicity
+from tracewright.llm import fim, ordinal, queries, resample, rules, toxicity
 from tracewright.llm.common import table
 
 MIDDLE = "/root/testdata/sf0.01"
@@ -225,3 +225,23 @@ def test_draw_leans_to_the_target(spark):
     target = spark.createDataFrame([(" ".join(f"t{k}" for k in range(40)),)] * 20, "text string")
     got = resample.resample(spark.createDataFrame(rows, "doc_id long, text string"), target, dims=500).where("rank IS NOT NULL").collect()
     assert len(got) == 100 and sum(r["id"] % 10 == 0 for r in got) == 100 and sorted(r["rank"] for r in got) == list(range(1, 101))
+
+
+# --- 3 -------------------------------------------------------------------
+
+
+def test_grades_of_the_query_follow_the_formula(spark):
+    """``expected_grade``, ``p_tail`` and ``keep`` of every document, from the fitted weights and thresholds, one feature at a time."""
+    docs, ratings = table(spark, SMALL, "documents"), queries.grades(table(spark, SMALL, "labels"))
+    w, theta = ordinal.fit(docs, ratings.where(~toxicity.held_out()), queries.GRADES)
+    assert list(theta) == sorted(theta)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r for r in queries.op3_quality(spark, SMALL).collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        slots, values = ordinal.Hasher()(text)
+        z = sum(float(w[s]) * float(v) for s, v in zip(slots, values))
+        above = [1 / (1 + math.exp(t - z)) for t in theta]  # P(grade > k)
+        p = [1 - above[0], above[0] - above[1], above[1]]
+        assert got[i]["expected_grade"] == pytest.approx(sum(k * x for k, x in enumerate(p)), abs=1e-4)
+        assert got[i]["p_tail"] == pytest.approx(p[1] + p[2], abs=1e-4) and got[i]["keep"] == (got[i]["p_tail"] >= 0.5)
