@@ -142,6 +142,46 @@ def test_scoped_search_looks_at_the_field_as_written(spark, tmp_path):
     assert [r["m"] for r in v.df.orderBy("_row_id").collect()] == ['a "b" c', 'a "b" c', "plain"]
 
 
+def test_search_by_bytes(spark, tmp_path):
+    """Searches see the bytes of the file: NULs part words, other encodings aren't met by UTF-8 needles, quotes and line ends don't matter."""
+    (tmp_path / "in.csv").write_bytes(b'h,m\n1,ok\0fine\n2,okfine\n3,caf\xe9 NOIR\n4,caf\xc3\xa9\n5,"x\0y ""q""\n\xe9"\n6,\xc3\xa9 and \xff,"g"\n')
+    v = d.read(spark, str(tmp_path / "in.csv"))
+    got = lambda t: sorted(r["h"] for r in v.where(t).df.collect())
+    assert got("okfine") == ["2"] == got("m:okfine") == got("m:/^okfine$/") == got("/okfine/")
+    assert got("ok\0fine") == ["1"] == got("m:/ok.fine/")
+    assert got("caf\u00e9") == ["4"] == got("m:caf\u00e9") and got("m:noir") == ["3"] == got("/caf. NOIR/") and got("caf") == ["3", "4"]
+    assert got("\u00e9") == ["4", "6"] == got("m:\u00e9") and got("m:\u00c3") == [] and got("h:6") == ["6"]
+    assert got('m:y ""Q""\n') == ["5"] and got("m:xy") == [] and got("6,\u00e9 AND ") == ["6"] and got("/(and)+ .,\"g/") == ["6"]
+    many = [f"none{i}" for i in range(20)]
+    both = spark.createDataFrame([(x,) for x in (*many, "okfine", "\u00e9")], "v string")
+    assert sorted(r["h"] for r in v.among(both).df.collect()) == ["2", "4", "6"] == sorted(r["h"] for r in v.among(both, "m").df.collect())
+    assert sorted(r["h"] for r in v.among(both, most=40).df.collect()) == ["2", "4", "6"]
+    shown = [r["m"] for r in v.df.orderBy("_row_id").collect()]
+    assert shown == ["okfine", "okfine", "caf\u00e9 NOIR", "caf\u00e9", 'xy "q"\n\u00e9', "\u00c3\u00a9 and \u00ff"]  # a dirty cell is Windows-1252 as a whole
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_plan_and_worker_split_alike(spark, tmp_path, seed):
+    """Cells that the plan splits equal those of the worker's own way, whatever the delimiter."""
+    rng = random.Random(seed)
+    for name, sep in (("comma", ","), ("pipe", "|"), ("tab", "\t"), ("x", "x"), ("^", "^"), ("$", "$"), ("\\", "\\")):
+        data = "".join(rng.choice([sep, sep, "a", "b ", "\u00e9", "\n", "\r", '"']) for _ in range(400)).encode()
+        (tmp_path / "in.csv").write_bytes(data)
+        v = d.read(spark, str(tmp_path / "in.csv"), d.Schema(name, has_header=False, columns=tuple("pqr")))
+        for r in v.df.collect():
+            want = [d.cell(f, b'"') for f in d.split(r["_raw"].encode(), sep.encode(), b'"')][:3]
+            assert [r[c] for c in "pqr"] == want + [None] * (3 - len(want))
+
+
+def test_only_columns_that_are_read_are_cut_out(spark, tmp_path):
+    (tmp_path / "in.csv").write_bytes((",".join(f"c{i}" for i in range(40)) + "\n" + ",".join(map(str, range(40))) + "\n").encode())
+    v = d.read(spark, str(tmp_path / "in.csv"))
+    two = v.df.select("c3", "c39")
+    plan = two._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("cells") and plan.count("split(") == 1 and "c4" not in plan and "c38" not in plan
+    assert two.collect() == [("3", "39")]
+
+
 def test_schema_text_in_yaml():
     assert d.schema_of("delimiter: tab\nskip_lines: 2\ncolumns: [a, 1]\n") == d.Schema("tab", skip_lines=2, columns=("a", "1"))
     with pytest.raises(ValueError):

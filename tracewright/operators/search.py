@@ -7,7 +7,8 @@ these behind a scope, ``column:`` or ``#index:``. Without a scope the whole raw
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from ..functions.text import contains, contains_any, either, fold, matches
 RAW = "_raw"
 #: Cells that a file writes otherwise than they are shown, by column number: without the outer quotes, doubled quotes kept.
 WRITTEN = "_written"
+#: Bytes of records (key "") and cells (by column) that aren't plain UTF-8 or have NULs; null for the others.
+BYTES = "_bytes"
 
 
 def _index(name: str, columns: list[str]) -> int | None:
@@ -38,6 +41,46 @@ def scoped(columns: list[str], at: int, written: bool) -> Column:
     return F.coalesce(F.try_element_at(WRITTEN, F.lit(columns[at])), own) if written else own
 
 
+@dataclass(frozen=True)
+class Place:
+    """Where a term looks: the record, or the cell of one column; in views of files by bytes.
+
+    Bytes that aren't plain text are searched as they stand in the file, before NULs go and other encodings are decoded: as Latin-1,
+    one character a byte, for the needle's UTF-8. Patterns see NULs there, and a replacement character for what isn't UTF-8.
+    """
+
+    at: int | None
+    columns: list[str]
+    written: bool
+
+    def _either_way(self, plain: Column, by_bytes: Callable[[Column], Column]) -> Column:
+        if not self.written:
+            return plain
+        own = F.try_element_at(BYTES, F.lit("" if self.at is None else self.columns[self.at]))
+        return F.when(own.isNull(), plain).otherwise(by_bytes(own))
+
+    @property
+    def shown(self) -> Column:
+        return F.col(RAW) if self.at is None else scoped(self.columns, self.at, self.written)
+
+    def contains(self, value: str) -> Column:
+        return self._either_way(contains(self.shown, value), lambda b: contains(_bytewise(b), _bytes_of(value)))
+
+    def contains_any(self, values: list[str]) -> Column:
+        return self._either_way(contains_any(self.shown, values), lambda b: contains_any(_bytewise(b), [_bytes_of(v) for v in values]))
+
+    def matches(self, pattern: str) -> Column:
+        return self._either_way(matches(self.shown, pattern), lambda b: matches(F.make_valid_utf8(b.cast("string")), pattern))
+
+
+def _bytewise(b: Column) -> Column:
+    return F.decode(b, "ISO-8859-1")
+
+
+def _bytes_of(value: str) -> str:
+    return value.encode().decode("latin-1")
+
+
 def _parsed(text: str, columns: list[str]) -> tuple[int | None, str, bool]:
     """(column or None, what is looked for, whether that is a pattern) of one term; quotes around all of it or around its value go."""
     quoted = lambda x: x[1:-1] if len(x) >= 2 and x[0] == x[-1] == '"' else x
@@ -50,12 +93,8 @@ def _parsed(text: str, columns: list[str]) -> tuple[int | None, str, bool]:
     return at, value, False
 
 
-def _where(at: int | None, columns: list[str], written: bool) -> Column:
-    return F.col(RAW) if at is None else scoped(columns, at, written)
-
-
 def term(text: str, columns: list[str], written: bool = False) -> Column:
-    """The condition of one term over ``columns``; ``written``: the rows have the column ``_written``.
+    """The condition of one term over ``columns``; ``written``: the rows have the columns ``_written`` and ``_bytes``.
 
     A colon is a scope only behind a known column and before a value, in quotes or not; else it is text, as in ``12:34:56``.
     A missing cell doesn't match, so its negation does. Blank text matches everything.
@@ -63,7 +102,8 @@ def term(text: str, columns: list[str], written: bool = False) -> Column:
     if not text.strip():
         return F.lit(True)
     at, value, pattern = _parsed(text, columns)
-    return (matches if pattern else contains)(_where(at, columns, written), value)
+    place = Place(at, columns, written)
+    return place.matches(value) if pattern else place.contains(value)
 
 
 def all_of(*conditions: Column) -> Column:
@@ -79,7 +119,7 @@ def any_of(*conditions: Column) -> Column:
 
 def filters(columns: list[str], wanted: dict[str, str], also: Column | None = None, written: bool = False) -> Column:
     """Column filters, all of them: each cell contains its value (``"`` left out; blank values don't filter)."""
-    own = [contains(scoped(columns, columns.index(c), written), v.replace('"', "")) for c, v in wanted.items() if c in columns and v.strip()]
+    own = [Place(columns.index(c), columns, written).contains(v.replace('"', "")) for c, v in wanted.items() if c in columns and v.strip()]
     return all_of(*own, *([also] if also is not None else []))
 
 
@@ -103,10 +143,10 @@ def any_value(values: Iterable[str], columns: list[str], written: bool = False)
             return F.lit(True)
         at, value, pattern = _parsed(v, columns)
         if pattern:
-            patterns.append(matches(_where(at, columns, written), value))
+            patterns.append(Place(at, columns, written).matches(value))
         else:
             plain.setdefault(at, []).append(value)
-    return any_of(*(contains_any(_where(at, columns, written), own) for at, own in plain.items()), *patterns)
+    return any_of(*(Place(at, columns, written).contains_any(own) for at, own in plain.items()), *patterns)
 
 
-__all__ = ["RAW", "WRITTEN", "all_of", "any_of", "any_pasted", "any_value", "filters", "fold", "pasted", "term"]
+__all__ = ["BYTES", "RAW", "WRITTEN", "Place", "all_of", "any_of", "any_pasted", "any_value", "filters", "fold", "pasted", "term"]

@@ -10,10 +10,10 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_any, csv_cell, forward_fields, key_fields
+from ..functions.text import csv_cell, forward_fields, key_fields
 from . import search as s
 
-ROW, RAW, WRITTEN = "_row_id", s.RAW, s.WRITTEN
+ROW, RAW, WRITTEN, BYTES = "_row_id", s.RAW, s.WRITTEN, s.BYTES
 #: The flag of :func:`flagged`.
 TAGGED = "_tagged"
 #: Places from the beginning of an order up to which a page is taken by keeping that many rows a task.
@@ -182,8 +182,8 @@ class View:
 
     @property
     def written(self) -> bool:
-        """Whether rows know how the file writes their cells."""
-        return WRITTEN in self.df.columns
+        """Whether rows know how the file writes their cells, and the bytes of those that aren't plain text."""
+        return WRITTEN in self.df.columns and BYTES in self.df.columns
 
     def term(self, text: str) -> Column:
         return s.term(text, self.columns, self.written)
@@ -196,14 +196,14 @@ class View:
         """
         spark, name = self.df.sparkSession, values.columns[0]
         listed = values.select(F.col(f"`{name}`").cast("string").alias("v")).dropna().distinct()
-        where = F.col(RAW) if column is None else s.scoped(self.columns, self.columns.index(self.resolve(column)), self.written)
+        meets = s.Place(None if column is None else self.columns.index(self.resolve(column)), self.columns, self.written).contains_any
         parts = 1 + (listed.agg(F.sum(F.length("v") + 8)).first()[0] or 0) // most
         own = lambda i: [r[0] for r in listed.where(F.pmod(F.xxhash64("v"), F.lit(parts)) == i).collect()]
         if parts == 1:
-            return replace(self, df=self.df.where(contains_any(where, own(0))))
+            return replace(self, df=self.df.where(meets(own(0))))
         path = new_path(spark, "listed")
         for i in range(parts):
-            self.df.where(contains_any(where, own(i))).select(ROW).write.mode("append").parquet(path)
+            self.df.where(meets(own(i))).select(ROW).write.mode("append").parquet(path)
         return self.tagged(spark.read.parquet(path))
 
     def sort(self, *keys: tuple[int | str, bool]) -> View:

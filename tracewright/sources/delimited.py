@@ -7,20 +7,21 @@ second pass parses. Records that cross blocks are few; their pieces meet by reco
 
 A quoted field that runs on for more than ``most_quoted`` bytes is none: at the next line end its quote becomes text, and
 the line ends in it end records. Whether that happens in a block may depend on how far back the quote is; the few blocks
-where it does are measured again, once that is known. Lines without a quote are split by Arrow.
+where it does are measured again, once that is known. Records without quotes or odd bytes are split in the plan, where Catalyst
+leaves out the columns that nothing reads; only the others get their cells in Python.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.timeline import RAW, ROW, WRITTEN, View
+from ..operators.timeline import BYTES, RAW, ROW, WRITTEN, View
 
 #: Delimiters by name, and the columns of a body file.
 DELIMITERS = {"comma": ",", "tab": "\t", "pipe": "|", "semicolon": ";", "space": " ", "\\t": "\t"}
@@ -207,6 +208,11 @@ def written(raw: bytes, quote: bytes) -> str | None:
     return None
 
 
+def inner(raw: bytes, quote: bytes) -> bytes:
+    """A field's bytes without its outer quotes, doubled quotes kept: what a search in its column looks at."""
+    return raw[1:-1] if len(raw) >= 2 and raw[:1] == quote == raw[-1:] else raw
+
+
 def _blocks(batches):
     """Runs of (path, block, lines) of a task, in file order."""
     at, lines = None, []
@@ -317,13 +323,23 @@ def read(spark: SparkSession, path: str | list[str], schema: Schema | None = Non
         return df
 
     def parsed(rows, found):
-        cells, as_written = _quoteless(found, delimiter, quote), None
-        if cells is None:
-            fields = [split(x, delimiter, quote)[:width] for x in found]
-            cells = pa.array([[cell(f, quote) for f in x] for x in fields], pa.list_(pa.string()))
-            as_written = [[(c, w) for c, f in zip(columns, x) if (w := written(f, quote)) is not None] or None if quote + quote in y else None for x, y in zip(fields, found)]
-        kept = pa.array(as_written or [None] * len(found), pa.map_(pa.string(), pa.string()))
-        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), cells, pa.array(map(text, found), pa.string()), kept], ["row", "cells", "raw", "written"])
+        """``cells`` is null where the plan splits ``raw``; ``written`` and ``bytes`` are null where searches need only what is shown."""
+        cells, as_written, odd = ([None] * len(found) for _ in range(3))
+        raw = _plain(found, delimiter, quote)
+        if raw is None:
+            raw = pa.array(map(text, found), pa.string())
+            for i, x in enumerate(found):
+                dirty = not _is_text(x)
+                if not (dirty or quote in x or b"\r" in x) and delimiter.isascii():
+                    continue
+                fields = split(x, delimiter, quote)[:width]
+                cells[i] = [cell(f, quote) for f in fields]
+                if quote + quote in x:
+                    as_written[i] = [(c, w) for c, f in zip(columns, fields) if (w := written(f, quote)) is not None] or None
+                if dirty:
+                    odd[i] = [("", x), *((c, inner(f, quote)) for c, f in zip(columns, fields) if not _is_text(f))]
+        arrays = [pa.array(rows, pa.int64()), pa.array(cells, pa.list_(pa.string())), raw, pa.array(as_written, pa.map_(pa.string(), pa.string())), pa.array(odd, pa.map_(pa.string(), pa.binary()))]
+        return pa.RecordBatch.from_arrays(arrays, ["row", "cells", "raw", "written", "bytes"])
 
     columns = list(schema.columns)
     if not columns:
@@ -335,9 +351,11 @@ def read(spark: SparkSession, path: str | list[str], schema: Schema | None = Non
             raise ValueError("no columns")
         columns = [cell(f, quote) if schema.has_header else "" for f in split(bytes(record[0][0]), delimiter, quote)]
     columns, width = _names(columns), len(columns)
-    df = records(parsed, "row long, cells array<string>, raw string, written map<string,string>", placed)
+    df = records(parsed, "row long, cells array<string>, raw string, written map<string,string>, bytes map<string,binary>", placed)
+    if delimiter.isascii():
+        df = df.withColumn("cells", F.coalesce("cells", F.split("raw", re.escape(delimiter.decode()), -1)))
     cells = (F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(columns))
-    return View(df.select(F.col("row").alias(ROW), *cells, F.col("raw").alias(RAW), F.col("written").alias(WRITTEN)), columns, schema=schema)
+    return View(df.select(F.col("row").alias(ROW), *cells, F.col("raw").alias(RAW), F.col("written").alias(WRITTEN), F.col("bytes").alias(BYTES)), columns, schema=schema)
 
 
 def _head(spark: SparkSession, files: list[str]) -> list[bytes]:
@@ -408,12 +426,20 @@ def _states(found: dict, exact: dict, most: int) -> tuple[dict, dict]:
     return states, unknown
 
 
-def _quoteless(raw: list[bytes], delimiter: bytes, quote: bytes) -> pa.Array | None:
-    """Cells of records that have neither quotes nor bytes that need care, split by Arrow; else None."""
+def _plain(raw: list[bytes], delimiter: bytes, quote: bytes) -> pa.Array | None:
+    """The texts of records that have neither quotes nor bytes that need care; None if any has."""
     whole = b"\n".join(raw)
     if quote in whole or b"\0" in whole or b"\r" in whole or not (whole + delimiter).isascii():
         return None
-    return pc.split_pattern(pa.array(raw, pa.binary()).cast(pa.string()), delimiter.decode()).cast(pa.list_(pa.string()))
+    return pa.array(raw, pa.binary()).cast(pa.string())
+
+
+def _is_text(raw: bytes) -> bool:
+    """Whether bytes are UTF-8 without NULs, so that they are what is shown of them."""
+    try:
+        return b"\0" not in raw and (raw.isascii() or raw.decode() is not None)
+    except UnicodeDecodeError:
+        return False
 
 
 def _names(names: list[str]) -> list[str]:
@@ -423,6 +449,6 @@ def _names(names: list[str]) -> list[str]:
     for i, n in enumerate(names):
         k = n.lower()
         seen[k] = seen.get(k, 0) + 1
-        if seen[k] > 1 or k in (ROW, RAW, WRITTEN):
+        if seen[k] > 1 or k in (ROW, RAW, WRITTEN, BYTES):
             names[i] = f"{n} ({seen[k]})"
     return names
