@@ -2,8 +2,10 @@
 
 A window is ``window`` consecutive words of a benchmark item (a shorter item is one window). Its set is
 its word shingles. For containment of the whole set the prefix of a window, its shingles ordered by
-rarity in the corpus, need have one element only: the rarest shingle. Documents' shingles are joined
-to those of the benchmark once; the matches give the rarity and, joined to the prefixes, the candidates.
+rarity in the corpus, need have one element only: the rarest shingle. First the benchmark's words are
+counted over all documents: a shingle is at most as frequent as its rarest word, and that bound is the order;
+a window with a word that never occurs is out. Then documents' shingles are joined to the prefixes alone, which
+gives the candidates. The words are written once, and both passes read them.
 The shingle's place fixes where the window would start; length and position bounds prune; last, the words
 there, which a matched shingle brings along, are compared with the window's words.
 """
@@ -35,6 +37,15 @@ def _shingles(w: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: _shingle(w, i, size))
 
 
+def _rarity(split: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(word, df)``: how often each wanted word occurs in the texts ``split`` (w); those that never do have no row.
+
+    Counts are added up before they are shuffled. Wanted words that are few enough are broadcast, so others never leave their task.
+    """
+    small = wanted.count() <= BROADCAST_UP_TO
+    return split.select(F.explode("w").alias("word")).join(F.broadcast(wanted) if small else wanted, "word").groupBy("word").agg(F.count("*").alias("df"))
+
+
 def _met(split: DataFrame, wanted: DataFrame, sizes: list[int], window: int) -> DataFrame:
     """``(key, n, pos, h, first, around)``: the wanted shingles of the texts ``split`` (key, w), with the words around them.
 
@@ -72,23 +83,23 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int =
     windows = item.select("words", "w", "len").distinct()
     sizes = [r[0] for r in windows.select(F.least("len", F.lit(shingle)).alias("s")).distinct().collect()]  # shingle numbers at most
 
-    parts = []
-    for s in sizes:
-        own = windows.where(F.least("len", F.lit(shingle)) == s)
-        parts.append(own.select("words", "len", F.posexplode(_shingles(F.col("w"), s)).alias("off", "h")))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
+    rows = docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), words(F.col(text_col)).alias("w"))
+    rows = rows.select("id", "key", F.size("w").cast("long").alias("n_words"), "w")
     none = F.array().cast("array<string>")
-    if not parts:
-        return rows.select("id", "key", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), none.alias("item_ids"))
-    of = parts[0]
-    for p in parts[1:]:
-        of = of.union(p)
-    of = cut(of, "shingles")
-    wanted = cut(of.select("h").distinct(), "wanted")
-    met = cut(_met(rows.select("key", words(F.col("text")).alias("w")), wanted, sizes, window), "met")
-
-    rarity = met.groupBy("h").agg(F.count("*").alias("df"))
-    prefix = of.join(rarity, "h", "left").groupBy("words", "len").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "off")).alias("p")).select("words", "len", "p.h", "p.off")
+    if not sizes:
+        return rows.select("id", "key", "n_words", F.lit(0).cast("long").alias("n_hit"), none.alias("item_ids"))
+    rows = cut(rows, "words")
+    own = windows.select("words", "len", F.posexplode("w").alias("off", "word"))
+    own = own.join(_rarity(rows, own.select("word").distinct()), "word", "left").select("words", "len", F.struct("off", F.coalesce("df", F.lit(0)).alias("df")).alias("x"))
+    own = own.groupBy("words", "len").agg(F.sort_array(F.collect_list("x"))["df"].alias("dfs")).where(F.array_min("dfs") > 0).withColumn("w", F.split("words", " "))
+    prefix = None
+    for s in sizes:
+        ranks = F.transform(F.sequence(F.lit(0), F.col("len") - s), lambda i: F.struct(F.array_min(F.slice("dfs", i + 1, s)).alias("df"), _shingle(F.col("w"), i, s).alias("h"), i.alias("off")))  # noqa: B023
+        one = own.where(F.least("len", F.lit(shingle)) == s).select("words", "len", F.array_min(ranks).alias("p")).select("words", "len", "p.h", "p.off")
+        prefix = one if prefix is None else prefix.union(one)
+    prefix = cut(prefix, "prefixes")
+    met = _met(rows, prefix.select("h").distinct(), sizes, window)
+
     start = F.col("pos") - F.col("off")
     candidates = met.join(prefix, "h").where((start >= 0) & (start + F.col("len") <= F.col("n")))
     candidates = candidates.where(F.array_join(F.slice("around", start - F.col("first") + 1, F.col("len")), " ") == F.col("words"))
@@ -98,5 +109,5 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int =
     counts = hits.select("key", "start", "len").distinct().groupBy("key").agg(F.size(F.array_distinct(places)).cast("long").alias("n_hit"))
     listed = hits.select("key", "words").distinct().join(item.where("item is not null").select("item", "words"), "words")
     listed = listed.groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
-    found = rows.select("id", "key", F.size(words(F.col("text"))).cast("long").alias("n_words")).join(cut(counts.join(listed, "key", "left"), "per-text"), "key", "left")
+    found = rows.select("id", "key", "n_words").join(cut(counts.join(listed, "key", "left"), "per-text"), "key", "left")
     return found.select("id", "key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"))
