@@ -32,11 +32,6 @@ def _shingle(w: Column, i: Column, size: int) -> Column:
     return F.xxhash64(F.lit(size), *(F.get(w, i + j) for j in range(size)))
 
 
-def _shingles(w: Column, size: int) -> Column:
-    """Hashes of all runs of ``size`` words; fewer words have none."""
-    return F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: _shingle(w, i, size))
-
-
 def _rarity(split: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(word, df)``: how often each wanted word occurs in the texts ``split`` (w); those that never do have no row.
 
@@ -49,6 +44,8 @@ def _rarity(split: DataFrame, wanted: DataFrame) -> DataFrame:
 def _met(split: DataFrame, wanted: DataFrame, sizes: list[int], window: int) -> DataFrame:
     """``(key, n, pos, h, first, around)``: the wanted shingles of the texts ``split`` (key, w), with the words around them.
 
+    Words are dealt out with their places and each place hashes its own shingle: a function over the array would run
+    outside of generated code, and a row of the words be copied for each of its places.
     ``around`` starts at word ``first`` and holds every window that could cover the shingle. Where the wanted
     shingles are few enough for a broadcast, the words come from the row at hand. Beyond that shingles are
     shuffled without words, and only the matches fetch theirs.
@@ -59,11 +56,12 @@ def _met(split: DataFrame, wanted: DataFrame, sizes: list[int], window: int) ->
     met = None
     for s in sizes:
         own = split.where(F.size("w") >= s)
-        shingles = own.select("key", F.size("w").alias("n"), *(["w"] if small else []), F.posexplode(_shingles(F.col("w"), s)).alias("pos", "h"))
+        places = own.select("key", F.size("w").alias("n"), "w", F.posexplode("w").alias("pos", "word")).where(F.col("pos") <= F.col("n") - s)
+        shingles = places.select("key", "n", "w", "pos", _shingle(F.col("w"), F.col("pos"), s).alias("h"))
         if small:
             one = shingles.join(F.broadcast(wanted), "h")
         else:
-            one = shingles.join(wanted, "h").distinct().join(own.dropDuplicates(["key"]), "key")
+            one = shingles.drop("w").join(wanted, "h").distinct().join(own.dropDuplicates(["key"]), "key")
         one = one.select("key", "n", "pos", "h", first(s).alias("first"), around(s).alias("around"))
         met = one if met is None else met.union(one)
     return met
