@@ -109,6 +109,47 @@ def test_quotes_that_run_on_become_text(spark, tmp_path, blocks, seed):
     assert [r["_raw"] for r in got] == scan(data, 50) and [r["_row_id"] for r in got] == list(range(len(got)))
 
 
+@pytest.mark.parametrize("seed", range(300))
+def test_blocks_compose(seed):
+    """Neighbouring blocks as one have the numbers of their lines as one block, wherever they can be composed."""
+    rng = random.Random(seed)
+    most = rng.choice([10, 40, 1 << 20])
+    lines = bytes(rng.choice(b'"\n\n,xxyy"') for _ in range(rng.randint(3, 60))).split(b"\n")
+    cuts = sorted(rng.sample(range(len(lines) + 1), min(3, len(lines) + 1)))
+    runs = [x for i, j in zip([0, *cuts], [*cuts, len(lines)]) if (x := lines[i:j])]
+    got, done = None, []
+    for run in runs:
+        one = d.numbers(run, 0, most, b",", b'"')
+        both = one if got is None else d.compose(got, one, most)
+        got, done = (one, run) if both is None else (both, done + run)
+        want = d.numbers(done, 0, most, b",", b'"')
+        if want["reach"] > most:  # what it does from within a field is measured from the exact place, so only that must be known
+            assert got["reach"] > most
+            got, want = ({k: v for k, v in x.items() if k.endswith("_out")} | {"reach": most + 1, "head": "open", "n_in": 0, "tail_in": 0, "open_in": True, "since_in": 0} for x in (got, want))
+        assert got == want
+
+
+def test_composed_on_the_cluster(spark, tmp_path, monkeypatch):
+    """Several files of many blocks, and quotes that run on over blocks: all as by the scanner."""
+    monkeypatch.setattr(d, "FEW_BLOCKS", 0)
+    for k, v in (("spark.sql.files.maxPartitionBytes", "64"), ("spark.sql.files.openCostInBytes", "1")):
+        spark.conf.set(k, v)
+    rng = random.Random(7)
+    data = [bytes(rng.choice(b'"\n\n,xxyyzzzz') for _ in range(n)) for n in (700, 40)]
+    data.append(b'"' + b"a\n" * 200 + b'"\n' + b'b,"c\nd"\n' * 20)  # a field over a dozen blocks
+    for i, x in enumerate(data):
+        (tmp_path / f"{i}.csv").write_bytes(x)
+    for most in (50, 1000):
+        got = d.read(spark, str(tmp_path), d.Schema(has_header=False, columns=("a",)), most_quoted=most).df.orderBy("_row_id").collect()
+        want = [y for x in data for y in scan(x, most)]
+        assert [r["_row_id"] for r in got] == list(range(len(want))) and [r["_raw"] for r in got] == want, most
+    monkeypatch.setattr(d, "MOST_STATES", 3)
+    with pytest.raises(ValueError, match="maxPartitionBytes"):
+        d.read(spark, str(tmp_path), d.Schema(has_header=False, columns=("a",)))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_a_stray_quote_costs_a_mebibyte_at_most(spark, tmp_path):
     data = b'h,i\n1,"up\nto\n' + b"z" * ((1 << 20) + 16) + b"\nnext,row\n" + b'2,"a\nb"\n'
     for size in ("134217728", "300000"):

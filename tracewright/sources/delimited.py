@@ -5,6 +5,10 @@ depends on all before it, but a block's effect on that is a function of one bit:
 block's function and its number of records, their composition gives where every block stands, and a
 second pass parses. Records that cross blocks are few; their pieces meet by record id.
 
+Such functions compose, so beyond ``FEW_BLOCKS`` blocks they are sorted and composed on the cluster, in parts of the square root of
+their number: the driver sees one function a part and file, and gives back the state at its beginning; the states of
+the blocks are expressions over these. Lines get their block's state by a broadcast join; more than ``MOST_STATES`` blocks are refused, and larger ones asked for.
+
 A quoted field that runs on for more than ``most_quoted`` bytes is none: at the next line end its quote becomes text, and
 the line ends in it end records. Whether that happens in a block may depend on how far back the quote is; the few blocks
 where it does are measured again, once that is known. Records without quotes or odd bytes are split in the plan, where Catalyst
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.timeline import BYTES, RAW, ROW, WRITTEN, View
+from ..operators.timeline import BYTES, RAW, ROW, WRITTEN, View, new_path
 
 #: Delimiters by name, and the columns of a body file.
 DELIMITERS = {"comma": ",", "tab": "\t", "pipe": "|", "semicolon": ";", "space": " ", "\\t": "\t"}
@@ -29,6 +33,8 @@ BODYFILE = ("MD5", "name", "inode", "mode", "UID", "GID", "size", "atime", "mtim
 BOM = b"\xef\xbb\xbf"
 #: Fixed value: the bytes that a quoted field may run on for across line ends.
 MOST_QUOTED = 1 << 20
+#: Blocks whose functions the driver composes itself, and blocks whose states may be broadcast (some 200 bytes each; 512 TB in blocks of 128 MB).
+FEW_BLOCKS, MOST_STATES = 1000, 4_000_000
 #: Bytes of a line at which the guess of a delimiter looks.
 HEAD_BYTES = 1 << 16
 #: Windows-1252 as browsers read it: the five unused codes are control characters.
@@ -111,7 +117,7 @@ class Marked:
 
     ``tail``: lines at the end, inside a field that is open there (and begin records if its quote turns out to be text);
     ``since``: bytes from its quote to the end. ``head``: what became of a field open at the beginning,
-    "closed", "text" or "open"; ``reach``: the last line end in it.
+    "closed", "text" or "open"; ``reach``: the last line end in it, -1 if there is none.
     """
 
     begins: list[bool]
@@ -130,7 +136,7 @@ def mark(lines: list[bytes], inside: bool, since: int, most: int, delimiter: byt
     """
     begins: list[bool] = []
     waiting: list[int] = []
-    opened, at, head, reach = -since, 0, "open" if inside else "", 0
+    opened, at, head, reach = -since, 0, "open" if inside else "", -1
     for i, x in enumerate(lines):
         if inside:
             waiting.append(i)
@@ -162,6 +168,17 @@ def mark(lines: list[bytes], inside: bool, since: int, most: int, delimiter: byt
     return Marked(begins, len(waiting), inside, at - opened if inside else 0, head, reach)
 
 
+def numbers(lines: list[bytes], since: int, most: int, delimiter: bytes, quote: bytes) -> dict:
+    """What a block does if it begins outside of a field, and if it begins inside of one, ``since`` bytes behind its quote."""
+    outside = mark(lines, False, 0, most, delimiter, quote) if any(quote in x for x in lines) else Marked([True] * len(lines), 0, False, 0, "", 0)
+    inside = mark(lines, True, since, most, delimiter, quote, outside.begins)
+    same = len(inside.begins) < len(lines)  # from there on
+    end = outside if same else inside
+    out = {"n_out": sum(outside.begins), "tail_out": outside.tail, "open_out": outside.inside, "since_out": outside.since}
+    out |= {"n_in": sum(inside.begins) + sum(outside.begins[len(inside.begins) :]), "tail_in": end.tail, "open_in": end.inside}
+    return out | {"since_in": end.since - (since if inside.head == "open" else 0), "head": inside.head, "reach": inside.reach}
+
+
 def split(record: bytes, delimiter: bytes, quote: bytes) -> list[bytes]:
     """Fields, quotes included. A quote opens a field at its start only; text after a closing quote is literal."""
     if quote not in record:
@@ -214,20 +231,22 @@ def inner(raw: bytes, quote: bytes) -> bytes:
 
 
 def _blocks(batches):
-    """Runs of (path, block, lines) of a task, in file order."""
-    at, lines = None, []
+    """Runs of (path, block, state, lines) of a task, in file order; the state is None if there is no such column."""
+    at, state, lines = None, None, []
     for b in batches:
-        for path, start, line in zip(*(c.to_pylist() for c in b.columns)):
+        for i, (path, start, line) in enumerate(zip(*(b.column(c).to_pylist() for c in ("path", "block", "line")))):
             if (path, start) != at:
                 if at:
-                    yield (*at, lines)
+                    yield (*at, state, lines)
                 at, lines = (path, start), []
+                state = b.column("state")[i].as_py() if "state" in b.schema.names else None
             lines.append(line)
     if at:
-        yield (*at, lines)
+        yield (*at, state, lines)
 
 
 _KINDS = ("out", "in")
+_NUMBERS = (*(f"{x}_{k}" for k in _KINDS for x in ("n", "tail", "open", "since")), "head", "reach")
 _SUMMARY = "path string, block long, " + ", ".join(f"n_{k} long, tail_{k} long, open_{k} boolean, since_{k} long" for k in _KINDS) + ", head string, reach long"
 
 
@@ -237,7 +256,7 @@ def read(spark: SparkSession, path: str | list[str], schema: Schema | None = Non
     Blank records are rows with one empty cell, short records have null cells, surplus fields stay in the raw record. Without
     a schema the delimiter is guessed from lines of the beginning and a header assumed. No bytes at all: :class:`EmptyInput`.
     Duplicate names get a number. A task holds the lines of one block (``spark.sql.files.maxPartitionBytes``), the driver
-    a row of numbers for each block.
+    a row of numbers for each block up to ``FEW_BLOCKS``, beyond that for each file and part of the blocks.
     """
     source = spark.read.option("lineSep", "\n").text(path)
     files = sorted(source.inputFiles())
@@ -249,39 +268,33 @@ def read(spark: SparkSession, path: str | list[str], schema: Schema | None = Non
     delimiter, quote = schema.bytes()
     skip = schema.skip_lines + schema.has_header
 
-    def measured(known: dict) -> list:
+    def measured(known: dict) -> DataFrame:
         """A row of numbers for each block, or for those in ``known``, of which the state at the beginning is known."""
 
         def each(batches):
-            for p, start, own in _blocks(batches):
+            for p, start, _, own in _blocks(batches):
                 if start == 0:
                     own[0] = own[0].removeprefix(BOM)
                 _, since = known.get((p, start), (False, 0))
-                outside = mark(own, False, 0, most_quoted, delimiter, quote) if any(quote in x for x in own) else Marked([True] * len(own), 0, False, 0, "", 0)
-                inside = mark(own, True, since, most_quoted, delimiter, quote, outside.begins)
-                same = len(inside.begins) < len(own)  # from there on
-                n_in = sum(inside.begins) + sum(outside.begins[len(inside.begins) :])
-                end = outside if same else inside
-                row = [p, start, sum(outside.begins), outside.tail, outside.inside, outside.since]
-                row += [n_in, end.tail, end.inside, end.since - (since if inside.head == "open" else 0), inside.head, inside.reach]
+                row = [p, start, *numbers(own, since, most_quoted, delimiter, quote).values()]
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names)
 
-        names = ["path", "block", *(f"{x}_{k}" for k in _KINDS for x in ("n", "tail", "open", "since")), "head", "reach"]
+        names = ["path", "block", *_NUMBERS]
         some = lines
-        if known:
+        if known:  # a filter on the path alone would leave out files, and Spark then cuts the others into other blocks
             paths, starts = (list({k[i] for k in known}) for i in (0, 1))
-            some = lines.where(F.col("path").isin(paths) & F.col("block").isin(starts))
-        return some.mapInArrow(each, _SUMMARY).collect()
+            opaque = lambda c: F.when(F.col("line").isNotNull(), F.col(c))
+            some = lines.where(opaque("path").isin(paths) & opaque("block").isin(starts))
+        return some.mapInArrow(each, _SUMMARY)
 
-    placed = _placed(measured, skip, most_quoted)
-    crossed = any(x[0] for x in placed.values())  # some block begins inside a field
+    states, first, crossed = _placed(spark, measured, skip, most_quoted)
 
-    def pieces(batches, states, whole: bool):
+    def pieces(batches, whole: bool):
         """(rows, block, records) of the whole records of each block, or of the pieces of records that cross blocks."""
-        for p, start, own in _blocks(batches):
+        for _, start, state, own in _blocks(batches):
             if start == 0:
                 own[0] = own[0].removeprefix(BOM)
-            inside, since, row, least, is_text = states.value[p, start]
+            inside, since, row, least, is_text = (state[k] for k in _STATE)
             begins, goes_on = [True] * len(own), False
             if inside or any(quote in x for x in own):
                 m = mark(own, inside, since, most_quoted, delimiter, quote)
@@ -304,21 +317,21 @@ def read(spark: SparkSession, path: str | list[str], schema: Schema | None = Non
             if rows:
                 yield rows, start, found
 
-    def records(make, form: str, states: dict) -> DataFrame:
+    def records(make, form: str, states: DataFrame) -> DataFrame:
         """What ``make(rows, records)`` gives for all records; those that cross blocks are put together first."""
-        shared = spark.sparkContext.broadcast(states)
+        placed = lines.join(F.broadcast(states), ["path", "block"]).select("path", "block", "line", "state")
 
         def crossing(batches):
-            for rows, start, found in pieces(batches, shared, False):
+            for rows, start, found in pieces(batches, False):
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([start] * len(rows), pa.int64()), pa.array(found, pa.binary())], ["row", "block", "raw"])
 
         def together(batches):
             for b in batches:
                 yield make(b.column(0).to_pylist(), [b"\n".join(x["raw"] for x in r).removesuffix(b"\r") for r in b.column(1).to_pylist()])
 
-        df = lines.mapInArrow(lambda bs: (make(rows, found) for rows, _, found in pieces(bs, shared, True)), form)
+        df = placed.mapInArrow(lambda bs: (make(rows, found) for rows, _, found in pieces(bs, True)), form)
         if crossed:
-            parts = lines.mapInArrow(crossing, "row long, block long, raw binary").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("block", "raw"))).alias("pieces"))
+            parts = placed.mapInArrow(crossing, "row long, block long, raw binary").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("block", "raw"))).alias("pieces"))
             df = df.union(parts.mapInArrow(together, form))
         return df
 
@@ -344,14 +357,15 @@ def read(spark: SparkSession, path: str | list[str], schema: Schema | None = Non
     columns = list(schema.columns)
     if not columns:
         wanted = -1 if schema.has_header else 0  # the header stands before row 0 of the first file
-        top = {k: (*x[:3], wanted if k[0] == min(placed)[0] else 1 << 62, x[4]) for k, x in placed.items()}
+        least = F.when(F.col("path") == first, F.lit(wanted)).otherwise(F.lit(1 << 62)).cast("long")
+        top = states.withColumn("state", F.col("state").withField("least", least))
         pick = lambda rows, found: pa.RecordBatch.from_arrays([pa.array([x for i, x in zip(rows, found) if i == wanted], pa.binary())], ["raw"])
         record = records(pick, "raw binary", top).take(1)
         if not record:
             raise ValueError("no columns")
         columns = [cell(f, quote) if schema.has_header else "" for f in split(bytes(record[0][0]), delimiter, quote)]
     columns, width = _names(columns), len(columns)
-    df = records(parsed, "row long, cells array<string>, raw string, written map<string,string>, bytes map<string,binary>", placed)
+    df = records(parsed, "row long, cells array<string>, raw string, written map<string,string>, bytes map<string,binary>", states)
     if delimiter.isascii():
         df = df.withColumn("cells", F.coalesce("cells", F.split("raw", re.escape(delimiter.decode()), -1)))
     cells = (F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(columns))
@@ -372,23 +386,132 @@ def _head(spark: SparkSession, files: list[str]) -> list[bytes]:
     return []
 
 
-def _placed(measured, skip: int, most: int) -> dict:
-    """(path, block) to (inside, since, number of the record before, first number that counts, whether the open tail is text)."""
-    found = {(r["path"], r["block"]): r for r in measured({})}
+_STATE = ("inside", "since", "row", "least", "is_text")
+_PLACED = "path string, block long, state struct<inside boolean, since long, row long, least long, is_text boolean>"
+
+
+def _placed(spark: SparkSession, measured, skip: int, most: int) -> tuple[DataFrame, str, bool]:
+    """The states of all blocks as a table; the first path; whether some block begins inside a field.
+
+    A state: inside, since, number of the record before, first number that counts, whether the open tail is text.
+    """
+    path = new_path(spark, "blocks")
+    measured({}).write.parquet(path)
+    blocks = spark.read.schema(_SUMMARY).parquet(path)
+    n_blocks = blocks.count()
+    if n_blocks > MOST_STATES:
+        raise ValueError(f"{n_blocks} blocks: raise spark.sql.files.maxPartitionBytes so that there are {MOST_STATES} at most")
+    if n_blocks > FEW_BLOCKS:
+        path = new_path(spark, "composed")
+        parts = max(1, int(n_blocks**0.5))
+        ordered = blocks.repartitionByRange(parts, "path", "block").sortWithinPartitions("path", "block")
+        ordered.mapInArrow(lambda batches: _scanned(batches, most), _SCANNED).write.parquet(path)
+        scanned = spark.read.schema(_SCANNED).parquet(path)
+        found = {(r["path"], r["unit"]): r["whole"].asDict() | {"size": r["size"]} for r in scanned.where("whole is not null").select("path", "unit", "size", "whole").collect()}
+    else:
+        found = {(r["path"], r["block"]): r.asDict() | {"size": 1} for r in blocks.collect()}
     exact: dict = {}
+    alone: set = set()
     states, unknown = _states(found, exact, most)
     while unknown:
-        for r in measured(unknown):
-            if (key := (r["path"], r["block"])) in unknown:
-                exact[*key, unknown[key][1]] = r
+        parted = [k for k in unknown if found[k]["size"] > 1]  # a long quote runs into composed blocks: these one by one
+        for key in parted:
+            own = scanned.where((F.col("path") == key[0]) & (F.col("unit") == key[1])).select("path", "block", "own.*").collect()
+            del found[key]
+            found |= {(r["path"], r["block"]): r.asDict() | {"size": 1} for r in own}
+            alone |= {(r["path"], r["block"]) for r in own}
+        again = {k: v for k, v in unknown.items() if k not in parted}
+        for r in measured(again).collect() if again else ():
+            if (key := (r["path"], r["block"])) in again:
+                exact[*key, again[key][1]] = r.asDict()
         states, unknown = _states(found, exact, most)
-    placed, base, at, n = {}, 0, None, 0
+    placed, base, at, n = [], 0, None, 0
     for (p, start), (inside, since, rows, tail, is_text) in states.items():
         if p != at:
             base, at, n = base + max(0, n - skip), p, 0
-        placed[p, start] = (inside, since, base - skip + n - 1, base, is_text)
+        placed.append((p, start, (inside, since, base - skip + n - 1, base, is_text)))
         n += rows + tail * is_text
-    return placed
+    table = spark.createDataFrame(placed, _PLACED)
+    crossed = any(x[2][0] for x in placed)
+    if len(placed) == n_blocks:
+        return table, placed[0][0], crossed
+    whole = F.broadcast(table.select("path", F.col("block").alias("unit"), F.col("state").alias("u")))
+    chosen = lambda x: F.when(F.col("u.inside"), F.col(f"before.{x}_in")).otherwise(F.col(f"before.{x}_out"))
+    since = F.when(F.col("u.inside") & (F.col("before.head") == "open"), F.col("u.since")).otherwise(0) + chosen("since")
+    waits = F.when(F.col("u.inside"), F.col("waits_in")).otherwise(F.col("waits_out"))
+    # lines in front, in a field that goes on from there to the unit's end, begin records if that turns out to be text
+    text_before = F.when(F.col("u.is_text") & waits & chosen("open") & (F.col("own.head") == "open"), chosen("tail")).otherwise(0)
+    state = F.struct(chosen("open").alias("inside"), since.alias("since"), (F.col("u.row") + chosen("n") + text_before).alias("row"), F.col("u.least").alias("least"), (F.col("u.is_text") & waits).alias("is_text"))
+    each = scanned.join(whole, ["path", "unit"]).select("path", "block", state.alias("state"))
+    if alone:  # these have states of their own
+        own = F.broadcast(spark.createDataFrame([x for x in placed if x[:2] in alone], _PLACED))
+        each = each.join(own.select("path", "block"), ["path", "block"], "left_anti").union(own)
+    path = new_path(spark, "states")
+    each.write.parquet(path)
+    out = spark.read.schema(_PLACED).parquet(path)
+    return out, placed[0][0], crossed or bool(out.where("state.inside").take(1))
+
+
+_ROW = "struct<" + ", ".join(x.replace(" ", ": ", 1) for x in _SUMMARY.split(", ")[2:]) + ">"
+_SCANNED = f"path string, block long, unit long, size long, own {_ROW}, before {_ROW}, waits_out boolean, waits_in boolean, whole {_ROW}"
+#: What no blocks do.
+_NOTHING = {"n_out": 0, "tail_out": 0, "open_out": False, "since_out": 0, "n_in": 0, "tail_in": 0, "open_in": True, "since_in": 0, "head": "open", "reach": -1}
+
+
+def compose(a: dict, b: dict, most: int) -> dict | None:
+    """The numbers of two neighbouring runs of blocks as one; None if what ``b`` does must be measured from an exact place.
+
+    Where ``reach`` comes out above ``most``, what the run does from within a field is never used: its blocks are measured one by one.
+    """
+    out = {}
+    for kind in _KINDS:
+        passed = kind == "in" and a["head"] == "open"  # still the field that was open at the beginning
+        if not a[f"open_{kind}"]:
+            out |= {f"n_{kind}": a[f"n_{kind}"] + b["n_out"]} | {f"{x}_{kind}": b[f"{x}_out"] for x in ("tail", "open", "since")}
+            continue
+        if (0 if passed else a[f"since_{kind}"]) + b["reach"] > most or b["head"] == "text":
+            return None
+        on = b["head"] == "open"
+        out |= {f"n_{kind}": a[f"n_{kind}"] + b["n_in"], f"tail_{kind}": b["tail_in"] + on * a[f"tail_{kind}"]}
+        out |= {f"open_{kind}": b["open_in"], f"since_{kind}": b["since_in"] + on * a[f"since_{kind}"]}
+    still = a["head"] == "open" and a["open_in"]
+    reach = a["since_in"] + b["reach"] if still and b["reach"] >= 0 else -1
+    return out | {"head": b["head"] if still else a["head"], "reach": max(a["reach"], reach)}
+
+
+def _scanned(batches, most: int):
+    """Of the sorted blocks of a part: the run ("unit") of blocks of a file that each belongs to, what the blocks of it before do, and, with its last block, what all do.
+
+    ``waits_*``: whether a field that is open at the block's end is the one that is open at the unit's end.
+    """
+    form = None
+    unit: list = []
+
+    def rows():
+        waits = dict.fromkeys(_KINDS, True)
+        whole = unit[-1][4]
+        made = []
+        for i in range(len(unit) - 1, -1, -1):
+            p, start, own, before, _ = unit[i]
+            made.append({"path": p, "block": start, "unit": unit[0][1], "size": len(unit), "own": own, "before": before, "waits_out": waits["out"], "waits_in": waits["in"], "whole": whole if i == len(unit) - 1 else None})
+            for k in _KINDS:
+                waits[k] = waits[k] and before[f"open_{k}"] and own["head"] == "open"
+        return pa.RecordBatch.from_pylist(made[::-1], form)
+
+    one = pa.struct([(k, pa.bool_() if k.startswith("open") else pa.string() if k == "head" else pa.int64()) for k in _NUMBERS])
+    form = pa.schema([("path", pa.string()), ("block", pa.int64()), ("unit", pa.int64()), ("size", pa.int64()), ("own", one), ("before", one), ("waits_out", pa.bool_()), ("waits_in", pa.bool_()), ("whole", one)])
+    for b in batches:
+        for r in b.to_pylist():
+            p, start = r.pop("path"), r.pop("block")
+            before = unit[-1][4] if unit and unit[-1][0] == p else _NOTHING
+            after = compose(before, r, most) if before is not _NOTHING else r
+            if after is None or before is _NOTHING:
+                if unit:
+                    yield rows()
+                unit, before, after = [], _NOTHING, r
+            unit.append((p, start, r, before, after))
+    if unit:
+        yield rows()
 
 
 def _states(found: dict, exact: dict, most: int) -> tuple[dict, dict]:
