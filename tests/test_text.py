@@ -1,12 +1,17 @@
 """Cells' keys, terms and patterns, on the cases that plain Spark functions get wrong."""
 
+import itertools
+import pickle
+import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.functions.text import InvalidPattern, backtracks, contains, contains_any, either, java_pattern, linear_pattern, matches, single_line, value_key
+from tracewright.functions import needles
+from tracewright.functions.text import InvalidPattern, backtracks, contains, contains_any, either, fold_text, java_pattern, linear_pattern, matches, single_line, value_key
 from tracewright.operators import grouping, search
 from tracewright.operators.timeline import from_table
 
@@ -132,6 +137,35 @@ def test_many_values_equal_one_by_one(spark):
     assert df.where(contains_any(F.col("v"), ["", "x"])).count() == df.where("v IS NOT NULL").count() and df.where(contains_any(F.col("v"), [])).count() == 0
 
 
+@pytest.mark.parametrize("step", [7, 64, 1 << 18])
+@pytest.mark.parametrize("hashed", [4, 13, 1024])
+def test_needles_equal_brute_force(monkeypatch, step, hashed):
+    """Needles over the ends of steps and cells, longer than what is hashed of them, beginnings of one another, of several bytes a character."""
+    monkeypatch.setattr(needles, "STEP", step)
+    monkeypatch.setattr(needles, "HASHED", hashed)
+    needles._powers.cache_clear()
+    r = random.Random(step * hashed)
+    try:
+        for letters, longest in itertools.product(("ab", "abCé漢", "0123456789,oO"), (3, 40)):
+            word = lambda least, most: "".join(r.choices(letters, k=r.randint(least, most)))  # noqa: B023, E731
+            wanted = sorted({fold_text(word(1, longest)) for _ in range(30)})
+            cells = [None, "", *(word(0, 100) for _ in range(60))]
+            want = [c is not None and any(n in fold_text(c) for n in wanted) for c in cells]
+            index = pickle.loads(pickle.dumps(needles.Needles([n.encode() for n in wanted])))
+            assert index.inside(pa.array(cells, pa.string())).tolist() == want
+            assert index.inside(pa.array(cells, pa.string()).slice(9, 20)).tolist() == want[9:29]
+    finally:
+        needles._powers.cache_clear()
+
+
+def test_long_lists_are_shipped_small(spark, monkeypatch):
+    """What each worker keeps of 50,000 needles of 10 bytes is under 40 bytes a needle."""
+    shipped = []
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: shipped.append(x))
+    contains_any(F.col("v"), [f",{i:06d},O," for i in range(50_000)])
+    assert len(pickle.dumps(shipped[0])) < 40 * 50_000 and shipped[0].inside(pa.array(["x,000017,o,", "x,000017,", None])).tolist() == [True, False, False]
+
+
 def test_pasted_lists_keep_scopes_and_patterns(spark):
     view = from_table(spark.range(2000).selectExpr("id", "concat('h', id) AS host", "concat('m', id % 7) AS msg"), "id", ["host", "msg"])
     text = "\n".join([*(f"host:h{i}9" for i in range(0, 60)), *(f"gone{i}" for i in range(2000)), "/^h1\\d.m/", "#1:m3"])
