@@ -49,6 +49,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without any benchmark window; texts are matched by content, so null and repeated ids are kept or dropped like others."""
     docs = docs.select(*COLUMNS)
     hits = decontam.find(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("key").alias("_key")).distinct()
+    hits = cut(hits, "contaminated")
+    hits = F.broadcast(hits) if hits.count() <= simhash.BROADCAST_UP_TO else hits  # beyond that the documents are shuffled
     return docs.withColumn("_key", F.md5(F.coalesce("text", F.lit("")))).join(hits, "_key", "left_anti").select(*COLUMNS)
 
 

@@ -286,3 +286,24 @@ def test_blank_texts_and_copies_without_ids_leave_one(spark):
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(((r["doc_id"], r["text"]) for r in p.drop_near_copies(spark, df, SMALL).collect()), key=str)
     assert got == sorted([(2, None), (7, text), (7, other), (None, "alone")], key=str)
+
+
+def test_sets_go_only_to_rows_that_may_be_alike(spark, monkeypatch):
+    """Texts with a common passage share min-wise values but are far apart: no set is sent to their buckets, and few to those of a true group."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(80)]
+    texts = [" ".join(passage + [word() for _ in range(220)]) for _ in range(60)]
+    tables, real = {}, simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df, name: tables.setdefault(name, []).append(real(df, name)) or tables[name][-1])
+    got = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), part_rows=20)
+    assert {(r["id"], r["component"]) for r in got.collect()} == {(i, i) for i in range(60)}
+    assert tables["wide-left"][-1].count() > 20 and tables["wide-likely"][0].count() == tables["wide-wanted"][0].count() == 0
+
+
+def test_contaminated_documents_go_by_a_broadcast(spark):
+    """Texts aren't shuffled to drop the few that hold a benchmark window."""
+    import corpus_pipeline as p
+
+    plan = p.drop_contaminated(spark, spark.read.parquet(f"{SMALL}/documents.parquet"), SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan

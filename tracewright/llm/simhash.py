@@ -279,8 +279,9 @@ def _verified(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             ok = [_alike(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), least) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    own = cut(sets.join(edges.select(F.explode(F.array("a", "b")).alias("u")).distinct(), "u"), "wide-sets")
-    pairs = edges.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    small = F.broadcast if edges.count() <= BROADCAST_UP_TO else lambda df: df  # beyond that all sets are shuffled
+    first = sets.toDF("a", "sa").join(small(edges), "a")
+    pairs = first.join(sets.toDF("b", "sb").join(small(edges.select("b").distinct()), "b"), "b").select("a", "b", "sa", "sb")
     return pairs.mapInArrow(alike, "a long, b long")
 
 
@@ -288,6 +289,7 @@ def _pairs_of_parts(left: DataFrame, sets: DataFrame, radius: int, least: float,
     """Links (a, b) that connect what the links between two components in a bucket of ``left`` connect.
 
     ``most`` is a bucket's largest component, of ``c`` rows: pairs inside it aren't looked at, so its parts meet only others.
+    Parts meet twice: without ``sets``, which leaves the rows with a pair that may be alike, and with them.
     """
     apart = (F.col("n") > part_rows) & (F.col("comp") == F.col("most"))
     minor = F.when(F.col("n") > part_rows, F.ceil((F.col("n") - F.col("c")) / part_rows)).otherwise(1).cast("int")
@@ -298,23 +300,23 @@ def _pairs_of_parts(left: DataFrame, sets: DataFrame, radius: int, least: float,
     sent = sent.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
     tasks = 1 + left.where(f"n <= {part_rows}").count() // (2 * part_rows)
     bin_ = F.when(F.col("n") > part_rows, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(tasks)))
-    sent = sent.select(bin_.alias("bin"), "key", "at", "low", "high", "mine", "u", "comp", "f", "m")
+    sent = sent.select(bin_.alias("bin"), "key", "at", "low", "high", "mine", "u", "comp", "size", "f", "m")
 
-    def meet(t: pa.Table) -> pa.Table:
+    def buckets(t: pa.Table):
+        """(rows of the lower part, rows of the higher part, ``tested``) of each bucket in ``t``."""
         groups: dict = {}
         for i, key in enumerate(t.column("key").to_pylist()):
             groups.setdefault(key, []).append(i)
-        u, comp, at, mine = (t.column(c).to_numpy() for c in ("u", "comp", "at", "mine"))
+        at, mine, size = (t.column(c).to_numpy() for c in ("at", "mine", "size"))
         low, high = (t.column(c)[0].as_py() for c in ("low", "high"))
         f, m = (np.array(t.column(c).to_pylist(), np.int64) for c in ("f", "m"))
-        sets = [np.frombuffer(x, "<u8") for x in t.column("s").to_pylist()]
-        size, out = np.array(list(map(len, sets))), []
         for g in groups.values():
             g = np.array(g)
             a, b = (g[mine[g] == x] for x in (low, high))
-            k, own_now, now = at[g[0]], comp[a], comp[b]
-            for x, i in enumerate(a):
-                ok = now != own_now[x]
+
+            def tested(x: int, ok: np.ndarray, a=a, b=b, k=at[g[0]]) -> np.ndarray:
+                """Places in ``b``, of those that are ``ok``, that may be alike to the row ``a[x]`` and don't meet it elsewhere, likeliest first."""
+                i = a[x]
                 if low == high:
                     ok[: x + 1] = False
                 j = np.flatnonzero(ok)
@@ -323,8 +325,26 @@ def _pairs_of_parts(left: DataFrame, sets: DataFrame, radius: int, least: float,
                 j = j[(m[b[j], :k] != m[i, :k]).all(1)]  # others meet in an earlier bucket
                 far = np.bitwise_count((f[b[j]] ^ f[i]).view(np.uint64)).sum(1, dtype=np.int64)  # of signed numbers it counts the absolute value
                 near = (far <= radius) | (np.minimum(size[b[j]], size[i]) < FEW)
-                j = j[near][np.argsort(far[near], kind="stable")]
-                for y in j:
+                return j[near][np.argsort(far[near], kind="stable")]
+
+            yield a, b, tested
+
+    def likely(t: pa.Table) -> pa.Table:
+        comp, keep = t.column("comp").to_numpy(), np.zeros(len(t), bool)
+        for a, b, tested in buckets(t):
+            for x, i in enumerate(a):
+                j = tested(x, comp[b] != comp[i])
+                keep[b[j]] = True
+                keep[i] |= len(j) > 0
+        return t.filter(pa.array(keep))
+
+    def meet(t: pa.Table) -> pa.Table:
+        u, comp = (t.column(c).to_numpy() for c in ("u", "comp"))
+        sets, out = [np.frombuffer(x, "<u8") for x in t.column("s").to_pylist()], []
+        for a, b, tested in buckets(t):
+            own_now, now = comp[a], comp[b]
+            for x, i in enumerate(a):
+                for y in tested(x, now != own_now[x]):
                     if now[y] != own_now[x] and _alike(sets[i], sets[b[y]], least):
                         out.append((u[i], u[b[y]]))
                         old, new = now[y], own_now[x]
@@ -332,4 +352,8 @@ def _pairs_of_parts(left: DataFrame, sets: DataFrame, radius: int, least: float,
                         own_now[own_now == old] = new
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
+    # sets are large: they go only to rows with a pair that passes the other tests
+    sent = cut(sent.groupBy("bin", "low", "high").applyInArrow(likely, sent.schema), "wide-likely")
+    wanted = cut(sent.select("u").distinct(), "wide-wanted")
+    sets = sets.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_UP_TO else wanted, "u")
     return sent.join(sets, "u").groupBy("bin", "low", "high").applyInArrow(meet, "a long, b long")
